@@ -32,7 +32,7 @@ RULES: dict[str, tuple[float | None, float | None]] = {
     "mean_word_length": (2.0, 15.0),
     "symbol_ratio": (None, 0.1),
     "stop_word_ratio": (0.05, None),
-    "dup_line_ratio": (None, 0.3),
+    "dup_line_ratio": (None, 0.5),
     "bullet_line_ratio": (None, 0.9),
     "ellipsis_line_ratio": (None, 0.3),
 }
