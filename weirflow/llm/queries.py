@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.llm.decontaminate import WINDOW, contamination
 from weirflow.llm.licenses import license_scan
 from weirflow.llm.mixing import BLOCK, GOLDEN, POINTS, mix_counts
 from weirflow.llm.quality import BULLET, ELLIPSIS, RULES, STOP_WORDS, quality_rules
@@ -30,6 +31,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, {_ALNUM}), []) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, {_ALNUM}) AS w FROM benchmark WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[i + 1 : i + least(len(w), {WINDOW})], ' ') AS gram
+      FROM (SELECT *, unnest(range(greatest(len(w) - {WINDOW - 1}, 1))) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS gram
+      FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM g))),
+h AS (SELECT doc_id, i, n, item_id FROM p JOIN g USING (n, gram)),
+x AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM h) GROUP BY doc_id),
+y AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY encode(item)) AS items
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN y ON d.doc_id = y.doc_id
+"""
+
 OP3_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
@@ -79,6 +99,13 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON p.source
 """
 
 
+@query("op1_decontaminate", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 @query("op3_quality_rules", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
