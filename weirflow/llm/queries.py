@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm.decontaminate import WINDOW, contamination
+from weirflow.llm.langid import detect, held_out, train
 from weirflow.llm.licenses import license_scan
 from weirflow.llm.mixing import BLOCK, GOLDEN, POINTS, mix_counts
 from weirflow.llm.quality import BULLET, ELLIPSIS, RULES, STOP_WORDS, quality_rules
@@ -113,6 +114,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out(F.col("doc_id"))))
+    seen = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
+    return detect(seen, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
