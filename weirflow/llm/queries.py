@@ -13,6 +13,7 @@ from weirflow.llm.licenses import license_scan
 from weirflow.llm.mixing import BLOCK, GOLDEN, POINTS, mix_counts
 from weirflow.llm.quality import BULLET, ELLIPSIS, RULES, STOP_WORDS, quality_rules
 from weirflow.llm.simhash import simhash_groups
+from weirflow.llm.urlfilter import DEFAULT, HOST_RULES, PATTERN_RULES, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,6 +76,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM q
 """
 
+_PATTERNS = "".join(f" WHEN regexp_matches(url, '{pattern}') THEN '{verdict}'" for _, verdict, pattern, _ in PATTERN_RULES)
+
+OP6_SQL = f"""
+WITH u AS (SELECT page_id, url, {_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(verdict, h, p) AS (VALUES {", ".join(map(str, HOST_RULES))}),
+x AS (SELECT u.*, (SELECT max_by((h || p, verdict), length(h || p)) FROM r
+                   WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)) AS best FROM u)
+SELECT page_id, host, path, best[1] AS rule,
+       coalesce(best[2], CASE WHEN url IS NULL THEN '{DEFAULT}'{_PATTERNS} ELSE '{DEFAULT}' END) AS verdict
+FROM x
+"""
+
 OP8_SQL = f"""
 WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
@@ -122,6 +136,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(seen, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op6_url_filter", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
