@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.llm.common import shared_dir, written
 from weirflow.llm.decontaminate import WINDOW, contamination
 from weirflow.llm.langid import detect, held_out, train
 from weirflow.llm.licenses import license_scan
@@ -14,6 +15,7 @@ from weirflow.llm.mixing import BLOCK, GOLDEN, POINTS, mix_counts
 from weirflow.llm.quality import BULLET, ELLIPSIS, RULES, STOP_WORDS, quality_rules
 from weirflow.llm.simhash import simhash_groups
 from weirflow.llm.urlfilter import DEFAULT, HOST_RULES, PATTERN_RULES, url_filter
+from weirflow.llm.warc import read_warc, transactions, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,6 +78,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM q
 """
 
+# base 32 of a digest: its 160 bits in runs of five
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, octet_length(encode(html))::BIGINT AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits,
+             min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+           1 + list_sum(list_transform(range(5), lambda k: bits[5 * i + k + 1]::BIGINT * (16 >> k::INT)))::BIGINT]), '') AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM h
+"""
+
 _PATTERNS = "".join(f" WHEN regexp_matches(url, '{pattern}') THEN '{verdict}'" for _, verdict, pattern, _ in PATTERN_RULES)
 
 OP6_SQL = f"""
@@ -128,6 +143,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_warc", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = shared_dir(spark)
+    write_warc(table(spark, sf_dir, "pages"), archive, min_bytes=0)
+    seen = transactions(written(read_warc(spark, archive, payloads=False)))
+    page = F.element_at("metadata", 1)["fields"]["page_id"].cast("long")
+    seen = seen.select("record_id", page.alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").alias("first_id"))
+    seen = written(seen)
+    firsts = seen.where("record_type = 'response'").select(F.col("record_id").alias("first_id"), F.col("page_id").alias("refers_to")).distinct()
+    return seen.join(firsts, "first_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op5_language_id")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
