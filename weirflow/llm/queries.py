@@ -16,6 +16,7 @@ from weirflow.llm.quality import BULLET, ELLIPSIS, RULES, STOP_WORDS, quality_ru
 from weirflow.llm.secrets import labelled_findings, secret_scan
 from weirflow.llm.secrets import train as train_secrets
 from weirflow.llm.simhash import simhash_groups
+from weirflow.llm.suffixdedup import dedup_spans
 from weirflow.llm.urlfilter import DEFAULT, HOST_RULES, PATTERN_RULES, url_filter
 from weirflow.llm.warc import read_warc, transactions, write_warc
 
@@ -138,6 +139,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op3_quality_rules", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
