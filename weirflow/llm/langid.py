@@ -154,14 +154,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Filter(sorted(per), found)
 
 
-def detect(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame:
-    """docs with the columns lang_pred and score (in place of its own, if it has any); all else stays."""
+def detect(docs: DataFrame, model: Filter, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score in the columns `into` (in place of its own, if it has any); all else stays."""
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("label string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
         label, score = model.predict([t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"lang_pred": label, "score": score})
+        return pd.DataFrame({"label": label, "score": score})
 
     found = fresh(docs, "found")
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.withColumn(found, judge(F.col(text_col))).select(*kept, F.col(found)["lang_pred"].alias("lang_pred"), F.col(found)["score"].alias("score"))
+    kept = [c for c in docs.columns if c.lower() not in into]
+    return docs.withColumn(found, judge(F.col(text_col))).select(*kept, F.col(found)["label"].alias(into[0]), F.col(found)["score"].alias(into[1]))

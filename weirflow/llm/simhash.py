@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import written
+from weirflow.llm.common import fresh, written
 from weirflow.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -165,3 +165,21 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = nodes.join(grouped, "fp", "left").select(F.col("fp").alias("node"), F.coalesce("component_id", "least").alias("component_id"))
     out = fps.join(whole, fps["fp"] == whole["node"])
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one document of each group: the one of least id (null after all others). All columns stay.
+
+    Documents meet their verdict by id and text, so rows that share an id are told apart; of rows equal
+    in both, one stays.
+    """
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    ranked = keyed.select(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(key).alias("key")).alias("who"), F.col(text_col).alias("body"))
+    groups = simhash_groups(ranked, "who", "body", **how)
+    stay = written(groups.where("who = component_id").select(F.col("who.key").alias(key)))
+    once = stay.distinct()
+    kept = keyed.join(once, key, "left_semi")
+    if stay.count() > once.count():  # equal rows: their keys are already together
+        kept = kept.dropDuplicates([key, id_col])
+    return kept.drop(key)
