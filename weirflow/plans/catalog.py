@@ -1,4 +1,7 @@
-"""Every query of the library, by name, with its SQL where SQL can state it."""
+"""Every query of the library, by name, with its SQL where SQL can state it.
+
+R is the click events and S the purchase events, joined on the user, unless a query says otherwise.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +10,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.functions import expressions as fx
+from weirflow.operators import estimates, metrics, partitions, strategies
+from weirflow.operators.strategies import match_count, r_side, s_side, window_join
+from weirflow.sources import relations
+from weirflow.spec import JoinSpec
+from weirflow.streaming import joins as streams
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+DAY, HOUR = 86_400_000, 3_600_000
+
+_R = "r AS (SELECT user_id AS k, event_id AS rid, ts AS rts FROM events WHERE event_type = 'click')"
+_S = "s AS (SELECT user_id AS k, event_id AS sid, ts AS sts FROM events WHERE event_type = 'purchase')"
+_RN = "rn AS (SELECT *, row_number() OVER (ORDER BY rts, rid) - 1 AS i, count(*) OVER () AS n FROM r)"
+_SN = "sn AS (SELECT *, row_number() OVER (ORDER BY sts, sid) - 1 AS i, count(*) OVER () AS n FROM s)"
+_E = "e AS (SELECT k, rid, sid, greatest(rts, sts) AS emit, row_number() OVER (ORDER BY greatest(rts, sts), rid, sid) - 1 AS i, count(*) OVER () AS n FROM r JOIN s USING (k))"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +44,295 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-@query("npj", "SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey")
-def npj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
-    s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
-    return s.join(r, "key").agg(F.count("*").alias("n"))
+def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r_side(table(spark, sf_dir, "events").where("event_type = 'click'"), "user_id", "event_id", "ts")
+
+
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s_side(table(spark, sf_dir, "events").where("event_type = 'purchase'"), "user_id", "event_id", "ts")
+
+
+def click_pairs(spark: SparkSession, sf_dir: str, strategy: str = "PRH", **how) -> DataFrame:
+    return window_join(clicks(spark, sf_dir), purchases(spark, sf_dir), JoinSpec(strategy, **how))
+
+
+# ---- lazy joins over foreign keys
+
+_ORDERS = "SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey"
+_PARTS = "SELECT count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey"
+_SUPPLIERS = "SELECT count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"
+
+
+def _keys(spark, sf_dir, r, r_key, s, s_key, s_id):
+    return r_side(table(spark, sf_dir, r), r_key, r_key), s_side(table(spark, sf_dir, s), s_key, s_id)
+
+
+def _foreign(name: str, strategy: str, sql: str, *columns: str) -> None:
+    query(name, sql)(lambda spark, sf_dir: match_count(window_join(*_keys(spark, sf_dir, *columns), JoinSpec(strategy))))
+
+
+for _name, _strategy in (("npj", "NPO"), ("npj_st", "NPO_st"), ("rj_st", "RJ_st")):
+    _foreign(_name, _strategy, _ORDERS, "customer", "c_custkey", "orders", "o_custkey", "o_orderkey")
+for _name, _strategy in (("prj", "PRO"), ("prh", "PRH"), ("prho", "PRHO"), ("mway", "m-way")):
+    _foreign(_name, _strategy, _PARTS, "part", "p_partkey", "lineitem", "l_partkey", "l_orderkey")
+for _name, _strategy in (("mpass", "m-pass"), ("mway_skew", "m-way+skew")):
+    _foreign(_name, _strategy, _SUPPLIERS, "supplier", "s_suppkey", "lineitem", "l_suppkey", "l_orderkey")
+
+
+@query("batch_stream_parts", "SELECT p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
+def batch_stream_parts(spark, sf_dir):
+    """A small table against a large stream; the join keeps only what the count needs."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    parts = F.broadcast(parts) if strategies.is_small(parts) else parts
+    return table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
+@query("self_join", "SELECT count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id")
+def self_join(spark, sf_dir):
+    """Very many matches per key: counted by key before they would be paired."""
+    per = table(spark, sf_dir, "events").where("user_id IS NOT NULL").groupBy("user_id").agg(F.count("*").alias("c"))
+    return per.agg(F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0)).cast("long").alias("n"))
+
+
+# ---- eager joins: the same pairs whatever brings them together
+
+_COUNT = f"WITH {_R}, {_S} SELECT count(*) AS n FROM r JOIN s USING (k)"
+_PAIRS = f"WITH {_R}, {_S} SELECT k AS key, rid AS r_id, sid AS s_id FROM r JOIN s USING (k)"
+_PHASES = (
+    f"WITH {_R}, {_S}, {_RN}, {_SN}, x AS (SELECT k, least(CAST(i * 5 // n AS INT), 4) AS run FROM rn), y AS (SELECT k, least(CAST(i * 5 // n AS INT), 4) AS run FROM sn) "
+    "SELECT CASE WHEN x.run = y.run THEN 'sort' ELSE 'merge' END AS phase, count(*) AS n FROM x JOIN y ON x.k = y.k GROUP BY 1"
+)
+
+for _strategy in strategies.STRATEGIES:
+    _name = _strategy.lower().replace("-", "_").replace("+", "_")
+    if _strategy.startswith(("SHJ", "RPJ")):
+        query(_name, _COUNT)(lambda spark, sf_dir, x=_strategy: match_count(click_pairs(spark, sf_dir, x)))
+    elif _strategy.startswith("PMJ"):
+        query(_name, _PHASES)(lambda spark, sf_dir, x=_strategy: click_pairs(spark, sf_dir, x).groupBy("phase").agg(F.count("*").alias("n")))
+
+
+@query("materialize", _PAIRS)
+def materialize(spark, sf_dir):
+    return click_pairs(spark, sf_dir, "SHJ_JB_NP").select("key", "r_id", "s_id")
+
+
+def _windowed(name: str, size: str, ms: int, strategy: str) -> None:
+    sql = f"WITH {_R}, {_S} SELECT r.k AS key, epoch_ms(time_bucket(INTERVAL {size}, rts)) AS window_ms, rid AS r_id, sid AS s_id FROM r JOIN s ON r.k = s.k AND time_bucket(INTERVAL {size}, rts) = time_bucket(INTERVAL {size}, sts)"
+    query(name, sql)(lambda spark, sf_dir: click_pairs(spark, sf_dir, strategy, window_ms=ms).select("key", "window_ms", "r_id", "s_id"))
+
+
+_windowed("window_join_1d", "1 DAY", DAY, "PRH")
+_windowed("window_join_1h", "1 HOUR", HOUR, "m-way")
+_windowed("window_join_npj", "1 DAY", DAY, "NPO")
+_windowed("window_join_jbcr", "1 DAY", DAY, "SHJ_JBCR_NP")
+
+
+@query("jbcr_members", f"WITH {_R}, {_S} SELECT sid % 2 AS member, count(*) AS n FROM r JOIN s USING (k) GROUP BY 1")
+def jbcr_members(spark, sf_dir):
+    """Matches found by each member of a group of two."""
+    return click_pairs(spark, sf_dir, "SHJ_JBCR_NP").groupBy(F.pmod("s_id", F.lit(2)).cast("long").alias("member")).agg(F.count("*").alias("n"))
+
+
+@query("freq_product", f"WITH {_R}, {_S}, a AS (SELECT k, count(*) AS c FROM r GROUP BY k), b AS (SELECT k, count(*) AS d FROM s GROUP BY k) SELECT CAST(sum(c * d) AS BIGINT) AS n FROM a JOIN b USING (k)")
+def freq_product(spark, sf_dir):
+    """The number of matches from the keys' counts alone."""
+    a = clicks(spark, sf_dir).groupBy("key").agg(F.count("*").alias("c"))
+    b = purchases(spark, sf_dir).groupBy("key").agg(F.count("*").alias("d"))
+    return a.join(b, "key").agg(F.sum(F.col("c") * F.col("d")).cast("long").alias("n"))
+
+
+# ---- early answers
+
+@query("snapshot", f"WITH {_R}, {_S}, {_RN}, {_SN}, w(pct) AS (VALUES (25), (50), (100)) SELECT pct, count(*) AS n FROM w JOIN rn ON rn.i * 100 < pct * rn.n JOIN sn ON sn.i * 100 < pct * sn.n AND rn.k = sn.k GROUP BY pct")
+def snapshot(spark, sf_dir):
+    return estimates.snapshots(clicks(spark, sf_dir), purchases(spark, sf_dir), [25, 50, 100])
+
+
+@query(
+    "ripple",
+    f"WITH {_R}, {_S}, {_RN}, {_SN}, a AS (SELECT * FROM rn WHERE i * 100 < 20 * n), b AS (SELECT * FROM sn WHERE i * 100 < 20 * n), m AS (SELECT count(*) AS c FROM a JOIN b USING (k)) "
+    "SELECT (SELECT count(*) FROM a) AS r_seen, (SELECT count(*) FROM b) AS s_seen, c AS seen_matches, "
+    "round(CAST((SELECT count(*) FROM r) AS DOUBLE) * (SELECT count(*) FROM s) / ((SELECT count(*) FROM a) * (SELECT count(*) FROM b)) * c, 6) AS estimate FROM m",
+)
+def ripple(spark, sf_dir):
+    out = estimates.ripple_estimate(clicks(spark, sf_dir), purchases(spark, sf_dir), 20)
+    return out.withColumn("estimate", F.round("estimate", 6))
+
+
+# ---- metrics in event time
+
+@query("emit_time", f"WITH {_R}, {_S} SELECT greatest(rts, sts) AS t, CASE WHEN rts > sts THEN 'R' ELSE 'S' END AS side, count(*) AS n FROM r JOIN s USING (k) GROUP BY 1, 2")
+def emit_time(spark, sf_dir):
+    return metrics.emission_counts(click_pairs(spark, sf_dir))
+
+
+@query("p95", f"WITH {_R}, {_S}, {_E} SELECT i, emit FROM e WHERE i = CAST(floor(n * 0.95) AS BIGINT)")
+def p95(spark, sf_dir):
+    return metrics.at_share(metrics.ranked(click_pairs(spark, sf_dir)), 0.95).select("i", "emit")
+
+
+_SHARES = [0.01, 0.05, 0.1, 0.25, 0.5]
+
+
+@query("time_to_pct", f"WITH {_R}, {_S}, {_E}, p AS (SELECT unnest({_SHARES}::DOUBLE[]) AS share) SELECT share, i, emit FROM e JOIN p ON e.i = CAST(ceil((n - 1) * share) AS BIGINT)")
+def time_to_pct(spark, sf_dir):
+    return metrics.time_to(spark, metrics.ranked(click_pairs(spark, sf_dir)), _SHARES).select("share", "i", "emit")
+
+
+@query("progress_cdf", f"WITH {_R}, {_S}, {_E} SELECT i, round(i / CAST(n - 1 AS DOUBLE), 9) AS y FROM e")
+def progress_cdf(spark, sf_dir):
+    return metrics.progress(metrics.ranked(click_pairs(spark, sf_dir))).withColumn("y", F.round("y", 9))
+
+
+@query("latency", f"WITH {_R}, {_S} SELECT rid AS r_id, sid AS s_id, round(abs(epoch_us(rts) - epoch_us(sts)) / 1000.0, 3)::DOUBLE AS latency_ms FROM r JOIN s USING (k)")
+def latency(spark, sf_dir):
+    return metrics.latency(click_pairs(spark, sf_dir)).select("r_id", "s_id", F.round("latency_ms", 3).alias("latency_ms"))
+
+
+@query(
+    "disorder_gap",
+    f"WITH {_R}, {_S}, {_SN}, m AS (SELECT sid, row_number() OVER (ORDER BY sts, sid, rid) - 1 AS m FROM r JOIN s USING (k) WHERE sts >= rts) SELECT sn.i - m.m AS gap, count(*) AS n FROM m JOIN sn USING (sid) GROUP BY 1",
+)
+def disorder_gap(spark, sf_dir):
+    return metrics.disorder(click_pairs(spark, sf_dir), estimates.arrivals(purchases(spark, sf_dir), "s_id", "s_ts"))
+
+
+# ---- partitions
+
+@query("part_load", "SELECT o_custkey % 8 AS worker, count(*) AS n FROM orders GROUP BY 1")
+def part_load(spark, sf_dir):
+    return strategies.worker_counts(table(spark, sf_dir, "orders"), F.col("o_custkey"), 8)
+
+
+@query("radix", "SELECT l_partkey & 15 AS p1, (l_partkey & 240) // 16 AS p2, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def radix(spark, sf_dir):
+    return partitions.radix_histogram(table(spark, sf_dir, "lineitem"), F.col("l_partkey"))
+
+
+@query("radix_offsets", "SELECT *, CAST(coalesce(sum(n) OVER (ORDER BY p1, p2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT l_partkey & 15 AS p1, (l_partkey & 240) // 16 AS p2, count(*) AS n FROM lineitem GROUP BY 1, 2)")
+def radix_offsets(spark, sf_dir):
+    return partitions.offsets(radix(spark, sf_dir), "p1", "p2")
+
+
+@query("heavy", "SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > (SELECT 1.1 * count(*) / count(DISTINCT l_suppkey) FROM lineitem)")
+def heavy(spark, sf_dir):
+    return partitions.above_average(table(spark, sf_dir, "lineitem"), "l_suppkey", 1.1)
+
+
+@query("merged_histogram", "SELECT k, count(*) AS n FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer) GROUP BY k")
+def merged_histogram(spark, sf_dir):
+    count = lambda t, c: table(spark, sf_dir, t).groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n"))
+    return partitions.merged_histogram(count("orders", "o_custkey"), count("customer", "c_custkey"))
+
+
+@query("equi_depth", "SELECT CAST(floor(s * 8 / w) AS INT) AS part, min(k) AS lo, max(k) AS hi, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, sum(n) OVER () AS w FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1)) GROUP BY 1")
+def equi_depth(spark, sf_dir):
+    return partitions.equi_depth(table(spark, sf_dir, "lineitem"), "l_partkey", 8)
+
+
+@query("moments", "SELECT round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS stddev FROM lineitem")
+def moments(spark, sf_dir):
+    return partitions.moments(table(spark, sf_dir, "lineitem"), "l_quantity").select(F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"))
+
+
+@query("expressions", "SELECT o_orderkey, o_custkey % 7 AS worker, ((o_custkey - 1) & 65535) >> 12 AS top_bits, CAST(pow(2, ceil(log2(o_custkey))) AS BIGINT) AS room FROM orders WHERE o_custkey > 1")
+def expressions(spark, sf_dir):
+    k = F.col("o_custkey")
+    return table(spark, sf_dir, "orders").where(k > 1).select("o_orderkey", fx.worker(k, 7).alias("worker"), fx.leading_radix(k, 16, 4).alias("top_bits"), fx.next_power_of_two(k).alias("room"))
+
+
+# ---- sources
+
+@query("smooth", "WITH e AS (SELECT event_id AS rid, epoch_ms(ts) // 3600000 AS t FROM events), c AS (SELECT t, count(*) AS c, lead(t) OVER (ORDER BY t) AS nt FROM e GROUP BY t), j AS (SELECT rid, t, row_number() OVER (PARTITION BY t ORDER BY rid) - 1 AS j FROM e) SELECT rid, CASE WHEN nt IS NULL THEN t ELSE CAST(floor(t + j * ((nt - t) / CAST(c AS DOUBLE))) AS BIGINT) END AS ts FROM j JOIN c USING (t)")
+def smooth(spark, sf_dir):
+    hours = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / HOUR)
+    return relations.smooth(table(spark, sf_dir, "events").select(F.col("event_id").alias("rid"), hours.alias("ts")))
+
+
+@query("zipf_cdf", "WITH w AS (SELECT i, pow(CAST(i AS DOUBLE), -0.8) AS p FROM (SELECT unnest(range(1, 101)) AS i)) SELECT i, round(sum(p) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) / sum(p) OVER (), 9) AS cdf FROM w")
+def zipf_cdf(spark, sf_dir):
+    return relations.zipf_cdf(spark, 100, 0.8).withColumn("cdf", F.round("cdf", 9))
+
+
+@query("uniform_ts", "SELECT id % 500 + 1 AS key, id AS rid, 5 * (id // 40 + 1) AS ts FROM (SELECT unnest(range(10000)) AS id)")
+def uniform_ts(spark, sf_dir):
+    return relations.uniform_ts(relations.foreign_keys(spark, 10000, 500), 40, 5)
+
+
+@query("duplicate_keys", "SELECT c_custkey AS key, c_custkey * 3 + j AS rid FROM customer, (SELECT unnest([0, 1, 2]) AS j)")
+def duplicate_keys(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("rid"))
+    return relations.duplicate(keys, 3)
+
+
+@query("fk_from_pk", "WITH p AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier), g AS (SELECT unnest(range(2500)) AS rid) SELECT key, rid FROM g JOIN p ON rid % n = i")
+def fk_from_pk(spark, sf_dir):
+    pk = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_suppkey").alias("rid"))
+    return relations.foreign_keys_of(pk, 2500, F.floor(F.col("rid") / 4096))
+
+
+@query("round_robin", "SELECT event_id, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) % 8 AS INT) AS part FROM events")
+def round_robin(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "ts")
+    return relations.round_robin(df, 8, F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000), "ts", "event_id").select("event_id", "part")
+
+
+@query("first_rows", "SELECT event_id, user_id FROM events ORDER BY ts, event_id LIMIT 100")
+def first_rows(spark, sf_dir):
+    return relations.first_rows(table(spark, sf_dir, "events"), 100, "ts", "event_id").select("event_id", "user_id")
+
+
+@query("unique_self_join", "SELECT CAST(1280 AS BIGINT) AS n")
+def unique_self_join(spark, sf_dir):
+    """1280 unique keys against the same in another order."""
+    side = lambda name, seed: relations.unique_keys(spark, 1280, seed).select("key", F.col("rid").alias(f"{name}_id"), F.lit(None).cast("timestamp_ntz").alias(f"{name}_ts"))
+    return match_count(window_join(side("r", 1), side("s", 2), JoinSpec("PRO")))
+
+
+for _z in (0.0, 0.4, 0.8, 1.2, 1.6):
+    @query(f"zipf_self_join_{str(_z).replace('.', '')}", "SELECT CAST(20000 AS BIGINT) AS n")
+    def zipf_self_join(spark, sf_dir, z=_z):
+        """A skewed foreign-key side against its unique keys: every row matches once, however skewed."""
+        s = relations.zipf_keys(spark, 20000, 1000, z).select("key", F.col("rid").alias("s_id"), F.lit(None).cast("timestamp_ntz").alias("s_ts"))
+        r = relations.unique_keys(spark, 1000).select("key", F.col("rid").alias("r_id"), F.lit(None).cast("timestamp_ntz").alias("r_ts"))
+        return match_count(window_join(r, s, JoinSpec("m-way+skew")))
+
+
+# ---- streams
+
+def _streamed(spark, sf_dir, side: str) -> DataFrame:
+    """Streams have timestamps with a zone, which watermarks need."""
+    e = streams.stream_of(spark, f"{sf_dir}/events.parquet")
+    kind = "click" if side == "r" else "purchase"
+    return e.where(f"event_type = '{kind}'").select(F.col("user_id").alias("key"), F.col("event_id").alias(f"{side}_id"), F.col("ts").cast("timestamp").alias(f"{side}_ts"))
+
+
+@query("stream_stream", _PAIRS)
+def stream_stream(spark, sf_dir):
+    return streams.drain(streams.symmetric_hash(_streamed(spark, sf_dir, "r"), _streamed(spark, sf_dir, "s"))).select("key", "r_id", "s_id")
+
+
+@query("stream_static", _PAIRS)
+def stream_static(spark, sf_dir):
+    return streams.drain(streams.with_table(clicks(spark, sf_dir), _streamed(spark, sf_dir, "s"))).select("key", "r_id", "s_id")
+
+
+@query("stream_window_1d", f"WITH {_R}, {_S} SELECT r.k AS key, rid AS r_id, sid AS s_id FROM r JOIN s ON r.k = s.k AND time_bucket(INTERVAL 1 DAY, rts) = time_bucket(INTERVAL 1 DAY, sts)")
+def stream_window_1d(spark, sf_dir):
+    return streams.drain(streams.windowed(_streamed(spark, sf_dir, "r"), _streamed(spark, sf_dir, "s"), "1 day", "40 days")).select("key", "r_id", "s_id")
+
+
+@query("stream_interval_1h", f"WITH {_R}, {_S} SELECT r.k AS key, rid AS r_id, sid AS s_id FROM r JOIN s ON r.k = s.k AND sts >= rts AND sts <= rts + INTERVAL 1 HOUR")
+def stream_interval_1h(spark, sf_dir):
+    return streams.drain(streams.within(_streamed(spark, sf_dir, "r"), _streamed(spark, sf_dir, "s"), "0 seconds", "1 hour", "40 days")).select("key", "r_id", "s_id")
+
+
+@query("stream_stateful", _PAIRS)
+def stream_stateful(spark, sf_dir):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, streams.ROCKSDB)
+    try:
+        return streams.drain(streams.stateful(_streamed(spark, sf_dir, "r"), _streamed(spark, sf_dir, "s"))).select("key", "r_id", "s_id")
+    finally:
+        spark.conf.set(provider, before)
