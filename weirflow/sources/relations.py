@@ -176,7 +176,7 @@ def make_relation(spark: SparkSession, spec: RelationSpec) -> DataFrame:
 
 def write_relation(df: DataFrame, path: str) -> None:
     """`key rid` lines, separated by a blank, under a header in every file."""
-    df.select(F.col("key").alias("#KEY"), F.col("rid").alias("VAL")).write.option("header", True).option("sep", " ").csv(path)
+    df.select(F.col("key").alias("#KEY"), F.col("rid").alias("VAL")).write.option("header", True).option("sep", " ").option("comment", "~").csv(path)
 
 
 def write_pairs(pairs: DataFrame, path: str, by_key: bool = False) -> None:
