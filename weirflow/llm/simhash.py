@@ -73,8 +73,8 @@ def forest(left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray,
     none = len(nodes)
     while True:
         new = label.copy()
-        np.minimum.at(new, a, np.where(near, label[b][None, :], none).min(1))
-        np.minimum.at(new, b, np.where(near, label[a][:, None], none).min(0))
+        np.minimum.at(new, a, np.where(near, label[b][None, :], none).min(1, initial=none))
+        np.minimum.at(new, b, np.where(near, label[a][:, None], none).min(0, initial=none))
         new = np.minimum(new, new[new])
         if (new == label).all():
             break
@@ -94,21 +94,23 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> Da
         ball = f"filter(transform(sequence(0, {width - 1}), b -> {own} | shiftleft(1L, b)), v -> v <> {own})"
         spots.append(F.expr(f"transform({ball}, v -> struct({s} AS seg, v AS value, false AS home))"))
     spots = fps.select("fp", F.inline(F.concat(*spots)))
-    # how many tiles each side of a bucket is cut into; buckets without homes, or with a home alone, link nothing
+    # how many tiles each side of a large bucket is cut into; all others are one tile
     load = spots.groupBy("seg", "value").agg(F.sum(F.col("home").cast("int")).alias("homes"), F.sum((~F.col("home")).cast("int")).alias("calls"))
-    load = load.where("homes > 0 and homes + calls > 1").select("seg", "value", F.ceil(F.col("homes") / tile).cast("int").alias("rows"), F.ceil(F.col("calls") / tile).cast("int").alias("cols"))
-    spots = spots.join(load, ["seg", "value"])
+    load = load.where(f"homes > {tile} OR calls > {tile}").select("seg", "value", F.ceil(F.col("homes") / tile).cast("int").alias("rows"), F.ceil(F.col("calls") / tile).cast("int").alias("cols"))
+    spots = spots.join(load, ["seg", "value"], "left").fillna(1, ["rows", "cols"])
     place = F.pmod(F.xxhash64("fp", F.lit(7)), F.when(F.col("home"), F.col("rows")).otherwise(F.greatest("cols", F.lit(1)))).cast("int")
     spots = spots.withColumn("at", place)
-    # a home meets all lookups and all later runs of homes; a lookup meets all homes
+    # a home meets all lookups and all later runs of homes, a lookup all homes; a bucket of one tile has both meetings in it
     all_of = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    tiles = F.when(
-        F.col("home"),
-        F.concat(
-            F.transform(all_of(F.col("cols")), lambda c: F.struct(F.col("at").alias("x"), c.alias("y"), F.lit(False).alias("among"))),
-            F.transform(all_of(F.col("rows")), lambda r: F.struct(F.least(r, F.col("at")).alias("x"), F.greatest(r, F.col("at")).alias("y"), F.lit(True).alias("among"))),
-        ),
-    ).otherwise(F.transform(all_of(F.col("rows")), lambda r: F.struct(r.alias("x"), F.col("at").alias("y"), F.lit(False).alias("among"))))
+    tiles = F.when((F.col("rows") == 1) & (F.col("cols") == 1), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("among")))).otherwise(
+        F.when(
+            F.col("home"),
+            F.concat(
+                F.transform(all_of(F.col("cols")), lambda c: F.struct(F.col("at").alias("x"), c.alias("y"), F.lit(False).alias("among"))),
+                F.transform(all_of(F.col("rows")), lambda r: F.struct(F.least(r, F.col("at")).alias("x"), F.greatest(r, F.col("at")).alias("y"), F.lit(True).alias("among"))),
+            ),
+        ).otherwise(F.transform(all_of(F.col("rows")), lambda r: F.struct(r.alias("x"), F.col("at").alias("y"), F.lit(False).alias("among"))))
+    )
     dealt = spots.select("fp", "seg", "value", "home", F.inline(tiles))
     key = ["seg", "value", "x", "y", "among"]
     dealt = dealt.select(F.xxhash64(*key).alias("tile"), *key, "home", "fp")
@@ -131,7 +133,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> Da
         among = pdf["among"].to_numpy(bool)
         size = np.diff(starts)
         out_a, out_b = [], []
-        # small tiles together: each row with the rows that follow it at distance 1, 2, ...
+        # small tiles together: each row with the rows that follow it at distance 1, 2, ...; lookups meet no lookups
         small = size <= 8
         tile_of = np.repeat(np.arange(len(size)), size)
         n = len(tile_of)
@@ -139,13 +141,13 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> Da
         keep = small[tile_of]
         t, f, h, g = tile_of[keep], fp_s[keep], home_s[keep], among_s[keep]
         for step in range(1, int(size[small].max(initial=0))):
-            near = (t[step:] == t[:-step]) & (g[step:] | (h[step:] != h[:-step])) & (np.bitwise_count(f[step:] ^ f[:-step]) <= distance)
+            near = (t[step:] == t[:-step]) & (h[step:] | h[:-step]) & (g[step:] | (h[step:] != h[:-step])) & (np.bitwise_count(f[step:] ^ f[:-step]) <= distance)
             out_a.append(f[step:][near])
             out_b.append(f[:-step][near])
         for i in np.flatnonzero(~small):
             lo, hi = starts[i], starts[i + 1]
             f, h = fp[lo:hi], home[lo:hi]
-            a, b = forest(f, f, distance) if among[lo] else forest(f[h], f[~h], distance)
+            a, b = forest(f[h], f, distance) if among[lo] else forest(f[h], f[~h], distance)
             out_a.append(a)
             out_b.append(b)
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
@@ -163,6 +165,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     grouped = grouped.join(least, "root").select("fp", "component_id")
     whole = nodes.join(grouped, "fp", "left").select(F.col("fp").alias("node"), F.coalesce("component_id", "least").alias("component_id"))
+    whole = written(whole)  # a table of its own, so that Spark can split a fingerprint with very many documents
     out = fps.join(whole, fps["fp"] == whole["node"])
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
