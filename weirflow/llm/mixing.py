@@ -59,7 +59,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     })
     cap = max_epochs * F.col("source_size")
     s = s.withColumn("stops", cap * F.col("open") <= F.col("left") * F.col("weight"))
-    rate = F.min(F.when(~F.col("stops"), F.struct((F.col("source_size") / F.col("weight")).alias("o"), F.col("left"), F.col("open")))).over(every)
+    rate = F.max(F.when(~F.col("stops"), F.struct("left", "open"))).over(every)  # of the first that goes on: least is taken off before it
     s = s.withColumn("rate", rate)
     target = F.when(F.col("stops"), cap.cast("double")).otherwise(F.col("rate.left").cast("double") * F.col("weight") / F.col("rate.open"))
     s = s.withColumn("target", target)

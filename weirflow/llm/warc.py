@@ -91,7 +91,7 @@ def _fields(data: bytes) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     for line in data.decode("utf-8", "replace").split("\r\n"):
         if line[:1] in (" ", "\t") and out:
-            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
         elif ":" in line:
             name, _, value = line.partition(":")
             out.append((name.strip().lower(), value.strip()))
