@@ -1,0 +1,288 @@
+"""Operators against plain versions, on texts made to be awkward."""
+
+import random
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+from oracle import SMALL, same  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from weirflow.llm import decontaminate, langid, licenses, mixing, quality, queries, secrets, simhash, suffixdedup, urlfilter, warc  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, row string, t string, id string, size string, score string, w string, fp string, features string"
+
+
+def table(spark, texts, ids=None, langs=None, sources=None):
+    """Documents with columns whose names operators might use themselves."""
+    ids = ids or list(range(len(texts)))
+    made = [(i, t, (langs or ["en"])[k % len(langs or "x")], (sources or ["a", "b", None])[k % len(sources or "xxx")], *["?"] * 8) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return spark.createDataFrame(made, SCHEMA)
+
+
+RNG = random.Random(11)
+VOCABULARY = ["alpha", "Béta", "GAMMA", "δέλτα", "eps1lon", "the", "of", "a", "x", "MIT", "license", "ÀÉ", "日本", "zz9"]
+
+
+def prose(n, vocabulary=VOCABULARY):
+    return "".join(RNG.choice(vocabulary) + RNG.choice([" ", " ", " ", "\n", ", ", "\t", "  ", "-", " ", "\x0b"]) for _ in range(n))
+
+
+BASE = [prose(RNG.randrange(1, 120)) for _ in range(25)]
+LONG = prose(4000, [f"word{i}" for i in range(500)])
+TEXTS = [
+    None, "", " \n\t ", "!!! ??", "one", "Two words", *BASE, *BASE[:6], "x" * 450, "ab" * 400, LONG, "pre " + LONG[100:5000] + " post", BASE[3] + " " + BASE[4], BASE[4] + BASE[5], LONG[:300], "\U0001f600 emoji " * 30,
+]
+IDS = [*range(len(TEXTS) - 3), 7, None, None]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, TEXTS, IDS).repartition(3)
+
+
+def result(df, *columns):
+    key = lambda r: tuple(str(x) for x in r)
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=key)
+
+
+def expect(rows):
+    return sorted(rows, key=lambda r: tuple(str(x) for x in r))
+
+
+DOCS = list(zip(IDS, TEXTS, strict=True))
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 1])
+def test_contamination(spark, docs, limit):
+    items = [(1, BASE[2]), (2, None), (3, "two WORDS"), (4, " ".join(BASE[5].split()[3:25])), (5, "..."), (12, LONG[1000:1200]), (13, LONG[1000:1200])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = decontaminate.contamination(docs, bench, broadcast_windows=limit)
+    df = df.select("doc_id", "n_words", "n_hit", F.size("items").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("s"), "contaminated", "spans")
+    assert result(df, "doc_id", "n_words", "n_hit", "n", "s", "contaminated") == expect(brute.contamination(DOCS, items))
+    assert all(sum(s.end - s.start for s in r.spans) == r.n_hit for r in df.collect())
+
+
+def test_clean_documents(spark, docs):
+    bench = spark.createDataFrame([(1, BASE[2]), (3, "two WORDS")], "item_id long, text string")
+    bad = {(r[0], t) for r, (_, t) in zip(brute.contamination(DOCS, [(1, BASE[2]), (3, "two WORDS")]), DOCS, strict=True) if r[5]}
+    kept = decontaminate.clean_documents(docs, bench)
+    assert kept.columns == docs.columns
+    assert result(kept, "doc_id", "text") == expect([d for d in DOCS if d not in bad])
+    cut = decontaminate.clean_documents(docs, bench, mode="span")
+    assert cut.count() == len(DOCS)
+    assert not decontaminate.contamination(cut, bench).where("contaminated").count()
+    assert result(cut.where("doc_id = 5"), "text") == [(" ",)]
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert not decontaminate.contamination(docs, none).where("contaminated").count()
+
+
+def test_repeated_bytes(docs, monkeypatch):
+    got = result(suffixdedup.dedup_spans(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == expect(brute.repeated_bytes(DOCS))
+    short = suffixdedup.dedup_spans(docs, least=60, gram=20)
+    assert result(short, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expect(brute.repeated_bytes(DOCS, 60))
+
+
+def test_long_texts_are_cut_into_pieces(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(suffixdedup, "CHUNK", 2000)
+    suffixdedup._tables.cache_clear()
+    text = bytes(rng.choice(b"abcd ") for _ in range(9000))
+    got = suffixdedup.anchors([text, b"", text[:500]], 200, 40)
+    first = got[got["text"] == 0]
+    starts = sorted(s for p, lo, hi in first[["pos", "lo", "hi"]].itertuples(index=False) for s in range(p - hi, p - lo + 1))
+    assert starts == list(range(len(text) - 199))
+    suffixdedup._tables.cache_clear()
+
+
+def test_quality(docs):
+    df = quality.quality_rules(docs)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert result(df, "doc_id", *names) == expect([(i, *brute.quality_counts(t)) for i, t in DOCS])
+    for r in df.collect():
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert r.kept == (not r.base_failed and not r.failed_rules)
+    assert not df.where("kept AND symbol_ratio > 0.1").count()
+
+
+def test_language_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = queries.QUERIES["op5_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id")
+    held = out.where("held_out")
+    assert held.count() > 150 and held.where("lang = lang_pred").count() / held.count() >= 0.97
+    assert out.where("score < 0 OR score > 1").count() == 0
+
+
+def test_language_edges(spark, docs):
+    model = langid.train(table(spark, ["the cat sat on the mat " * 20, "der hund und die katze " * 20, None], langs=["en", "de", None]))
+    got = {r.text: (r.lang_pred, r.score) for r in langid.detect(table(spark, [None, "", "12 3!", "the mat", "DIE KATZE", "the " * 50000]), model).collect()}
+    assert got[None] == got[""] == got["12 3!"] == ("und", 0.0)
+    assert got["the mat"][0] == "en" and got["DIE KATZE"][0] == "de"
+    assert langid.detect(docs, model).count() == len(DOCS)
+    assert langid.Filter([], {}).predict(["text"]) == (["und"], [0.0])
+    many = langid.Filter([f"l{i}" for i in range(70)], {f"l{i}": [(3, i * 7919 + 1)] for i in range(70)})
+    assert many.masks.shape[0] == 2
+
+
+def test_simhash(docs):
+    assert result(simhash.simhash_groups(docs), "doc_id", "fingerprint", "component_id") == expect(brute.simhash(DOCS))
+
+
+def test_simhash_links_in_tiles(spark):
+    import numpy as np
+    import pandas as pd
+
+    from weirflow.llm.components import components
+
+    rng = random.Random(1)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    xs = set(base)
+    for b in base[:8] + base[:1] * 20:
+        for _ in range(15):
+            v = b
+            for _ in range(rng.randint(0, 6)):
+                v ^= 1 << rng.randrange(64)
+            xs.add(v)
+    xs = np.array(sorted(xs), np.uint64).view(np.int64)
+    near = np.bitwise_count(xs[:, None] ^ xs[None, :]) <= 4
+    label = np.arange(len(xs))
+    for _ in range(len(xs)):
+        label = np.where(near, label[None, :], len(xs)).min(1)
+    for tile in (1024, 16):
+        links = simhash.near_links(spark.createDataFrame(pd.DataFrame({"fp": xs})), tile=tile)
+        root = {r.node: r.root for r in components(links, "a", "b").collect()}
+        got = [root.get(int(x), int(x)) for x in xs]
+        assert len({(a, b) for a, b in zip(label.tolist(), got, strict=True)}) == len(set(label.tolist())) == len(set(got))
+
+
+def test_near_dedup_keeps_one_of_each_group(docs):
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    groups = {}
+    for (doc, text), (_, _, c) in zip(DOCS, brute.simhash([(k, t) for k, (_, t) in enumerate(DOCS)]), strict=True):
+        groups.setdefault(c, []).append((doc is None, doc, text))
+    assert kept.count() == len(groups)
+    for doc, text in result(kept, "doc_id", "text"):
+        own = next(g for g in groups.values() if (doc is None, doc, text) in g)
+        assert doc == min((d for _, d, _ in own if d is not None), default=None)
+
+
+def test_mixing(spark, docs):
+    out = mixing.mix_counts(docs, block=16).collect()
+    assert len(out) == len(DOCS)
+    assert all(r["size"] == len(brute.PLAIN.findall(t or "")) for r, t in [(r, dict(DOCS)[r.doc_id]) for r in out if r.doc_id not in (None, 7)])
+    assert all(0 <= r.taken <= 3 * r["size"] for r in out)
+    whole = sum(r["size"] for r in out)
+    targets = {r.source: (r.target, r.source_size) for r in out}
+    assert abs(sum(t for t, _ in targets.values()) - whole) < 1e-6 * whole
+    for source, (target, size) in targets.items():
+        taken = sum(r.taken for r in out if r.source == source)
+        assert target <= 3 * size + 1e-9 and abs(taken - target) <= 16 * 4 + 0.02 * target
+    again = mixing.mix_counts(docs.repartition(5), block=16)
+    assert result(again, *again.columns) == expect([tuple(r) for r in out])
+
+
+def test_mixing_caps_small_sources(spark):
+    docs = table(spark, ["w " * 10, "w " * 1000, "w " * 500, None], sources=["a", "b", "c", None])
+    got = {r.source: r for r in mixing.mix_counts(docs, block=16).collect()}
+    assert got["a"].target == 30 and got["a"].taken == 30
+    assert abs(got["b"].target - 1480 * 2 / 3) < 1e-9 and abs(got["c"].target - 1480 / 3) < 1e-9
+    assert (got[None]["size"], got[None].target, got[None].taken) == (0, 0.0, 0)
+
+
+def test_secrets(spark, docs):
+    model = secrets.train(secrets.labelled_findings(spark))
+    fresh = model.transform(secrets.vectors(secrets.labelled_findings(spark, 1500, seed=7)))
+    right = fresh.where("prediction = label").count()
+    assert right / 1500 >= 0.95
+    texts = ['see token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" here', "commit 9b0b3c6a43eb78aa99cbd7049c572391524f37a8", None, "", "no key", 'É api_key: "dGhpcyBpcyBhIHNlY3JldCBrZXk0Mg7" and token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff".']
+    t = table(spark, [*texts, texts[0]], [*range(6), None])
+    found = {(r.doc_id, len(r.findings)) for r in secrets.secret_scan(t, model).collect()}
+    assert found == {(0, 1), (1, 0), (2, 0), (3, 0), (4, 0), (5, 2), (None, 1)}
+    clean = {r.doc_id: r.text for r in secrets.redact(t, model).collect()}
+    assert clean[0] == clean[None] == 'see token = "[SECRET]" here' and clean[1] == texts[1]
+    assert clean[5] == 'É api_key: "[SECRET]" and token = "[SECRET]".' and clean[2] is None
+    assert secrets.redact(t, model).columns == t.columns
+
+
+def test_candidates_are_those_of_the_pattern(docs):
+    import re
+
+    pattern = re.compile(secrets.CANDIDATE)
+    got = result(secrets.candidates(docs).where("candidate IS NOT NULL"), "id", "start", "candidate")
+    assert got == expect([(i, m.start(), m.group()) for i, t in DOCS for m in pattern.finditer(t or "")])
+
+
+def test_licenses(spark, docs):
+    got = result(licenses.license_scan(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert got == expect([(i, *brute.licenses(t, licenses.BASE)) for i, t in DOCS])
+    texts = ["Released under the MIT License.", "CC-BY-NC 4.0", "GNU General Public License\nv3", "Apache license apache license", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License 2.1", "unlicense", "mit"]
+    labels = [r.labels for r in licenses.license_scan(table(spark, texts).coalesce(1)).orderBy("doc_id").collect()]
+    assert labels == ["mit", "cc-by,cc-by-nc", "gpl", "apache", "lgpl", "unlicense", ""]
+    assert len(licenses.rules()) > 200
+
+
+def test_urls(spark):
+    urls = [
+        None, "", "example.com/en/", "http://example.com/en/a", "http://EXAMPLE.com/en/", "http://www.example.com/en/1?x=/fr/", "http://a.www.example.com/en/", "http://notexample.com/en/", "http://x.net/es/1", "http://x.net/ES/1",
+        "http://net/fr/", "http://x.net?/fr/", "http://x.com", "http://x.com/", "https://x.org/http://y.com/", "ftp://a.b.example.com/en", "http://x.com:80/", "http://u@x.net/fr/#a", "HTTP://free-bets.example.org/en/4047/", "http://10.0.0.1/a", "http://x.org/wp-admin/", "http://ü.com/",
+    ]
+    pages = spark.createDataFrame([(i, u, "?") for i, u in enumerate(urls)] + [(None, urls[3], "?"), (3, urls[3], "?")], "page_id long, url string, token string")
+    out = urlfilter.url_filter(pages).collect()
+    assert len(out) == len(urls) + 2
+    for r in out:
+        host, path, best = brute.url_rule(urls[3] if r.page_id is None else urls[r.page_id], urlfilter.HOST_RULES)
+        assert (r.host, r.path, r.rule) == (host, path, best and best[1]), r
+        if best:
+            assert r.verdict == best[2]
+    verdict = {r.page_id: (r.pattern, r.verdict) for r in out if not r.rule}
+    assert verdict[18] == ("bets", "block") and verdict[19] == ("ip-host", "block") and verdict[20] == ("wp-admin", "block") and verdict[0] == (None, "allow")
+    assert urlfilter.url_filter(pages, host_rules=[], pattern_rules=[]).where("verdict <> 'allow'").count() == 0
+
+
+def test_warc(spark, tmp_path):
+    import base64
+    import gzip
+    import hashlib
+
+    pages = [(3, "http://a/x?q#f", "<p>é</p>"), (1, "http://a/y", "<p>é</p>"), (2, None, None), (4, "http://b\r\n/", ""), (None, "http://c/", "<p>é</p>"), (5, "http://d/", "WARC/1.1\r\n\r\n\r\nx\r\n\r\n"), (5, "http://d/", "WARC/1.1\r\n\r\n\r\nx\r\n\r\n")]
+    df = spark.createDataFrame([(*p, "?") for p in pages], "page_id long, url string, html string, body string")
+    for least, kinds in ((0, {1: "response", 2: "response", 3: "revisit", 4: "revisit", None: "response", 5: "response"}), (1, {1: "response", 2: "response", 3: "revisit", 4: "response", None: "response", 5: "response"})):
+        path = str(tmp_path / f"w{least}")
+        warc.write_warc(df, path, min_bytes=least, records_per_file=4)
+        out = warc.transactions(warc.read_warc(spark, path)).collect()
+        assert len(out) == len(pages)
+        for r in out:
+            page = r.metadata[0].fields.get("page_id")
+            page = int(page) if page else None
+            html = next(h for i, _, h in pages if i == page) or ""
+            assert r.type == kinds[page] and len(r.requests) >= 1
+            assert r.payload_bytes == len(html.encode()) and r.payload_digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode() == r.stated_digest
+            assert r.type == "revisit" or bytes(r.payload) == html.encode()
+    # records that name each other the other way round, or over a request; members of their own
+    rec = lambda kind, i, body, *more: ("\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{i}>", *more, f"Content-Length: {len(body)}"]) + "\r\n\r\n" + body + "\r\n\r\n").encode()
+    parts = [rec("warcinfo", "w", ""), rec("response", "r", "x", "WARC-Concurrent-To: <q>"), rec("request", "q", "GET"), rec("metadata", "m", "a: b\r\n", "Content-Type: application/warc-fields", "WARC-Concurrent-To:", "  <q>"), rec("resource", "z", "zz")]
+    (tmp_path / "own").mkdir()
+    (tmp_path / "own/a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    got = {r.record_id: r for r in warc.transactions(warc.read_warc(spark, str(tmp_path / "own"))).collect()}
+    assert set(got) == {"<r>", "<z>"} and [x.record_id for x in got["<r>"].requests] == ["<q>"] and got["<r>"].metadata[0].fields == {"a": "b"} and got["<z>"].requests == []
+
+
+def test_empty_tables(spark):
+    docs, none = table(spark, ["x"]).limit(0), spark.createDataFrame([], "item_id long, text string")
+    model = secrets.train(secrets.labelled_findings(spark, 200))
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for df in (
+        decontaminate.contamination(docs, none), decontaminate.clean_documents(docs, none), suffixdedup.dedup_spans(docs), quality.quality_rules(docs), langid.detect(docs, langid.train(docs)), simhash.simhash_groups(docs),
+        simhash.near_dedup(docs), mixing.mix_counts(docs), secrets.secret_scan(docs, model), secrets.redact(docs, model), licenses.license_scan(docs), urlfilter.url_filter(pages),
+    ):
+        assert df.count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, name):
+    same(queries.QUERIES[name](spark, SMALL), queries.SQL[name])
