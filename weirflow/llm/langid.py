@@ -36,7 +36,7 @@ TRAIN_DOCS = 2000
 MIN_SHARE = 1 / 20_000
 #: Cells of the filter for each n-gram that it holds, about.
 CELLS_PER_GRAM = 12
-#: Bytes of text whose n-grams are looked up at once.
+#: Characters whose n-grams are looked up at once. Longer texts are cut there, and all pieces count.
 CHUNK = 1 << 20
 
 
@@ -110,19 +110,23 @@ class Filter:
         if not self.languages:
             return label, score
         known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+        pieces = [(i, texts[i][at : at + CHUNK]) for i in known for at in range(0, len(texts[i]), CHUNK)]
+        hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         lo = 0
-        while lo < len(known):  # whole texts, about CHUNK characters at a time
+        while lo < len(pieces):
             hi, size = lo, 0
-            while hi < len(known) and (size == 0 or size + len(texts[known[hi]]) <= CHUNK):
-                size += len(texts[known[hi]])
+            while hi < len(pieces) and (size == 0 or size + len(pieces[hi][1]) <= CHUNK):
+                size += len(pieces[hi][1])
                 hi += 1
-            hits, total = self.counts([texts[i] for i in known[lo:hi]])
-            real = np.maximum((hits - self.false * total[:, None]) / (1 - np.minimum(self.false, 0.999)), 0)
-            best, whole = real.argmax(1), real.sum(1)
-            for row, i in enumerate(known[lo:hi]):
-                label[i] = self.languages[best[row]]
-                score[i] = float(min(1.0, real[row, best[row]] / whole[row])) if whole[row] > 0 else 0.0
+            found, of = self.counts([p for _, p in pieces[lo:hi]]), [i for i, _ in pieces[lo:hi]]
+            np.add.at(hits, of, found[0])
+            np.add.at(total, of, found[1])
             lo = hi
+        real = np.maximum((hits - self.false * total[:, None]) / (1 - np.minimum(self.false, 0.999)), 0)
+        best, whole = real.argmax(1), real.sum(1)
+        for i in known:
+            label[i] = self.languages[best[i]]
+            score[i] = float(min(1.0, real[i, best[i]] / whole[i])) if whole[i] > 0 else 0.0
         return label, score
 
 

@@ -16,8 +16,10 @@ one by one, null ids stay null, an empty table gives no rows, further columns ar
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -144,7 +146,8 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, int, str]], list[tuple[
     joined = b" " + b" ".join(words) + b" "
     if not prefilter().search(joined):
         return len(words), [], []
-    at = lambda byte: joined.count(b" ", 0, byte) - 1  # noqa: E731  the word that begins after this blank
+    starts = list(accumulate((len(w) + 1 for w in words), initial=1))
+    at = lambda byte: bisect_left(starts, byte)  # noqa: E731  the word that begins at this byte
     base = []
     for phrase, label in BASE.items():
         look, p = f" {phrase} ".encode(), -1
@@ -157,13 +160,19 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, int, str]], list[tuple[
             for m in pattern.finditer(joined):
                 first = at(m.start())
                 found.append((first, first + m.group().count(b" ") + 1, label, priority, weight, order))
-    # by priority, length and order; what lies inside one that is kept goes
+    # by priority, length and order; what lies inside one that is kept goes. lo, hi: the kept ones that no other contains,
+    # both rising, so the last that begins no later also reaches farthest
     kept: list[tuple] = []
-    reach: list[tuple[int, int]] = []
+    lo: list[int] = []
+    hi: list[int] = []
     for x in sorted(found, key=lambda x: (-x[3], x[0] - x[1], x[5], x[0])):
-        if not any(a <= x[0] and x[1] <= b for a, b in reach):
-            reach.append((x[0], x[1]))
-            kept.append(x[:5])
+        i = bisect_right(lo, x[0])
+        if i and hi[i - 1] >= x[1]:
+            continue
+        kept.append(x[:5])
+        k = bisect_left(lo, x[0])
+        end = bisect_right(hi, x[1], k)
+        lo[k:end], hi[k:end] = [x[0]], [x[1]]
     return len(words), base, sorted(kept)
 
 
