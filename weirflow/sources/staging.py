@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; set here only where it is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; below /tmp/checkpoints only where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = base or "file:///tmp/checkpoints"  # a single machine, as in tests
     return f"{base.rstrip('/')}/weirflow-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
