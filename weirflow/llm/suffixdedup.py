@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import written
+from weirflow.llm.common import discard, written
 
 LEAST, GRAM, STEP = 200, 40, 16
 #: Bytes that are fingerprinted at once; a position among them takes so many bits.
@@ -165,10 +165,13 @@ def _refined(rows: DataFrame, key: list[str]) -> DataFrame:
     bucket, ident, n, done, one member's key, and goes_on: whether its bucket has other classes and one that is alone."""
     member = F.min(F.struct(*key)).alias("member")
     classes = rows.groupBy("bucket", "ident").agg(F.count("*").alias("n"), F.max("done").alias("seen"), member)
-    classes = classes.withColumn("done", F.col("seen") | (F.col("n") > 1)).drop("seen")
+    # tables of their own, so that Spark can split a bucket with very many classes
+    classes = written(classes.withColumn("done", F.col("seen") | (F.col("n") > 1)).drop("seen"))
     whole = classes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum((~F.col("done")).cast("int")).alias("alone"))
-    classes = classes.join(whole.where("classes > 1 OR alone = 0"), "bucket")
-    return classes.select("bucket", "ident", "n", "done", "member", ((F.col("classes") > 1) & (F.col("alone") > 0)).alias("goes_on"))
+    whole = written(whole.where("classes > 1 OR alone = 0").select("bucket", ((F.col("classes") > 1) & (F.col("alone") > 0)).alias("goes_on")))
+    out = written(classes.join(whole, "bucket"))
+    discard(classes)
+    return out
 
 
 def _repeated(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -192,7 +195,8 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = written(_each(d.where(F.octet_length("t") >= least), find, f"id {kind}, th long, pos int, lo int, hi int, bucket long, ident long"))
     shared = seen.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     rows = written(seen.join(shared, "bucket").withColumn("done", F.lit(False)))
-    classes = written(_refined(rows, key))
+    discard(seen)
+    classes = _refined(rows, key)
     found = [_repeated(rows, classes)]
 
     # the bytes around the anchors that go on
@@ -215,7 +219,7 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     schema = f"id {kind}, th long, pos int, done boolean, lo int, hi int, bucket long, ident long"
     rows = written(_each(held, cut(STEP), schema + ", whole_lo int"))
-    classes = written(_refined(rows, [*key, "whole_lo"]))
+    classes = _refined(rows, [*key, "whole_lo"])
     found.append(_repeated(rows, classes))
 
     left = classes.where("goes_on").select("member.*", "done").alias("l")
