@@ -85,9 +85,9 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One row per URL: the id, host, path, rule (the host rule that decides, else null), pattern (the pattern rule that does, else null), verdict."""
     spark = pages.sparkSession
     made = compiled(host_rules, pattern_rules)
-    made = [(i, *rule) for i, rule in enumerate(made)]
-    schema = "no int, rank int, name string, verdict string, pattern string, tokens array<string>, by_host boolean"
-    table = spark.createDataFrame(made, schema)
+    schema = "no:int,rank:int,name:string,verdict:string,pattern:string,tokens:array<string>,by_host:boolean"
+    rows = [F.struct(F.lit(i), *map(F.lit, rule[:4]), F.array(*map(F.lit, rule[4])).cast("array<string>"), F.lit(rule[5])) for i, rule in enumerate(made)]
+    table = spark.range(1).select(F.inline(F.array(*rows).cast(f"array<struct<{schema}>>")))
 
     tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.coalesce(F.regexp_extract_all(ascii_lower(F.col("url")), F.lit(ALNUM_WORD), F.lit(0)), F.array().cast("array<string>"))))
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.monotonically_increasing_id().alias("row"))
