@@ -193,7 +193,8 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.DataFrame({"id": own["id"].to_numpy(), "th": own["th"].to_numpy(), **got})
 
     seen = written(_each(d.where(F.octet_length("t") >= least), find, f"id {kind}, th long, pos int, lo int, hi int, bucket long, ident long"))
-    shared = seen.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    # a table of its own, so that Spark can split a bucket with very many anchors
+    shared = written(seen.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
     rows = written(seen.join(shared, "bucket").withColumn("done", F.lit(False)))
     discard(seen)
     classes = _refined(rows, key)
@@ -229,7 +230,7 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = left.join(h, same).select("l.id", "l.th", "l.pos", "l.lo", "l.hi", "l.done", part.alias("context"))
     rows = written(_each(last, cut(1), schema))
     # single strings: bucket and identifier are of the same bytes
-    many = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    many = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
     found.append(rows.where("NOT done").join(many, "bucket").select("id", "th", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo")).alias("b")))
     return found[0].unionByName(found[1]).unionByName(found[2])
 
