@@ -9,10 +9,12 @@ for the ones that point at them. As Spark jobs:
   its anchor; equal strings have theirs at the same offset, so every string is looked at once, from its
   anchor, and about one position in 80 is an anchor. An anchor stands for a range of strings: those
   that start `lo` to `hi` bytes before it.
-* Round 0. The initial buckets are the anchors' q-grams; a bucket of one is done. Within a bucket, the
-  identifier of an anchor's whole range (the fingerprint of all bytes its strings cover) refines it:
-  anchors of equal identifiers are all repeated, and one of them stands for all from there on. A bucket
-  goes on only if it still holds different identifiers, one of them alone.
+* Round 0. The initial buckets are the anchors' q-grams; a bucket of one is done. Anchors of one text
+  with equal bucket and identifier are put together before anything is shuffled, so a text that repeats
+  itself adds one row to a bucket, however often it does. Within a bucket, the identifier of an anchor's
+  whole range (the fingerprint of all bytes its strings cover) refines it: anchors of equal identifiers
+  are all repeated, and one of them stands for all from there on. A bucket goes on only if it still
+  holds different identifiers, one of them alone.
 * Round 1 does the same with the parts of the ranges that lie in the same `STEP` offsets: the bucket is
   given by the bytes that all strings of the part share, the identifier by all bytes they cover.
 * Round 2 takes the single strings of the parts that are left.
@@ -35,7 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import discard, written
@@ -128,6 +130,23 @@ def anchors(texts: list[bytes], least: int, gram: int) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: np.empty(0, np.int64) for k in ("text", "pos", "lo", "hi", "bucket", "ident")})
 
 
+def collapsed(found: pd.DataFrame) -> pd.DataFrame:
+    """Anchors with the first of those that equal each other in text, bucket and ident; more: where the others are, null if none."""
+    text, bucket, ident = (found[c].to_numpy(np.int64) for c in ("text", "bucket", "ident"))
+    order = np.argsort(_mix(bucket.view(np.uint64) ^ _mix(ident.view(np.uint64) + text.view(np.uint64))), kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (text, bucket, ident)])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(order)))
+    pos = found["pos"].to_numpy(np.int32)[order]
+    out = found.iloc[order[first]].reset_index(drop=True)
+    more = np.full(len(first), None, object)
+    for i in np.flatnonzero(count > 1):
+        more[i] = pos[first[i] + 1 : first[i] + count[i]]
+    out["more"] = more
+    return out
+
+
 def parts(context: list[bytes], lo: np.ndarray, hi: np.ndarray, step: int, least: int, gram: int) -> pd.DataFrame:
     """The ranges lo..hi cut at multiples of step. context: the bytes that a range's strings cover, so its anchor is at hi.
     of (the range), lo, hi, bucket, ident."""
@@ -160,11 +179,12 @@ def _bytes(x) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in x]
 
 
-def _refined(rows: DataFrame, key: list[str]) -> DataFrame:
-    """rows: bucket, ident, done and what `key` names. Returns the classes of the buckets that hold more than one anchor:
+def _refined(rows: DataFrame, key: list[str], times: Column | None = None) -> DataFrame:
+    """rows: bucket, ident, done and what `key` names; times: how many anchors a row stands for (1). Returns the classes of the buckets that hold more than one anchor:
     bucket, ident, n, done, one member's key, and goes_on: whether its bucket has other classes and one that is alone."""
     member = F.min(F.struct(*key)).alias("member")
-    classes = rows.groupBy("bucket", "ident").agg(F.count("*").alias("n"), F.max("done").alias("seen"), member)
+    count = F.count("*") if times is None else F.sum(times)
+    classes = rows.groupBy("bucket", "ident").agg(count.alias("n"), F.max("done").alias("seen"), member)
     # tables of their own, so that Spark can split a bucket with very many classes
     classes = written(classes.withColumn("done", F.col("seen") | (F.col("n") > 1)).drop("seen"))
     whole = classes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum((~F.col("done")).cast("int")).alias("alone"))
@@ -174,10 +194,13 @@ def _refined(rows: DataFrame, key: list[str]) -> DataFrame:
     return out
 
 
-def _repeated(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """The places of rows whose class has other members: id, th, a, b (where the first and the last repeated string start)."""
+def _repeated(rows: DataFrame, classes: DataFrame, pos: Column | None = None) -> DataFrame:
+    """The places of rows whose class has other members: id, th, a, b (where the first and the last repeated string start).
+    pos: a row's place or places, if not its column pos."""
     many = classes.where("n > 1").select("bucket", "ident")
-    return rows.where("NOT done").join(many, ["bucket", "ident"]).select("id", "th", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo")).alias("b"))
+    rows = rows.where("NOT done").join(many, ["bucket", "ident"])
+    rows = rows if pos is None else rows.select("id", "th", "lo", "hi", pos.alias("pos"))
+    return rows.select("id", "th", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo")).alias("b"))
 
 
 def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -188,17 +211,18 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["id", "th", "pos", "lo", "hi"]
 
     def find(pdf: pd.DataFrame):
-        got = anchors(_bytes(pdf["t"]), least, gram)
+        got = collapsed(anchors(_bytes(pdf["t"]), least, gram))
         own = pdf.iloc[got.pop("text").to_numpy(np.int64)]
         return pd.DataFrame({"id": own["id"].to_numpy(), "th": own["th"].to_numpy(), **got})
 
-    seen = written(_each(d.where(F.octet_length("t") >= least), find, f"id {kind}, th long, pos int, lo int, hi int, bucket long, ident long"))
+    seen = written(_each(d.where(F.octet_length("t") >= least), find, f"id {kind}, th long, pos int, lo int, hi int, bucket long, ident long, more array<int>"))
+    times = 1 + F.coalesce(F.array_size("more"), F.lit(0))
     # a table of its own, so that Spark can split a bucket with very many anchors
-    shared = written(seen.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
+    shared = written(seen.groupBy("bucket").agg(F.sum(times).alias("n")).where("n > 1").select("bucket"))
     rows = written(seen.join(shared, "bucket").withColumn("done", F.lit(False)))
     discard(seen)
-    classes = _refined(rows, key)
-    found = [_repeated(rows, classes)]
+    classes = _refined(rows, key, times)
+    found = [_repeated(rows, classes, F.explode(F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<int>")))))]
 
     # the bytes around the anchors that go on
     left = classes.where("goes_on").select("member.*", "done")
