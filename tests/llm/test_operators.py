@@ -83,6 +83,7 @@ def test_clean_documents(spark, docs):
 def test_repeated_bytes(docs, monkeypatch):
     got = result(suffixdedup.dedup_spans(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == expect(brute.repeated_bytes(DOCS))
+    monkeypatch.setattr(suffixdedup, "SLICE", 500)  # texts of more are alone, others come a few at a time
     short = suffixdedup.dedup_spans(docs, least=60, gram=20)
     assert result(short, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expect(brute.repeated_bytes(DOCS, 60))
 
@@ -99,6 +100,16 @@ def test_long_texts_are_cut_into_pieces(monkeypatch):
     suffixdedup._tables.cache_clear()
 
 
+def test_texts_that_repeat_themselves_are_put_together():
+    text = b"0123456789" * 300
+    every = suffixdedup.anchors([text, text], 200, 40)
+    few = suffixdedup.collapsed(every)
+    assert len(few) < 20 < len(every)
+    places = [(r.text, p, r.lo, r.hi, r.bucket, r.ident) for r in few.itertuples() for p in [r.pos, *([] if r.more is None else r.more)]]
+    assert sorted(places) == sorted(every[["text", "pos", "lo", "hi", "bucket", "ident"]].itertuples(index=False, name=None))
+    assert len(suffixdedup.collapsed(suffixdedup.anchors([], 200, 40))) == 0
+
+
 def test_quality(docs):
     df = quality.quality_rules(docs)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

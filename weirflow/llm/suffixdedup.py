@@ -45,6 +45,8 @@ from weirflow.llm.common import discard, written
 LEAST, GRAM, STEP = 200, 40, 16
 #: Bytes that are fingerprinted at once; a position among them takes so many bits.
 CHUNK, BITS = 1 << 19, 20
+#: Characters of texts whose anchors are held in a task at once, about; a longer text is alone.
+SLICE = 1 << 22
 BASE = 0x9E3779B97F4A7C1B | 1
 
 
@@ -172,11 +174,22 @@ def parts(context: list[bytes], lo: np.ndarray, hi: np.ndarray, step: int, least
 
 
 def _each(df: DataFrame, f, schema: str) -> DataFrame:
-    return df.mapInPandas(lambda batches: (out for pdf in batches if len(pdf) and (out := f(pdf)) is not None), schema)
+    """f gives frames for each frame of rows."""
+    return df.mapInPandas(lambda batches: (out for pdf in batches if len(pdf) for out in f(pdf)), schema)
 
 
-def _bytes(x) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") for t in x]
+def _bytes(x) -> Iterator[bytes]:
+    return (t.encode("utf-8", "surrogatepass") for t in x)
+
+
+def _slices(pdf: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    """The rows in runs of `most` characters of t at most, or of one row."""
+    ends = np.cumsum(pdf["t"].str.len().to_numpy(np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, most + (ends[lo - 1] if lo else 0), "right")))
+        yield pdf.iloc[lo:hi]
+        lo = hi
 
 
 def _refined(rows: DataFrame, key: list[str], times: Column | None = None) -> DataFrame:
@@ -211,9 +224,10 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["id", "th", "pos", "lo", "hi"]
 
     def find(pdf: pd.DataFrame):
-        got = collapsed(anchors(_bytes(pdf["t"]), least, gram))
-        own = pdf.iloc[got.pop("text").to_numpy(np.int64)]
-        return pd.DataFrame({"id": own["id"].to_numpy(), "th": own["th"].to_numpy(), **got})
+        for some in _slices(pdf, SLICE):
+            got = collapsed(anchors(list(_bytes(some["t"])), least, gram))
+            own = some.iloc[got.pop("text").to_numpy(np.int64)]
+            yield pd.DataFrame({"id": own["id"].to_numpy(), "th": own["th"].to_numpy(), **got})
 
     seen = written(_each(d.where(F.octet_length("t") >= least), find, f"id {kind}, th long, pos int, lo int, hi int, bucket long, ident long, more array<int>"))
     times = 1 + F.coalesce(F.array_size("more"), F.lit(0))
@@ -238,7 +252,7 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             own = pdf.iloc[got.pop("of").to_numpy(np.int64)]
             if step > 1:  # the part's own bytes go along only if the next round asks for them
                 got["whole_lo"] = own["lo"].to_numpy()
-            return pd.DataFrame({c: own[c].to_numpy() for c in ("id", "th", "pos", "done")} | dict(got))
+            yield pd.DataFrame({c: own[c].to_numpy() for c in ("id", "th", "pos", "done")} | dict(got))
 
         return f
 
@@ -284,7 +298,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows.append((one, len(t), len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": x, "end": y} for x, y in spans], *([kept] if with_text else [])))
         out = pd.DataFrame(rows, columns=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept"] if with_text else [])])
         out["_id"] = out["_id"].astype(object).where(out["_id"].notna(), None)
-        return out
+        yield out
 
     schema = f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * with_text
     return _each(d, take, schema).withColumnRenamed("_id", id_col)
