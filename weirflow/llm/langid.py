@@ -14,6 +14,10 @@ false-positive rate f of the language's slice (its share of set cells to the pow
 number corrected for false positives is (count - f N) / (1 - f). The largest decides; its part of the
 sum of all languages' numbers is the score. Only the text is looked at.
 
+Known share. The score compares languages with each other, so it is high even where one n-gram in a
+thousand is known. The largest number over N says how much of the text the language knows; `least_share`
+takes from the training rows what texts of the learned languages have at least.
+
 Defined results: null, or no letter at all: `und`, score 0; so is everything if nothing can be learned.
 Languages with equal numbers: the first by code point. Repeated rows are judged one by one, null ids
 stay null (and are not learned from), an empty table gives no rows, other columns are not read.
@@ -38,6 +42,8 @@ MIN_SHARE = 1 / 20_000
 CELLS_PER_GRAM = 12
 #: Characters whose n-grams are looked up at once. Longer texts are cut there, and all pieces count.
 CHUNK = 1 << 20
+#: Training rows below this quantile of known shares may be wrongly labelled; texts are in no learned language below this part of it.
+QUANTILE, MARGIN = 0.001, 0.5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -106,9 +112,13 @@ class Filter:
         return hits, total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        label, score = ["und"] * len(texts), [0.0] * len(texts)
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Of each text the language, its score, and the share of the text's n-grams that it contains."""
+        label, score, share = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not self.languages:
-            return label, score
+            return label, score, share
         known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         pieces = [(i, texts[i][at : at + CHUNK]) for i in known for at in range(0, len(texts[i]), CHUNK)]
         hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
@@ -127,18 +137,26 @@ class Filter:
         for i in known:
             label[i] = self.languages[best[i]]
             score[i] = float(min(1.0, real[i, best[i]] / whole[i])) if whole[i] > 0 else 0.0
-        return label, score
+            share[i] = float(min(1.0, real[i, best[i]] / total[i])) if total[i] > 0 else 0.0
+        return label, score, share
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, min_share: float = MIN_SHARE) -> Filter:
-    """docs: labelled rows only to learn from. At most about `train_docs` of a language are read whole."""
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int) -> tuple[dict[str, int], DataFrame | None]:
+    """Labelled rows of each language, and those taken to learn from (id, t, lang); none without labels."""
     seen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where("id IS NOT NULL AND t IS NOT NULL AND lang IS NOT NULL")
     per = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
-        return Filter([], {})
+        return per, None
     rank = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     part = F.coalesce(*(F.when(F.col("lang") == k, F.lit(int(min(1.0, train_docs / n) * (1 << 20)))) for k, n in per.items()))
-    sample = seen.where(rank < part)
+    return per, seen.where(rank < part)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, min_share: float = MIN_SHARE) -> Filter:
+    """docs: labelled rows only to learn from. At most about `train_docs` of a language are read whole."""
+    per, sample = training_rows(docs, id_col, text_col, lang_col, train_docs)
+    if sample is None:
+        return Filter([], {})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -158,14 +176,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Filter(sorted(per), found)
 
 
-def detect(docs: DataFrame, model: Filter, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the language and its score in the columns `into` (in place of its own, if it has any); all else stays."""
+def least_share(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> float:
+    """The known share below which a text is in no learned language: MARGIN of the training rows' QUANTILE, of those judged as labelled."""
+    _, sample = training_rows(docs, id_col, text_col, lang_col, train_docs)
+    if sample is None:
+        return 0.0
+    found = detect(sample, model, "t", into=("lang_pred", "score", "share")).where("lang_pred = lang")
+    return MARGIN * (found.agg(F.percentile_approx("share", QUANTILE, 100_000)).first()[0] or 0.0)
+
+
+def detect(docs: DataFrame, model: Filter, text_col: str = "text", into: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language, its score and, if `into` has a third name, the known share in the columns `into` (in place of its own, if it has any); all else stays."""
 
-    @F.pandas_udf("label string, score double")
+    @F.pandas_udf("label string, score double, share double")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        label, score = model.predict([t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"label": label, "score": score})
+        label, score, share = model.judge([t if isinstance(t, str) else None for t in texts])
+        return pd.DataFrame({"label": label, "score": score, "share": share})
 
     found = fresh(docs, "found")
     kept = [c for c in docs.columns if c.lower() not in into]
-    return docs.withColumn(found, judge(F.col(text_col))).select(*kept, F.col(found)["label"].alias(into[0]), F.col(found)["score"].alias(into[1]))
+    return docs.withColumn(found, judge(F.col(text_col))).select(*kept, *(F.col(found)[field].alias(name) for field, name in zip(("label", "score", "share"), into)))
