@@ -1,14 +1,16 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least 16 characters of those that keys are made of, with a digit in it.
+A candidate is a run of at least 16 characters of those that keys are made of, with a digit in it. A sign
+of equality ends a run, so a name and the value assigned to it are two; only base64 padding belongs to one.
+Secrets of fewer characters, and those without a digit, are no candidates and are not found.
 Splitting a text at its candidates gives what stands before and after each, hence places and
 neighbours. Each candidate becomes a row of numbers: its length, the shares of kinds of characters,
 changes between letters and digits, frequent letter pairs, the part covered by dictionary words,
 marks of a path or address, and words of either kind next to it.
 
 The forest is trained from labelled findings: a table with the columns before, candidate, after and
-label. `labelled_findings` makes one of `n` rows (its documented bound) out of hashes and templates of
-true and false findings; pass another table to train on your own. Training, scoring and features are
+label. `labelled_findings` makes one of about `n` rows (its documented bound) out of hashes and templates of
+true and false findings, cut out of whole sentences by the same pattern as texts are; pass another table to train on your own. Training, scoring and features are
 built-in functions and Spark ML, with no user functions.
 
 One row per candidate and one per document leave the scan of the texts, and are gathered by document.
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import fresh
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]*[0-9])[A-Za-z0-9_+/=.\-]{15,}[A-Za-z0-9=]"
+_PAD = r"(?![A-Za-z0-9_+/=])"
+_RUN = r"[A-Za-z0-9_+/.\-]"
+CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z_+/.\-]*[0-9])(?:{_RUN}{{13,}}[A-Za-z0-9_+/\-]=={_PAD}|{_RUN}{{14,}}[A-Za-z0-9_+/\-]={_PAD}|{_RUN}{{15,}}[A-Za-z0-9])"
 #: Characters that are looked at on either side.
 NEAR = 40
 TRAIN_ROWS, TREES, DEPTH, SEED = 4000, 20, 8, 42
@@ -77,7 +81,8 @@ def features(before: Column, c: Column, after: Column) -> dict[str, Column]:
 
 
 def labelled_findings(spark: SparkSession, n: int = TRAIN_ROWS, seed: int = SEED) -> DataFrame:
-    """n labelled findings: before, candidate, after, label. Half are true; about one in eight stands beside misleading words."""
+    """About n labelled findings: before, candidate, after, label. Half are true; about one in eight stands beside misleading words.
+    `candidates` cuts them out of whole sentences (a few true ones have no digit and are none)."""
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 512)
     draw = lambda k, of: F.conv(F.substring("h", 100 + 4 * k, 4), 16, 10).cast("int") % of
     pick = lambda k, items: F.element_at(F.array(*map(F.lit, items)), draw(k, len(items)) + 1)
@@ -91,9 +96,9 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_ROWS, seed: int = SEED
         case(cut(hexes, 32, 64)), cut(mixed, 20, 48), F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))),
         F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), F.concat(F.lit("eyJ"), F.substring(mixed, 1, 60)), case(F.substring(hexes, 1, 40)),
     ), draw(0, 7) + 1)
-    secret = F.concat(pick(1, ["token", "api_key", "secret", "password", "access_key", "client_secret", "auth", "Bearer", "TOKEN", "apikey"]), pick(2, [' = "', ': "', "=", ": ", " = '", '="', ": "]))
+    secret = F.concat(pick(1, ["token", "api_key", "secret", "password", "access_key", "client_secret", "auth", "Bearer", "TOKEN", "apikey", "API_KEY", "AWS_SECRET_ACCESS_KEY", "AWS_ACCESS_KEY_ID", "DB_PASSWORD", "?access_token", "&client_secret"]), pick(2, [' = "', ': "', "=", ": ", " = '", '="', ": "]))
     bare = F.concat(word(1), pick(2, [" ", "\n", " | "]))
-    plain = F.concat(pick(1, ["commit ", "sha256:", "md5 = ", "checksum: ", "revision ", "uuid=", "https://", "file ", "build ", "etag: \"", "integrity=", "digest: "]))
+    plain = F.concat(pick(1, ["commit ", "sha256:", "md5 = ", "checksum: ", "revision ", "uuid=", "https://", "file ", "build ", "etag: \"", "integrity=", "digest: ", "?page=", "&ref=", "BUILD_ID="]))
     dashed = F.concat_ws("-", *(F.substring(hexes, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     name = F.concat(word(5), pick(6, ["_", "-", ".", "/"]), word(4), pick(6, ["_", "-", ".", "/"]), word(0), F.substring(number, 1, 3))
     false = F.element_at(F.array(
@@ -101,6 +106,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_ROWS, seed: int = SEED
         F.concat(F.lit("your_"), word(5), F.lit("_key_here_"), F.substring(number, 1, 2)), F.concat(word(5), F.lit("/"), word(4), F.lit("/"), F.substring(number, 1, 6), F.lit(".html")),
         F.concat(F.lit("mail"), F.substring(number, 1, 1), F.lit(".example.com")), F.concat(F.repeat(F.lit("x"), 14 + draw(3, 20)), F.lit("1")),
     ), draw(0, 10) + 1)
+    false = F.when(F.length(false) < 16, F.rpad(false, 16, "28")).otherwise(false)  # shorter ones are no candidates
     kind = draw(0, 10)
     false_before = F.when(kind <= 2, plain).when(kind == 8, F.concat(word(1), F.lit(".26@"))).when((kind == 6) | (kind == 9), secret).when(draw(2, 2) == 0, plain).otherwise(bare)
     label = F.col("id") % 2 == 0
@@ -110,7 +116,10 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_ROWS, seed: int = SEED
     quote = F.regexp_extract(before, "([\"'])$", 1)
     df = spark.range(n).withColumn("h", h)
     lead = F.concat(word(2), F.lit(" "), word(3), F.lit(" "), before)
-    return df.select(lead.alias("before"), F.when(label, true).otherwise(false).alias("candidate"), F.concat(quote, pick(7, [" ", ".", "\n", " and "])).alias("after"), label.cast("int").alias("label"))
+    made = df.select(lead.alias("lead"), F.when(label, true).otherwise(false).alias("own"), F.concat(quote, pick(7, [" ", ".", "\n", " and "])).alias("rest"), label.cast("int").alias("label"))
+    place = F.struct("label", F.length("lead").alias("lo"), (F.length("lead") + F.length("own")).alias("hi"))
+    found = candidates(made.select(place.alias("place"), F.concat("lead", "own", "rest").alias("text")), "place")
+    return found.where("start < id.hi AND start + length(candidate) > id.lo").select("before", "candidate", "after", "id.label")
 
 
 def vectors(df: DataFrame) -> DataFrame:
@@ -127,13 +136,14 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per candidate, and one without for a document that has none: row, id, start (characters before it), candidate, before, after."""
+    """A row per candidate, and one without for a document that has none: row, id, start (characters before it), candidate, before, after.
+    What stands before goes back over one other candidate, which may be the name that this one is assigned to."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), t.alias("t"))
     df = df.select("row", "id", F.when(F.col("t").rlike(CANDIDATE), F.struct(F.split("t", CANDIDATE, -1).alias("gaps"), F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("found"))).alias("x"))
     gap, found = F.col("x.gaps"), F.col("x.found")
     part = F.transform(found, lambda c, i: F.struct(
-        c.alias("candidate"), F.right(F.get(gap, i), F.lit(NEAR)).alias("before"), F.left(F.get(gap, i + 1), F.lit(NEAR)).alias("after"), (F.length(F.get(gap, i)) + F.length(c)).alias("step"),
+        c.alias("candidate"), F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gap, i)), F.lit(NEAR)).alias("before"), F.left(F.get(gap, i + 1), F.lit(NEAR)).alias("after"), (F.length(F.get(gap, i)) + F.length(c)).alias("step"),
     ))
     df = df.select("row", "id", part.alias("parts"))
     ends = F.aggregate(F.col("parts"), F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + p["step"])))
