@@ -106,3 +106,10 @@ def test_generators(spark):
     z = relations.zipf_keys(spark, 5000, 100, 1.2, kind="incremental").groupBy("key").count().orderBy(F.desc("count")).first()
     assert z["key"] == 1
     assert relations.foreign_keys_of(relations.unique_keys(spark, 10).limit(0), 5, F.lit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n in STRATEGIES if n.endswith("_st")])
+def test_no_strategy_puts_whole_inputs_in_one_task(spark, name):
+    r, s = sides(spark, range(50), range(50))
+    plan = STRATEGIES[name](r.repartition(4), s.repartition(4), JoinSpec(name))._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan

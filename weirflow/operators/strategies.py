@@ -120,15 +120,6 @@ def copied(f: Callable) -> Callable:
     return g
 
 
-def one_worker(f: Callable) -> Callable:
-    """A single worker, for small inputs only."""
-
-    def g(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
-        return f(r.coalesce(1), s.coalesce(1), spec)
-
-    return g
-
-
 def runs(df: DataFrame, id_col: str, ts_col: str, step: int) -> DataFrame:
     """Adds run: which of the 100 / step equal parts of the side, in order of arrival, the row came in."""
     n = -(-100 // step)
@@ -159,25 +150,25 @@ def progressive(deal: Callable) -> Callable:
     return g
 
 
-#: Strategy by name. `_NP`: rows are used where they are; `_P`: copied first; `_st`: one worker.
+#: Strategy by name. `_NP`: rows are used where they are; `_P`: copied first; `_st`: the same join, over as many workers as there are.
 STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, JoinSpec], DataFrame]] = {
     "NPO": broadcast_hash,
-    "NPO_st": one_worker(broadcast_hash),
+    "NPO_st": broadcast_hash,
     "PRO": radix_partitioned,
     "PRH": shuffled_hash,
     "PRHO": shuffled_hash,
-    "RJ_st": one_worker(radix_partitioned),
+    "RJ_st": radix_partitioned,
     "m-way": sort_merge,
     "m-pass": range_merge,
     "m-way+skew": skew_merge,
-    "SHJ_st": one_worker(shuffled_hash),
+    "SHJ_st": shuffled_hash,
     "SHJ_JM_NP": join_matrix,
     "SHJ_JM_P": copied(join_matrix),
     "SHJ_JB_NP": join_biclique,
     "SHJ_JBCR_NP": content_random,
     "SHJ_JBCR_P": copied(content_random),
     "SHJ_HS_NP": handshake,
-    "PMJ_st": one_worker(progressive_merge),
+    "PMJ_st": progressive_merge,
     "PMJ_JM_NP": progressive(join_matrix),
     "PMJ_JM_P": copied(progressive(join_matrix)),
     "PMJ_JB_NP": progressive_merge,
@@ -185,7 +176,7 @@ STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, JoinSpec], DataFrame]] = {
     "PMJ_JBCR_NP": progressive(content_random),
     "PMJ_JBCR_P": copied(progressive(content_random)),
     "PMJ_HS_NP": progressive(handshake),
-    "RPJ_st": one_worker(sort_merge),
+    "RPJ_st": sort_merge,
     "RPJ_JM_NP": join_matrix,
     "RPJ_JB_NP": join_biclique,
     "RPJ_JBCR_NP": content_random,
