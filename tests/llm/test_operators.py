@@ -88,6 +88,27 @@ def test_repeated_bytes(docs, monkeypatch):
     assert result(short, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expect(brute.repeated_bytes(DOCS, 60))
 
 
+# Two texts of 200 bytes whose Thue-Morse blocks have equal fingerprints modulo 2^64, and equal last 72 bytes.
+TWINS = (
+    '2ss2s22ss22s2ss2s22s2ss22ss2s22scbbcbccbbccbcbbcbccbcbbccbbcbccbVxxVxVVxxVVxVxxVxVVxVxxVVxxVxVVx;NN;N;;NN;;N;NN;N;;N;NN;;NN;N;;N9BoX7tzf::VMNSZN2Gyi3vTYV V9Z;HbQYkU0RpRNiUR627ae.5jrz4L5PGLeA88MBU8,wxR',
+    's22s2ss22ss2s22s2ss2s22ss22s2ss2bccbcbbccbbcbccbcbbcbccbbccbcbbcxVVxVxxVVxxVxVVxVxxVxVVxxVVxVxxVN;;N;NN;;NN;N;;N;NN;N;;NN;;N;NN;9BoX7tzf::VMNSZN2Gyi3vTYV V9Z;HbQYkU0RpRNiUR627ae.5jrz4L5PGLeA88MBU8,wxR',
+)
+
+
+def test_texts_of_equal_fingerprints_are_told_apart(spark):
+    import numpy as np
+
+    a, b = (suffixdedup.anchors([t.encode()], 200, 40) for t in TWINS)
+    assert list(a["bucket"]) == list(b["bucket"]) and list(a["ident"]) != list(b["ident"])
+    prints = [suffixdedup.Prints(np.frombuffer(t.encode(), np.uint8)).of(np.array([0]), np.array([200])) for t in TWINS]
+    assert prints[0] == prints[1]
+    made = [*enumerate(TWINS), *((10 + i, f"{t} and more") for i, t in enumerate(TWINS)), (20, "x" + TWINS[0] + TWINS[1])]
+    got = result(suffixdedup.dedup_spans(table(spark, TWINS)), "doc_id", "n_removed", "n_spans")
+    assert got == [(0, 0, 0), (1, 0, 0)]
+    got = result(suffixdedup.dedup_spans(table(spark, [t for _, t in made], [i for i, _ in made])), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == expect(brute.repeated_bytes(made))
+
+
 def test_long_texts_are_cut_into_pieces(monkeypatch):
     rng = random.Random(5)
     monkeypatch.setattr(suffixdedup, "CHUNK", 2000)

@@ -19,10 +19,12 @@ for the ones that point at them. As Spark jobs:
   given by the bytes that all strings of the part share, the identifier by all bytes they cover.
 * Round 2 takes the single strings of the parts that are left.
 
-Identifiers are 64-bit fingerprints of content instead of ranks, so no round needs a global sort, and a
-bucket and an identifier are 128 bits together. Buckets are only ever counted (map-side first) and
-joined to their counts, which Spark's skew join can split; no task ever holds a whole bucket, and a
-group of copies counts once after the first round that sees it whole. Nothing is sampled or capped.
+Identifiers are 128 bits of the BLAKE2b digest of the bytes and their place, instead of ranks, so no round
+needs a global sort. Only equal identifiers make bytes equal: buckets are 64-bit fingerprints that unequal
+bytes may share (modulo 2^64, Thue-Morse patterns do), which sends them on to the next round and no
+more. Buckets are only ever counted (map-side first) and joined to their counts, which Spark's skew join
+can split; no task ever holds a whole bucket, and a group of copies counts once after the first round
+that sees it whole. Nothing is sampled or capped.
 
 Defined results: null is the empty text; texts shorter than `least` stay whole. Repeated rows are
 copies of each other. Rows with equal id and text share one result, one row each; null ids are
@@ -48,6 +50,8 @@ CHUNK, BITS = 1 << 19, 20
 #: Characters of texts whose anchors are held in a task at once, about; a longer text is alone.
 SLICE = 1 << 22
 BASE = 0x9E3779B97F4A7C1B | 1
+#: What tells apart what is in a bucket; equal buckets alone mean nothing.
+CLASS = ("bucket", "ident", "ident2")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,7 +83,7 @@ class Prints:
         return _mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo])
 
 
-def _chunks(texts: list[bytes], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(texts: list[bytes], least: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
     """The texts in stretches of CHUNK bytes at most: their bytes, and of each piece its text, its place in that, and its end here.
     Pieces of a text overlap so that each string is in one of them."""
     room: list[tuple[int, int, bytes]] = []
@@ -98,16 +102,24 @@ def _chunks(texts: list[bytes], least: int) -> Iterator[tuple[np.ndarray, np.nda
 
 def _laid(room: list[tuple[int, int, bytes]]):
     of, at, pieces = zip(*room, strict=True)
-    return np.frombuffer(b"".join(pieces), np.uint8), np.array(of), np.array(at), np.cumsum([len(p) for p in pieces])
+    return b"".join(pieces), np.array(of), np.array(at), np.cumsum([len(p) for p in pieces])
+
+
+def _identifiers(raw: bytes, lo: np.ndarray, hi: np.ndarray, tag: np.ndarray) -> dict[str, np.ndarray]:
+    """ident and ident2, 128 bits of the BLAKE2b digest of each stretch lo..hi of the bytes and its tag."""
+    tags = tag.astype("<u4").tobytes()
+    each = (hashlib.blake2b(raw[a:b] + tags[4 * i : 4 * i + 4], digest_size=16).digest() for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)))
+    both = np.frombuffer(b"".join(each), "<i8").reshape(-1, 2)
+    return {"ident": both[:, 0], "ident2": both[:, 1]}
 
 
 def anchors(texts: list[bytes], least: int, gram: int) -> pd.DataFrame:
-    """text, pos, lo, hi, bucket, ident of all anchors."""
+    """text, pos, lo, hi, bucket, ident, ident2 of all anchors."""
     out = []
     span = least - gram + 1  # q-grams in a string
-    for data, of, at, end in _chunks(texts, least):
-        n = len(data)
-        prints = Prints(data)
+    for raw, of, at, end in _chunks(texts, least):
+        n = len(raw)
+        prints = Prints(np.frombuffer(raw, np.uint8))
         i = np.arange(n - gram + 1)
         bucket = prints.of(i, i + gram)
         order = (bucket >> np.uint64(BITS) << np.uint64(BITS)) | i.astype(np.uint64)
@@ -125,19 +137,19 @@ def anchors(texts: list[bytes], least: int, gram: int) -> pd.DataFrame:
         last = np.append(first[1:], len(s)) - 1
         a, b, p = s[first], s[last], p[first]
         lo, hi = p - b, p - a
-        ident = _mix(prints.of(a, b + least) ^ _mix((lo * least + hi).astype(np.uint64)))
+        ident = _identifiers(raw, a, b + least, lo * least + hi)
         own = piece[a]
         pos = p - (end[own] - np.diff(end, prepend=0)[own]) + at[own]
-        out.append(pd.DataFrame({"text": of[own], "pos": pos, "lo": lo, "hi": hi, "bucket": bucket[p].view(np.int64), "ident": ident.view(np.int64)}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: np.empty(0, np.int64) for k in ("text", "pos", "lo", "hi", "bucket", "ident")})
+        out.append(pd.DataFrame({"text": of[own], "pos": pos, "lo": lo, "hi": hi, "bucket": bucket[p].view(np.int64), **ident}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: np.empty(0, np.int64) for k in ("text", "pos", "lo", "hi", *CLASS)})
 
 
 def collapsed(found: pd.DataFrame) -> pd.DataFrame:
-    """Anchors with the first of those that equal each other in text, bucket and ident; more: where the others are, null if none."""
-    text, bucket, ident = (found[c].to_numpy(np.int64) for c in ("text", "bucket", "ident"))
+    """Anchors with the first of those that equal each other in text, bucket and identifier; more: where the others are, null if none."""
+    text, bucket, ident, ident2 = (found[c].to_numpy(np.int64) for c in ("text", *CLASS))
     order = np.argsort(_mix(bucket.view(np.uint64) ^ _mix(ident.view(np.uint64) + text.view(np.uint64))), kind="stable")
     new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (text, bucket, ident)])
+    new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (text, bucket, ident, ident2)])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(order)))
     pos = found["pos"].to_numpy(np.int32)[order]
@@ -151,14 +163,14 @@ def collapsed(found: pd.DataFrame) -> pd.DataFrame:
 
 def parts(context: list[bytes], lo: np.ndarray, hi: np.ndarray, step: int, least: int, gram: int) -> pd.DataFrame:
     """The ranges lo..hi cut at multiples of step. context: the bytes that a range's strings cover, so its anchor is at hi.
-    of (the range), lo, hi, bucket, ident."""
+    of (the range), lo, hi, bucket, ident, ident2."""
     size = np.array([len(c) for c in context])
     out = []
     first = 0
     while first < len(context):
         stop = first + max(1, int(np.searchsorted(np.cumsum(size[first:]), CHUNK, "right")))
-        data = np.frombuffer(b"".join(context[first:stop]), np.uint8)
-        prints = Prints(data)
+        raw = b"".join(context[first:stop])
+        prints = Prints(np.frombuffer(raw, np.uint8))
         zero = np.cumsum(size[first:stop]) - size[first:stop] + hi[first:stop]
         count = hi[first:stop] // step - lo[first:stop] // step + 1
         of = np.repeat(np.arange(first, stop), count)
@@ -167,8 +179,8 @@ def parts(context: list[bytes], lo: np.ndarray, hi: np.ndarray, step: int, least
         most = np.minimum(k * step + step - 1, least - gram)
         a, b = np.maximum(lo[of], k * step), np.minimum(hi[of], most)
         bucket = _mix(prints.of(p - k * step, p - most + least) ^ _mix((k * 1024 + step).astype(np.uint64)))
-        ident = _mix(prints.of(p - b, p - a + least) ^ _mix((a * least + b).astype(np.uint64)))
-        out.append(pd.DataFrame({"of": of, "lo": a, "hi": b, "bucket": bucket.view(np.int64), "ident": ident.view(np.int64)}))
+        ident = _identifiers(raw, p - b, p - a + least, a * least + b)
+        out.append(pd.DataFrame({"of": of, "lo": a, "hi": b, "bucket": bucket.view(np.int64), **ident}))
         first = stop
     return pd.concat(out, ignore_index=True)
 
@@ -193,11 +205,11 @@ def _slices(pdf: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
 
 
 def _refined(rows: DataFrame, key: list[str], times: Column | None = None) -> DataFrame:
-    """rows: bucket, ident, done and what `key` names; times: how many anchors a row stands for (1). Returns the classes of the buckets that hold more than one anchor:
-    bucket, ident, n, done, one member's key, and goes_on: whether its bucket has other classes and one that is alone."""
+    """rows: a class, done and what `key` names; times: how many anchors a row stands for (1). Returns the classes of the buckets that hold more than one anchor:
+    bucket, ident, ident2, n, done, one member's key, and goes_on: whether its bucket has other classes and one that is alone."""
     member = F.min(F.struct(*key)).alias("member")
     count = F.count("*") if times is None else F.sum(times)
-    classes = rows.groupBy("bucket", "ident").agg(count.alias("n"), F.max("done").alias("seen"), member)
+    classes = rows.groupBy(*CLASS).agg(count.alias("n"), F.max("done").alias("seen"), member)
     # tables of their own, so that Spark can split a bucket with very many classes
     classes = written(classes.withColumn("done", F.col("seen") | (F.col("n") > 1)).drop("seen"))
     whole = classes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum((~F.col("done")).cast("int")).alias("alone"))
@@ -210,8 +222,8 @@ def _refined(rows: DataFrame, key: list[str], times: Column | None = None) -> Da
 def _repeated(rows: DataFrame, classes: DataFrame, pos: Column | None = None) -> DataFrame:
     """The places of rows whose class has other members: id, th, a, b (where the first and the last repeated string start).
     pos: a row's place or places, if not its column pos."""
-    many = classes.where("n > 1").select("bucket", "ident")
-    rows = rows.where("NOT done").join(many, ["bucket", "ident"])
+    many = classes.where("n > 1").select(*CLASS)
+    rows = rows.where("NOT done").join(many, list(CLASS))
     rows = rows if pos is None else rows.select("id", "th", "lo", "hi", pos.alias("pos"))
     return rows.select("id", "th", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo")).alias("b"))
 
@@ -229,7 +241,7 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             own = some.iloc[got.pop("text").to_numpy(np.int64)]
             yield pd.DataFrame({"id": own["id"].to_numpy(), "th": own["th"].to_numpy(), **got})
 
-    seen = written(_each(d.where(F.octet_length("t") >= least), find, f"id {kind}, th long, pos int, lo int, hi int, bucket long, ident long, more array<int>"))
+    seen = written(_each(d.where(F.octet_length("t") >= least), find, f"id {kind}, th long, pos int, lo int, hi int, bucket long, ident long, ident2 long, more array<int>"))
     times = 1 + F.coalesce(F.array_size("more"), F.lit(0))
     # a table of its own, so that Spark can split a bucket with very many anchors
     shared = written(seen.groupBy("bucket").agg(F.sum(times).alias("n")).where("n > 1").select("bucket"))
@@ -256,7 +268,7 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return f
 
-    schema = f"id {kind}, th long, pos int, done boolean, lo int, hi int, bucket long, ident long"
+    schema = f"id {kind}, th long, pos int, done boolean, lo int, hi int, bucket long, ident long, ident2 long"
     rows = written(_each(held, cut(STEP), schema + ", whole_lo int"))
     classes = _refined(rows, [*key, "whole_lo"])
     found.append(_repeated(rows, classes))
@@ -267,9 +279,8 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = F.substring("h.context", F.col("h.whole_hi") - F.col("l.hi") + 1, F.col("l.hi") - F.col("l.lo") + least)
     last = left.join(h, same).select("l.id", "l.th", "l.pos", "l.lo", "l.hi", "l.done", part.alias("context"))
     rows = written(_each(last, cut(1), schema))
-    # single strings: bucket and identifier are of the same bytes
-    many = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
-    found.append(rows.where("NOT done").join(many, "bucket").select("id", "th", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo")).alias("b")))
+    many = written(rows.groupBy(*CLASS).agg(F.count("*").alias("n")).where("n > 1").select(*CLASS))
+    found.append(rows.where("NOT done").join(many, list(CLASS)).select("id", "th", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo")).alias("b")))
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
