@@ -1,6 +1,7 @@
 """All strategies give the same pairs, whatever the input; hints make the plans that they name."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -105,7 +106,82 @@ def test_generators(spark):
         assert df.count() == 200 and df.select("rid").distinct().count() == 200
     z = relations.zipf_keys(spark, 5000, 100, 1.2, kind="incremental").groupBy("key").count().orderBy(F.desc("count")).first()
     assert z["key"] == 1
-    assert relations.foreign_keys_of(relations.unique_keys(spark, 10).limit(0), 5, F.lit(0)).count() == 0
+    assert relations.foreign_keys_of(relations.unique_keys(spark, 10).limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(STRATEGIES))
+def test_repeated_and_null_ids(spark, name):
+    """Pairs as often as their rows are there, whatever the ids and times: repeated, equal in all columns, or null."""
+    from datetime import datetime
+
+    at = datetime(2024, 1, 1)
+    r = [(1, 7, at), (1, 7, at), (1, None, None), (2, 7, at), (2, 9, None), (None, 7, at)]
+    s = [(1, 5, at), (1, None, at), (1, None, None), (2, 5, at), (2, 5, at), (3, None, at), (None, None, None)]
+    got = window_join(spark.createDataFrame(r, R), spark.createDataFrame(s, S), JoinSpec(name, group_size=3)).select("key", "r_id", "s_id").collect()
+    assert Counter(map(tuple, got)) == Counter((a, i, j) for a, i, _ in r for b, j, _ in s if a is not None and a == b)
+
+
+@pytest.mark.parametrize("name", ["SHJ_JBCR_NP", "SHJ_HS_NP", "m-way+skew", "SHJ_JM_NP"])
+def test_ids_may_be_text(spark, name):
+    r = spark.createDataFrame([(1, "a", None), (2, "b", None)], R.replace("r_id long", "r_id string"))
+    s = spark.createDataFrame([(1, "x", None), (1, None, None)], S.replace("s_id long", "s_id string"))
+    got = window_join(r, s, JoinSpec(name)).select("key", "r_id", "s_id").collect()
+    assert sorted(map(str, map(tuple, got))) == ["(1, 'a', 'x')", "(1, 'a', None)"]
+
+
+@pytest.mark.parametrize("name", ["SHJ_JM_NP", "SHJ_JB_NP", "m-pass", "RPJ_JB_NP"])
+def test_partitions_are_left_to_spark(spark, name):
+    """No shuffle into a number of partitions of its own, and none of the pairs."""
+    r, s = sides(spark, range(50), range(50))
+    plan = STRATEGIES[name](r, s, JoinSpec(name))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan and "RoundRobin" not in plan and "rangepartitioning" not in plan
+
+
+def heights(laid):
+    return [r["n"] for r in laid.groupBy("_b").agg(F.count("*").alias("n")).collect()]
+
+
+@pytest.mark.parametrize("ts", ["null", "equal", "second", "spread"])
+def test_positions_follow_the_data(spark, ts):
+    """However times are spread, no range holds much more than its share."""
+    from weirflow.operators.order import in_ranges, position
+
+    time = {"null": "CAST(NULL AS TIMESTAMP)", "equal": "TIMESTAMP '2024-01-01'", "second": "timestamp_micros(1704067200000000 + id * 37 % 1000000)", "spread": "timestamp_micros(id * id * 1000)"}[ts]
+    df = spark.range(20000).selectExpr("id", f"{time} AS ts").repartition(5)
+    got = position(df, "ts", "id", total="n").collect()
+    assert [r.i for r in sorted(got, key=lambda r: (str(r.ts), r.id))] == list(range(20000)) and {r.n for r in got} == {20000}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        assert max(heights(in_ranges(df, "ts", "id"))) <= 2 * 20000 / 4
+        assert [r.i for r in sorted(position(df, "ts", "id").collect(), key=lambda r: (str(r.ts), r.id))] == list(range(20000))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_running_sums_and_following(spark):
+    from weirflow.operators.order import following, position, running_sum
+
+    df = spark.range(1, 1001).selectExpr("id * 7 % 1009 AS k", "id AS v")
+    rows = sorted((r.k, r.v) for r in df.collect())
+    got = {r.k: (r.upto, r.whole) for r in running_sum(df, "v", "k", name="upto", total="whole").collect()}
+    assert got == {k: (sum(v for j, v in rows if j < k), 500500) for k, _ in rows}
+    nexts = {r.k: r.nxt for r in following(df, "k", "nxt").collect()}
+    assert nexts == {k: n for (k, _), n in zip(rows, [*(k for k, _ in rows[1:]), None], strict=True)}
+    none = df.limit(0)
+    assert not position(none, "k").count() and not running_sum(none, "v", "k", name="x").count() and not following(none, "k", "x").count()
+
+
+def test_ripple_pairs_have_the_estimate_of_their_time(spark):
+    r, s = sides(spark, [1, 2, 1, None], [1, 1, 3, 2])
+    got = {(x.r_id, x.s_id): x.estimate for x in window_join(r, s, JoinSpec("RPJ_JBCR_NP")).collect()}
+    assert set(got) == {(0, 0), (0, 1), (1, 3), (2, 0), (2, 1)}
+    arrivals = sorted([(i, 0, k) for i, k in enumerate([1, 2, 1, None])] + [(i, 1, k) for i, k in enumerate([1, 1, 3, 2])])
+    for (a, b), estimate in got.items():
+        last = max((a, 0), (b, 1))
+        seen = [x for x in arrivals if x[:2] <= last]
+        rs, ss = [k for _, side, k in seen if side == 0], [k for _, side, k in seen if side == 1]
+        matches = sum(x == y and x is not None for x in rs for y in ss)
+        assert estimate == pytest.approx(16 / (len(rs) * len(ss)) * matches)
 
 
 @pytest.mark.parametrize("name", [n for n in STRATEGIES if n.endswith("_st")])

@@ -1,17 +1,15 @@
 """What a stream join is measured by, in event time: when a pair could first be known, how late, how steadily, how out of order.
 
-A pair is emitted when its later member arrives. Matches are ranked in order of emission by hours (see
+A pair is emitted when its later member arrives. Matches are ranked in order of emission by ranges (see
 `position`), so a metric over all matches is never one task's sort.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.operators.order import hour, position
+from weirflow.operators.order import position, running_sum
 
 
 def emissions(pairs: DataFrame) -> DataFrame:
@@ -25,7 +23,7 @@ def emission_counts(pairs: DataFrame) -> DataFrame:
 
 def ranked(pairs: DataFrame) -> DataFrame:
     """emissions with i, the place in order of emission, and n, how many there are."""
-    return position(emissions(pairs), hour("emit"), "emit", "r_id", "s_id", name="i", total="n")
+    return position(emissions(pairs), "emit", "r_id", "s_id", name="i", total="n")
 
 
 def latency(pairs: DataFrame, window_ms: int = 0) -> DataFrame:
@@ -50,26 +48,36 @@ def progress(ranked_pairs: DataFrame) -> DataFrame:
     return ranked_pairs.select("i", F.coalesce(F.col("i") / F.nullif((F.col("n") - 1).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("y"))
 
 
-def disorder(pairs: DataFrame, arrivals_of_s: DataFrame) -> DataFrame:
-    """(gap, n): of matches that S's arrival completes, its place of arrival less the match's place.
+def sampled(ranked_pairs: DataFrame, every: int) -> DataFrame:
+    """Every `every`-th match in order of emission, beginning with the first."""
+    return ranked_pairs.where(F.col("i") % every == 0)
+
+
+def disorder(pairs: DataFrame, arrivals_of_s: DataFrame, every: int = 1) -> DataFrame:
+    """(gap, n): of matches that S's arrival completes, S's place of arrival less the match's place; of every `every`-th match only, counted among those.
     arrivals_of_s: s_id and i, the place of arrival."""
     own = pairs.where(F.col("s_ts") >= F.col("r_ts"))
-    own = position(own, hour("s_ts"), "s_ts", "s_id", "r_id", name="m").select("s_id", "m")
+    own = position(own, "s_ts", "s_id", "r_id", name="m").where(F.col("m") % every == 0).select("s_id", F.floor(F.col("m") / every).alias("m"))
     both = own.join(arrivals_of_s.select("s_id", "i"), "s_id")
     return both.groupBy((F.col("i") - F.col("m")).alias("gap")).agg(F.count("*").alias("n"))
 
 
 def gap_cdf(gaps: DataFrame) -> DataFrame:
     """(gap, share): the share of matches with that gap or a smaller one; one row per gap."""
-    up = Window.orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.select("gap", (F.sum("n").over(up) / F.sum("n").over(Window.partitionBy())).alias("share"))
+    upto = running_sum(gaps, "n", "gap", name="before", total="whole")
+    return upto.select("gap", ((F.col("before") + F.col("n")) / F.col("whole")).alias("share"))
 
 
-def throughput(inputs: int, last_match_ms: float) -> float:
-    """Inputs per millisecond up to the last match."""
-    return inputs / last_match_ms if last_match_ms > 0 else math.inf
+def throughput(r: DataFrame, s: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: inputs of both sides, the milliseconds from the first arrival to the last match in event time, and inputs per millisecond (null without a match)."""
+    ms = lambda c: F.unix_millis(c.cast("timestamp"))
+    one = r.select(F.col("r_ts").alias("ts")).unionByName(s.select(F.col("s_ts").alias("ts"))).agg(F.count("*").alias("inputs"), F.min(ms(F.col("ts"))).alias("first"))
+    last = pairs.agg(F.max(ms(F.greatest("r_ts", "s_ts"))).alias("last"))
+    both = one.join(F.broadcast(last), F.lit(True))  # single rows
+    span = F.col("last") - F.col("first")
+    return both.select("inputs", span.alias("ms"), (F.col("inputs") / F.nullif(span, F.lit(0))).alias("per_ms"))
 
 
 def scale_up(seconds: dict[int, float]) -> dict[int, float]:
-    """Throughput on so many workers, relative to one."""
-    return {n: seconds[1] / s for n, s in seconds.items()}
+    """Throughput on so many workers, relative to the fewest that were timed."""
+    return {n: seconds[min(seconds)] / s for n, s in seconds.items()}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions.expressions import radix
+from weirflow.operators.order import position, running_sum
+from weirflow.sources.staging import staged
 
 
 def radix_histogram(df: DataFrame, key: Column, bits: int = 4) -> DataFrame:
@@ -34,16 +36,32 @@ def above_average(df: DataFrame, key: str, factor: float) -> DataFrame:
     return counts.join(F.broadcast(mean), F.col("n") > factor * F.col("mean")).select("k", "n")
 
 
+def heavy_hitters(df: DataFrame, key: str, runs: int, samples: int, *order: str, share: float = 0.5, most: int = 16) -> DataFrame:
+    """(k, hits): keys that fill more than `share` of the samples of some run, `most` at most, those with most samples in a run first (ties: the smaller).
+
+    The rows are cut into equal runs in their order. Of each run sorted by key, the rows at `samples` equally spaced places are
+    its samples: how many of them a key has follows from its count in the run and the counts of smaller keys, so no run is
+    sorted anywhere. Only keys that are frequent enough to be heavy, 1 / share of a run at most or so, are looked at twice.
+    """
+    if samples * share < 2:
+        raise ValueError(f"too few samples to tell heavy keys: {samples}")
+    placed = position(df.select(F.col(key).alias("k"), *(F.col(c) for c in order)), *order, name="_i", total="_n")
+    run = F.floor(F.col("_i") * runs / F.col("_n"))
+    counts = staged(placed.where("k IS NOT NULL").groupBy(run.alias("run"), "k").agg(F.count("*").alias("c")))
+    sizes = counts.groupBy("run").agg(F.sum("c").alias("rows"))
+    often = counts.join(F.broadcast(sizes), "run").where(F.col("c") > (share - 1.0 / samples) * F.col("rows"))  # one row per run; a few per run
+    often = often.select("run", "rows", F.col("k").alias("hk"), F.col("c").alias("hc"))
+    less = counts.join(F.broadcast(often), "run").groupBy("run", "rows", "hk", "hc").agg(F.coalesce(F.sum(F.when(F.col("k") < F.col("hk"), F.col("c"))), F.lit(0)).alias("a"))
+    at = lambda x: F.ceil(x * samples / F.col("rows"))  # noqa: E731  samples that lie before place x
+    found = less.withColumn("hits", at(F.col("a") + F.col("hc")) - at(F.col("a"))).where(F.col("hits") > share * samples)
+    return found.groupBy(F.col("hk").alias("k")).agg(F.max("hits").alias("hits")).orderBy(F.desc("hits"), "k").limit(most)
+
+
 def equi_depth(df: DataFrame, key: str, parts: int) -> DataFrame:
     """(part, lo, hi, n): `parts` ranges of about equally many rows. Works on one row per key, ranked by their counts' running sum."""
     counts = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
-    width = F.lit(4096)
-    sums = counts.groupBy(F.floor(F.col("k") / width).alias("b")).agg(F.sum("n").alias("bn"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("b", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("base"), F.sum("bn").over(Window.partitionBy()).alias("whole"))
-    upto = Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("b", F.floor(F.col("k") / width)).withColumn("inner", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(sums, "b")
-    part = F.floor((F.col("base") + F.col("inner")) * parts / F.col("whole"))
+    placed = running_sum(counts, "n", "k", name="before", total="whole")
+    part = F.floor(F.col("before") * parts / F.col("whole"))
     return placed.groupBy(part.cast("int").alias("part")).agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("n").alias("n"))
 
 

@@ -1,8 +1,10 @@
 """Equi-joins of two relations, one function per way to bring equal keys together.
 
 Every function takes R and S with the columns (key, rid, ts) and returns the pairs (key, r_id, s_id,
-r_ts, s_ts), each once. Which one runs fastest depends on the sizes: R that fits every worker is
-broadcast, others are shuffled by key, and keys with very many rows are cut into slices.
+r_ts, s_ts), each as often as its rows are there; ids may repeat or be null. Which one runs fastest
+depends on the sizes: R that fits every worker is broadcast, others are shuffled by key, and keys with
+very many rows are cut into slices. How many partitions there are is left to Spark unless the spec asks
+for a number of workers. Columns of CARRIED go along, whatever deals the rows out.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions.expressions import radix, tumbling, worker
-from weirflow.operators.order import hour, position
+from weirflow.operators.estimates import running_estimate
+from weirflow.operators.order import position
 from weirflow.sources.staging import staged
 from weirflow.spec import JoinSpec
 
@@ -29,8 +32,12 @@ def s_side(df: DataFrame, key: str, rid: str, ts: str | None = None) -> DataFram
     return df.select(F.col(key).alias("key"), F.col(rid).alias("s_id"), (F.col(ts) if ts else F.lit(None).cast("timestamp_ntz")).alias("s_ts"))
 
 
+#: What a strategy's rows may bring along to its pairs: a side's run, its place of arrival, the estimate of that time.
+CARRIED = ("r_run", "s_run", "r_place", "s_place", "r_estimate", "s_estimate", "member")
+
+
 def pairs(joined: DataFrame) -> DataFrame:
-    return joined.select("key", "r_id", "s_id", "r_ts", "s_ts")
+    return joined.select("key", "r_id", "s_id", "r_ts", "s_ts", *(c for c in CARRIED if c in joined.columns))
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -59,54 +66,59 @@ def sort_merge(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataF
     return pairs(s.join(r.hint("merge"), "key"))
 
 
-def range_merge(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
-    """Sort-merge whose result is laid out by ranges of the key."""
-    return sort_merge(r, s, spec).repartitionByRange(spec.workers, "key").sortWithinPartitions("key")
+def multipass_merge(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
+    """Sort-merge whose result is sorted by key within partitions, as the merge leaves it; Spark merges spilled runs in as many passes as it takes."""
+    return sort_merge(r, s, spec).sortWithinPartitions("key")
 
 
 def heavy_keys(s: DataFrame, share: float = 0.01) -> DataFrame:
-    """Keys with more than that share of S: fewer than 1 / share."""
+    """(key, n, slices) of keys with more than that share of S: fewer than 1 / share. A slice has that share of S at most."""
     counts = s.groupBy("key").agg(F.count("*").alias("n"))
-    whole = s.agg(F.count("*").alias("whole"))
-    return counts.join(F.broadcast(whole), F.col("n") > share * F.col("whole")).select("key", "n")
+    whole = s.agg(F.count("*").alias("whole"))  # a single row
+    hot = counts.join(F.broadcast(whole), F.col("n") > share * F.col("whole"))
+    return hot.select("key", "n", F.ceil(F.col("n") / (share * F.col("whole"))).alias("slices"))
 
 
 def skew_merge(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec(), share: float = 0.01) -> DataFrame:
     """Sort-merge in which only the heavy keys of S are cut into slices; R's rows of those keys are copied to each."""
-    slices = max(2, spec.workers)
-    hot = F.broadcast(heavy_keys(s, share).select("key", F.lit(slices).alias("n")))
-    many = F.coalesce(F.col("n"), F.lit(1))
-    left = s.join(hot, "key", "left").withColumn("slice", F.pmod(F.xxhash64("s_id"), many)).drop("n")
-    right = r.join(hot, "key", "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), (many - 1).cast("long")))).drop("n")
+    hot = F.broadcast(staged(heavy_keys(s, share).select("key", "slices")))
+    many = F.coalesce(F.col("slices"), F.lit(1).cast("long"))
+    left = s.join(hot, "key", "left").withColumn("slice", F.pmod(F.xxhash64("s_id", "s_ts"), many)).drop("slices")
+    right = r.join(hot, "key", "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("slices")
     return pairs(left.join(right.hint("merge"), ["key", "slice"]))
 
 
 def join_matrix(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
-    """Every worker sees all of R and a slice of S."""
-    return broadcast_hash(r, s.repartition(spec.workers), spec)
+    """Every worker sees all of R and a slice of S: S as it lies, or cut anew if the spec asks for a number of workers."""
+    return broadcast_hash(r, s.repartition(spec.workers) if spec.workers else s, spec)
 
 
 def join_biclique(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     """Both sides dealt to workers by key; the join uses that partitioning as it is."""
-    deal = lambda df: df.repartition(spec.workers, "key")
+    deal = lambda df: df.repartition(spec.workers, "key") if spec.workers else df
     return pairs(deal(s).join(deal(r).hint("shuffle_hash"), "key"))
 
 
-def content_random(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
-    """Workers in groups: R is copied to all members of its key's group, an S row goes to one of them."""
-    g = spec.group_size
-    left = s.withColumn("member", F.pmod(F.col("s_id"), F.lit(g)))
-    right = r.withColumn("member", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long"))))
+def in_groups(r: DataFrame, s: DataFrame, size: int, member: Column | None = None) -> DataFrame:
+    """Workers in groups of `size`: R is copied to all members of its key's group, an S row goes to one of them, by the hash of its id
+    and time unless `member` (0 to size - 1, never null) names it. The pairs and the member that finds them."""
+    left = s.withColumn("member", F.pmod(F.xxhash64("s_id", "s_ts"), F.lit(size)) if member is None else member)
+    right = r.withColumn("member", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))))
     return pairs(left.join(right, ["key", "member"]))
 
 
+def content_random(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
+    """Join in groups of spec.group_size workers, see `in_groups`."""
+    return in_groups(r, s, spec.group_size).drop("member")
+
+
 def handshake(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     """R and S flow past each other: every slice of R meets every slice of S. Slices meet in cells, by (cell, key), so
     each side is copied once per slice of the other and no pair of unequal keys is ever looked at."""
-    n = min(spec.workers, 4)
+    n = min(spec.workers or 4, 4)
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = s.withColumn("sc", F.pmod(F.xxhash64("s_id"), F.lit(n))).withColumn("rc", each)
-    right = r.withColumn("rc", F.pmod(F.xxhash64("r_id"), F.lit(n))).withColumn("sc", each)
+    left = s.withColumn("sc", F.pmod(F.xxhash64("s_id", "s_ts"), F.lit(n))).withColumn("rc", each)
+    right = r.withColumn("rc", F.pmod(F.xxhash64("r_id", "r_ts"), F.lit(n))).withColumn("sc", each)
     return pairs(left.join(right, ["key", "rc", "sc"]))
 
 
@@ -120,36 +132,39 @@ def copied(f: Callable) -> Callable:
     return g
 
 
-def runs(df: DataFrame, id_col: str, ts_col: str, step: int) -> DataFrame:
-    """Adds run: which of the 100 / step equal parts of the side, in order of arrival, the row came in."""
+def runs(df: DataFrame, side: str, step: int) -> DataFrame:
+    """Adds r_run or s_run: which of the 100 / step equal parts of the side, in order of arrival, the row came in."""
     n = -(-100 // step)
-    df = position(df, hour(ts_col), ts_col, id_col, name="_i", total="_n")
-    return df.withColumn("run", F.least(F.floor(F.col("_i") * n / F.col("_n")), F.lit(n - 1)).cast("int")).drop("_i", "_n")
-
-
-def progressive_merge(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
-    """Progressive merge join: pairs of the same run come out while runs are sorted, all others as runs are merged.
-    Returns the pairs and their phase, from one join."""
-    a, b = runs(r, "r_id", "r_ts", spec.sort_step), runs(s, "s_id", "s_ts", spec.sort_step)
-    both = b.withColumnRenamed("run", "s_run").join(a.withColumnRenamed("run", "r_run").hint("merge"), "key")
-    phase = F.when(F.col("r_run") == F.col("s_run"), F.lit("sort")).otherwise(F.lit("merge"))
-    return both.select("key", "r_id", "s_id", "r_ts", "s_ts", phase.alias("phase"))
+    df = position(df, f"{side}_ts", f"{side}_id", "key", name="_i", total="_n")
+    return df.withColumn(f"{side}_run", F.least(F.floor(F.col("_i") * n / F.col("_n")), F.lit(n - 1)).cast("int")).drop("_i", "_n")
 
 
 def progressive(deal: Callable) -> Callable:
-    """Progressive merge join over another way to deal out the rows: runs are marked first, then any join keeps them."""
+    """Progressive merge join over a way to deal out the rows: runs are marked first and go along with the rows."""
 
     def g(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
-        a = runs(r, "r_id", "r_ts", spec.sort_step).select(F.col("r_id").alias("x_id"), F.col("run").alias("r_run"))
-        b = runs(s, "s_id", "s_ts", spec.sort_step).select(F.col("s_id").alias("y_id"), F.col("run").alias("s_run"))
-        both = deal(r, s, spec)
-        both = both.join(a, F.col("r_id") == F.col("x_id")).join(b, F.col("s_id") == F.col("y_id"))
+        """Pairs of the same run come out while runs are sorted, all others as runs are merged. The pairs and their phase, from one join."""
+        both = deal(runs(r, "r", spec.sort_step), runs(s, "s", spec.sort_step), spec)
         phase = F.when(F.col("r_run") == F.col("s_run"), F.lit("sort")).otherwise(F.lit("merge"))
         return both.select("key", "r_id", "s_id", "r_ts", "s_ts", phase.alias("phase"))
 
     return g
 
 
+def ripple(deal: Callable) -> Callable:
+    """Ripple join over a way to deal out the rows: every arrival has the running estimate of all matches with it."""
+
+    def g(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
+        """The pairs, each with the estimate of the number of all pairs at the time when its later member had arrived."""
+        seen = running_estimate(r, s)
+        side = lambda name: seen.where(F.col("side") == name).select("key", F.col("id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_ts"), F.col("i").alias(f"{name}_place"), F.col("estimate").alias(f"{name}_estimate"))
+        both = deal(side("r"), side("s"), spec)
+        estimate = F.when(F.col("r_place") > F.col("s_place"), F.col("r_estimate")).otherwise(F.col("s_estimate"))
+        return both.select("key", "r_id", "s_id", "r_ts", "s_ts", estimate.alias("estimate"))
+
+    return g
+
+
 #: Strategy by name. `_NP`: rows are used where they are; `_P`: copied first; `_st`: the same join, over as many workers as there are.
 STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, JoinSpec], DataFrame]] = {
     "NPO": broadcast_hash,
@@ -159,7 +174,7 @@ STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, JoinSpec], DataFrame]] = {
     "PRHO": shuffled_hash,
     "RJ_st": radix_partitioned,
     "m-way": sort_merge,
-    "m-pass": range_merge,
+    "m-pass": multipass_merge,
     "m-way+skew": skew_merge,
     "SHJ_st": shuffled_hash,
     "SHJ_JM_NP": join_matrix,
@@ -168,19 +183,19 @@ STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, JoinSpec], DataFrame]] = {
     "SHJ_JBCR_NP": content_random,
     "SHJ_JBCR_P": copied(content_random),
     "SHJ_HS_NP": handshake,
-    "PMJ_st": progressive_merge,
+    "PMJ_st": progressive(sort_merge),
     "PMJ_JM_NP": progressive(join_matrix),
     "PMJ_JM_P": copied(progressive(join_matrix)),
-    "PMJ_JB_NP": progressive_merge,
-    "PMJ_JB_P": copied(progressive_merge),
+    "PMJ_JB_NP": progressive(join_biclique),
+    "PMJ_JB_P": copied(progressive(join_biclique)),
     "PMJ_JBCR_NP": progressive(content_random),
     "PMJ_JBCR_P": copied(progressive(content_random)),
     "PMJ_HS_NP": progressive(handshake),
-    "RPJ_st": sort_merge,
-    "RPJ_JM_NP": join_matrix,
-    "RPJ_JB_NP": join_biclique,
-    "RPJ_JBCR_NP": content_random,
-    "RPJ_HS_NP": handshake,
+    "RPJ_st": ripple(sort_merge),
+    "RPJ_JM_NP": ripple(join_matrix),
+    "RPJ_JB_NP": ripple(join_biclique),
+    "RPJ_JBCR_NP": ripple(content_random),
+    "RPJ_HS_NP": ripple(handshake),
 }
 
 

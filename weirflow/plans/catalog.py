@@ -129,8 +129,9 @@ _windowed("window_join_jbcr", "1 DAY", DAY, "SHJ_JBCR_NP")
 
 @query("jbcr_members", f"WITH {_R}, {_S} SELECT sid % 2 AS member, count(*) AS n FROM r JOIN s USING (k) GROUP BY 1")
 def jbcr_members(spark, sf_dir):
-    """Matches found by each member of a group of two."""
-    return click_pairs(spark, sf_dir, "SHJ_JBCR_NP").groupBy(F.pmod("s_id", F.lit(2)).cast("long").alias("member")).agg(F.count("*").alias("n"))
+    """Matches found by each member of a group of two, to which S is dealt by the remainder of its id."""
+    dealt = strategies.in_groups(clicks(spark, sf_dir), purchases(spark, sf_dir), 2, F.pmod("s_id", F.lit(2)).cast("long"))
+    return dealt.groupBy("member").agg(F.count("*").alias("n"))
 
 
 @query("freq_product", f"WITH {_R}, {_S}, a AS (SELECT k, count(*) AS c FROM r GROUP BY k), b AS (SELECT k, count(*) AS d FROM s GROUP BY k) SELECT CAST(sum(c * d) AS BIGINT) AS n FROM a JOIN b USING (k)")
@@ -159,6 +160,23 @@ def ripple(spark, sf_dir):
     return out.withColumn("estimate", F.round("estimate", 6))
 
 
+_U = "u AS (SELECT k, rid AS id, rts AS ts, 0 AS side FROM r UNION ALL SELECT k, sid, sts, 1 FROM s)"
+
+
+@query(
+    "ripple_running",
+    f"WITH {_R}, {_S}, {_U}, o AS (SELECT *, row_number() OVER (ORDER BY ts, side, id) - 1 AS i FROM u), "
+    "w AS (SELECT i, sum(1 - side) OVER (ORDER BY i) AS a, sum(side) OVER (ORDER BY i) AS b, CASE WHEN k IS NULL THEN 0 WHEN side = 0 THEN sum(side) OVER (PARTITION BY k ORDER BY i) ELSE sum(1 - side) OVER (PARTITION BY k ORDER BY i) END AS fresh FROM o), "
+    "m AS (SELECT i, a, b, sum(fresh) OVER (ORDER BY i) AS c FROM w) "
+    "SELECT i, CAST(a AS BIGINT) AS r_seen, CAST(b AS BIGINT) AS s_seen, CAST(c AS BIGINT) AS matches, "
+    "round(CASE WHEN a > 0 AND b > 0 THEN CAST((SELECT count(*) FROM r) AS DOUBLE) * (SELECT count(*) FROM s) / (a * b) * c ELSE CAST(c AS DOUBLE) END, 6) AS estimate FROM m",
+)
+def ripple_running(spark, sf_dir):
+    """The estimate after every arrival."""
+    out = estimates.running_estimate(clicks(spark, sf_dir), purchases(spark, sf_dir))
+    return out.select("i", "r_seen", "s_seen", "matches", F.round("estimate", 6).alias("estimate"))
+
+
 # ---- metrics in event time
 
 @query("emit_time", f"WITH {_R}, {_S} SELECT greatest(rts, sts) AS t, CASE WHEN rts > sts THEN 'R' ELSE 'S' END AS side, count(*) AS n FROM r JOIN s USING (k) GROUP BY 1, 2")
@@ -197,6 +215,37 @@ def disorder_gap(spark, sf_dir):
     return metrics.disorder(click_pairs(spark, sf_dir), estimates.arrivals(purchases(spark, sf_dir), "s_id", "s_ts"))
 
 
+@query(
+    "disorder_gap_sampled",
+    f"WITH {_R}, {_S}, {_SN}, m AS (SELECT sid, row_number() OVER (ORDER BY sts, sid, rid) - 1 AS m FROM r JOIN s USING (k) WHERE sts >= rts) SELECT sn.i - m.m // 10 AS gap, count(*) AS n FROM m JOIN sn USING (sid) WHERE m.m % 10 = 0 GROUP BY 1",
+)
+def disorder_gap_sampled(spark, sf_dir):
+    return metrics.disorder(click_pairs(spark, sf_dir), estimates.arrivals(purchases(spark, sf_dir), "s_id", "s_ts"), 10)
+
+
+@query(
+    "gap_cdf",
+    f"WITH {_R}, {_S}, {_SN}, m AS (SELECT sid, row_number() OVER (ORDER BY sts, sid, rid) - 1 AS m FROM r JOIN s USING (k) WHERE sts >= rts), g AS (SELECT sn.i - m.m AS gap, count(*) AS n FROM m JOIN sn USING (sid) GROUP BY 1) "
+    "SELECT gap, round(CAST(sum(n) OVER (ORDER BY gap) AS DOUBLE) / sum(n) OVER (), 9) AS share FROM g",
+)
+def gap_cdf(spark, sf_dir):
+    return metrics.gap_cdf(disorder_gap(spark, sf_dir)).withColumn("share", F.round("share", 9))
+
+
+@query("emit_sampled", f"WITH {_R}, {_S}, {_E} SELECT i, emit FROM e WHERE i % 50 = 0")
+def emit_sampled(spark, sf_dir):
+    return metrics.sampled(metrics.ranked(click_pairs(spark, sf_dir)), 50).select("i", "emit")
+
+
+@query(
+    "throughput",
+    f"WITH {_R}, {_S}, a AS (SELECT count(*) AS inputs, min(epoch_us(t) // 1000) AS lo FROM (SELECT rts AS t FROM r UNION ALL SELECT sts FROM s)), l AS (SELECT max(epoch_us(greatest(rts, sts)) // 1000) AS hi FROM r JOIN s USING (k)) "
+    "SELECT inputs, hi - lo AS ms, round(inputs / CAST(hi - lo AS DOUBLE), 12) AS per_ms FROM a, l",
+)
+def throughput(spark, sf_dir):
+    return metrics.throughput(clicks(spark, sf_dir), purchases(spark, sf_dir), click_pairs(spark, sf_dir)).withColumn("per_ms", F.round("per_ms", 12))
+
+
 # ---- partitions
 
 @query("part_load", "SELECT o_custkey % 8 AS worker, count(*) AS n FROM orders GROUP BY 1")
@@ -219,6 +268,19 @@ def heavy(spark, sf_dir):
     return partitions.above_average(table(spark, sf_dir, "lineitem"), "l_suppkey", 1.1)
 
 
+@query(
+    "heavy_hitters",
+    "WITH p AS (SELECT CASE WHEN l_suppkey % 3 > 0 OR l_partkey % 7 > 2 THEN 1 ELSE l_suppkey END AS k, (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1) * 4 // count(*) OVER () AS run FROM lineitem), "
+    "o AS (SELECT run, k, row_number() OVER (PARTITION BY run ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY run) AS n FROM p), "
+    "x AS (SELECT run, k FROM o JOIN (SELECT unnest(range(100)) AS j) ON i = j * n // 100) "
+    "SELECT k, max(c) AS hits FROM (SELECT run, k, count(*) AS c FROM x GROUP BY run, k HAVING count(*) > 50) GROUP BY k ORDER BY hits DESC, k LIMIT 16",
+)
+def heavy_hitters(spark, sf_dir):
+    """Keys in over half of a run's samples, on suppliers most of which are taken for the first."""
+    key = F.when((F.col("l_suppkey") % 3 > 0) | (F.col("l_partkey") % 7 > 2), F.lit(1)).otherwise(F.col("l_suppkey")).cast("long")
+    return partitions.heavy_hitters(table(spark, sf_dir, "lineitem").withColumn("k", key), "k", 4, 100, "l_orderkey", "l_linenumber")
+
+
 @query("merged_histogram", "SELECT k, count(*) AS n FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer) GROUP BY k")
 def merged_histogram(spark, sf_dir):
     count = lambda t, c: table(spark, sf_dir, t).groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n"))
@@ -235,12 +297,24 @@ def moments(spark, sf_dir):
     return partitions.moments(table(spark, sf_dir, "lineitem"), "l_quantity").select(F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"))
 
 
+@query("shape", "SELECT round(avg(pow((o_totalprice - m) / d, 3)), 6) AS skewness FROM orders, (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS d FROM orders)")
+def shape(spark, sf_dir):
+    return partitions.moments(table(spark, sf_dir, "orders"), "o_totalprice").select(F.round("skewness", 6).alias("skewness"))
+
+
 @query("expressions", "SELECT o_orderkey, o_custkey % 7 AS worker, ((o_custkey - 1) & 65535) >> 12 AS top_bits, CAST(pow(2, ceil(log2(o_custkey))) AS BIGINT) AS room FROM orders WHERE o_custkey > 1")
 def expressions(spark, sf_dir):
     k = F.col("o_custkey")
     return table(spark, sf_dir, "orders").where(k > 1).select("o_orderkey", fx.worker(k, 7).alias("worker"), fx.leading_radix(k, 16, 4).alias("top_bits"), fx.next_power_of_two(k).alias("room"))
 
 
+@query("expressions_all", "SELECT o_orderkey, (x % 7 + 7) % 7 AS worker, ((x - 1) & 65535) >> 12 AS top_bits, CASE WHEN x <= 1 THEN 1 ELSE CAST(pow(2, ceil(log2(x))) AS BIGINT) END AS room FROM (SELECT o_orderkey, o_custkey - 5 AS x FROM orders)")
+def expressions_all(spark, sf_dir):
+    """The same of every order, on keys that begin below zero."""
+    x = F.col("o_custkey") - 5
+    return table(spark, sf_dir, "orders").select("o_orderkey", fx.worker(x, 7).alias("worker"), fx.leading_radix(x, 16, 4).alias("top_bits"), fx.next_power_of_two(x).alias("room"))
+
+
 # ---- sources
 
 @query("smooth", "WITH e AS (SELECT event_id AS rid, epoch_ms(ts) // 3600000 AS t FROM events), c AS (SELECT t, count(*) AS c, lead(t) OVER (ORDER BY t) AS nt FROM e GROUP BY t), j AS (SELECT rid, t, row_number() OVER (PARTITION BY t ORDER BY rid) - 1 AS j FROM e) SELECT rid, CASE WHEN nt IS NULL THEN t ELSE CAST(floor(t + j * ((nt - t) / CAST(c AS DOUBLE))) AS BIGINT) END AS ts FROM j JOIN c USING (t)")
@@ -268,13 +342,21 @@ def duplicate_keys(spark, sf_dir):
 @query("fk_from_pk", "WITH p AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier), g AS (SELECT unnest(range(2500)) AS rid) SELECT key, rid FROM g JOIN p ON rid % n = i")
 def fk_from_pk(spark, sf_dir):
     pk = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_suppkey").alias("rid"))
-    return relations.foreign_keys_of(pk, 2500, F.floor(F.col("rid") / 4096))
+    return relations.foreign_keys_of(pk, 2500)
+
+
+@query("early_share", "SELECT round(avg(CASE WHEN epoch_ms(ts) - epoch_ms((SELECT min(ts) FROM events)) < 0.25 * 2592000000 THEN 1 ELSE 0 END), 9) AS share FROM events")
+def early_share(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    start = e.agg(F.min("ms").alias("start"))  # a single row
+    since = e.join(F.broadcast(start), F.lit(True)).select((F.col("ms") - F.col("start")).alias("ts"))
+    return relations.early_share(since, 30 * DAY).withColumn("share", F.round("share", 9))
 
 
 @query("round_robin", "SELECT event_id, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) % 8 AS INT) AS part FROM events")
 def round_robin(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_id", "ts")
-    return relations.round_robin(df, 8, F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000), "ts", "event_id").select("event_id", "part")
+    return relations.round_robin(df, 8, "ts", "event_id").select("event_id", "part")
 
 
 @query("first_rows", "SELECT event_id, user_id FROM events ORDER BY ts, event_id LIMIT 100")
@@ -307,6 +389,12 @@ def _streamed(spark, sf_dir, side: str) -> DataFrame:
     return e.where(f"event_type = '{kind}'").select(F.col("user_id").alias("key"), F.col("event_id").alias(f"{side}_id"), F.col("ts").cast("timestamp").alias(f"{side}_ts"))
 
 
+def _span(spark, sf_dir) -> str:
+    """A delay that no row of the stored events is behind: what lies between the first and the last."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return f"{table(spark, sf_dir, 'events').agg(((F.max(ms) - F.min(ms)) / 1000 + 1).cast('long')).first()[0] or 0} seconds"
+
+
 @query("stream_stream", _PAIRS)
 def stream_stream(spark, sf_dir):
     return streams.drain(streams.symmetric_hash(_streamed(spark, sf_dir, "r"), _streamed(spark, sf_dir, "s"))).select("key", "r_id", "s_id")
@@ -319,12 +407,12 @@ def stream_static(spark, sf_dir):
 
 @query("stream_window_1d", f"WITH {_R}, {_S} SELECT r.k AS key, rid AS r_id, sid AS s_id FROM r JOIN s ON r.k = s.k AND time_bucket(INTERVAL 1 DAY, rts) = time_bucket(INTERVAL 1 DAY, sts)")
 def stream_window_1d(spark, sf_dir):
-    return streams.drain(streams.windowed(_streamed(spark, sf_dir, "r"), _streamed(spark, sf_dir, "s"), "1 day", "40 days")).select("key", "r_id", "s_id")
+    return streams.drain(streams.windowed(_streamed(spark, sf_dir, "r"), _streamed(spark, sf_dir, "s"), "1 day", _span(spark, sf_dir))).select("key", "r_id", "s_id")
 
 
 @query("stream_interval_1h", f"WITH {_R}, {_S} SELECT r.k AS key, rid AS r_id, sid AS s_id FROM r JOIN s ON r.k = s.k AND sts >= rts AND sts <= rts + INTERVAL 1 HOUR")
 def stream_interval_1h(spark, sf_dir):
-    return streams.drain(streams.within(_streamed(spark, sf_dir, "r"), _streamed(spark, sf_dir, "s"), "0 seconds", "1 hour", "40 days")).select("key", "r_id", "s_id")
+    return streams.drain(streams.within(_streamed(spark, sf_dir, "r"), _streamed(spark, sf_dir, "s"), "0 seconds", "1 hour", _span(spark, sf_dir))).select("key", "r_id", "s_id")
 
 
 @query("stream_stateful", _PAIRS)

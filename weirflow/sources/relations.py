@@ -12,7 +12,8 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weirflow.operators.order import position
+from weirflow.operators.order import following, position, running_sum
+from weirflow.sources.staging import staged
 
 
 def split_fields(line: Column, delimiter: str) -> Column:
@@ -36,18 +37,16 @@ def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 def smooth(df: DataFrame, ts: str = "ts", order: str = "rid") -> DataFrame:
     """Spreads rows of equal ts evenly up to the next one: the j-th of c rows at t, before t', gets t + floor(j (t' - t) / c). The last run stays."""
-    runs = df.groupBy(ts).agg(F.count("*").alias("_c"))
-    following = Window.orderBy(ts)  # a row per distinct millisecond of the window
-    runs = runs.withColumn("_next", F.lead(ts).over(following))
+    runs = following(df.groupBy(ts).agg(F.count("*").alias("_c")), ts, "_next")
     j = F.row_number().over(Window.partitionBy(ts).orderBy(order)) - 1
     moved = F.floor(F.col(ts) + F.col("_j") * ((F.col("_next") - F.col(ts)) / F.col("_c").cast("double"))).cast("long")
     out = df.withColumn("_j", j).join(runs, ts)
     return out.withColumn("_t", F.coalesce(moved, F.col(ts))).drop(ts, "_j", "_c", "_next").withColumnRenamed("_t", ts)
 
 
-def round_robin(df: DataFrame, parts: int, bucket: Column, *order: str) -> DataFrame:
+def round_robin(df: DataFrame, parts: int, *order: str) -> DataFrame:
     """Adds part: the row's position in the order, modulo parts."""
-    return position(df, bucket, *order, name="_i").withColumn("part", F.pmod("_i", F.lit(parts)).cast("int")).drop("_i")
+    return position(df, *order, name="_i").withColumn("part", F.pmod("_i", F.lit(parts)).cast("int")).drop("_i")
 
 
 def alphabet(spark: SparkSession, size: int, kind: str = "incremental", seed: int = 12345) -> DataFrame:
@@ -59,7 +58,8 @@ def alphabet(spark: SparkSession, size: int, kind: str = "incremental", seed: in
         return df.withColumn("symbol", size + 1 - F.col("i"))
     if kind != "permuted":
         raise ValueError(f"incremental, decremental or permuted, not {kind}")
-    return df.withColumn("symbol", F.row_number().over(Window.orderBy(F.xxhash64("i", F.lit(seed)), "i")).cast("long"))
+    shuffled = position(df.withColumn("_h", F.xxhash64("i", F.lit(seed))), "_h", "i", name="_p")
+    return shuffled.select("i", (F.col("_p") + 1).alias("symbol"))
 
 
 def unique_keys(spark: SparkSession, n: int, seed: int = 12345) -> DataFrame:
@@ -88,12 +88,12 @@ def foreign_keys(spark: SparkSession, n: int, max_id: int) -> DataFrame:
     return spark.range(n).select((F.col("id") % max_id + 1).alias("key"), F.col("id").alias("rid"))
 
 
-def foreign_keys_of(pk: DataFrame, n: int, bucket: Column, order: str = "rid") -> DataFrame:
+def foreign_keys_of(pk: DataFrame, n: int, order: str = "rid") -> DataFrame:
     """The keys of pk over and over, n rows in all."""
     size = pk.count()
     if not size:
         return pk.select("key", "rid").limit(0)
-    of = position(pk, bucket, order, name="_i").select("_i", "key")
+    of = position(pk, order, name="_i").select("_i", "key")
     times = F.floor((F.lit(n) - 1 - F.col("_i")) / size)
     out = of.where(F.col("_i") < n).withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), times)))
     return out.select("key", (F.col("_t") * size + F.col("_i")).alias("rid"))
@@ -102,16 +102,16 @@ def foreign_keys_of(pk: DataFrame, n: int, bucket: Column, order: str = "rid") -
 def zipf_cdf(spark: SparkSession, size: int, z: float) -> DataFrame:
     """(i, cdf): the share of symbols 1..i if symbol j has weight j^-z."""
     w = spark.range(1, size + 1).select(F.col("id").alias("i"), F.pow(F.col("id").cast("double"), F.lit(-z)).alias("p"))
-    up = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # the alphabet: bounded by its size
-    return w.select("i", (F.sum("p").over(up) / F.sum("p").over(Window.partitionBy())).alias("cdf"))
+    upto = running_sum(w, "p", "i", name="before", total="whole")
+    return upto.select("i", F.when(F.col("i") == size, F.lit(1.0)).otherwise((F.col("before") + F.col("p")) / F.col("whole")).alias("cdf"))
 
 
 def zipf_keys(spark: SparkSession, n: int, size: int, z: float, seed: int = 12345, kind: str = "permuted") -> DataFrame:
     """n keys, drawn by inverting the CDF: draws and CDF steps meet in bins of [0, 1), so no draw looks at the whole table."""
     bins = 4096
-    cdf = zipf_cdf(spark, size, z)
-    lo = F.coalesce(F.lag("cdf").over(Window.orderBy("i")), F.lit(0.0))
-    steps = cdf.withColumn("lo", lo).join(alphabet(spark, size, kind, seed), "i")
+    cdf = staged(zipf_cdf(spark, size, z))
+    below = cdf.select((F.col("i") + 1).alias("i"), F.col("cdf").alias("lo"))
+    steps = cdf.join(below, "i", "left").fillna(0.0, ["lo"]).join(alphabet(spark, size, kind, seed), "i")
     last = F.least(F.floor(F.col("cdf") * bins), F.lit(bins - 1))
     steps = steps.withColumn("bin", F.explode(F.sequence(F.least(F.floor(F.col("lo") * bins), F.lit(bins - 1)), last)))
     u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)

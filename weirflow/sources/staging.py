@@ -1,17 +1,33 @@
-"""Tables written to the folder that driver and executors share."""
+"""Tables written to the folder that driver and executors share.
+
+All folders are below one of the application's own, which the driver's end removes; `discard` and `remove` give space back earlier.
+"""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_path(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; below /tmp/checkpoints only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where that is unset: below /tmp/checkpoints if
+    everything runs on this machine, as in tests, and an error if not, as executors would write to disks that nobody else reads."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    base = base or "file:///tmp/checkpoints"  # a single machine, as in tests
-    return f"{base.rstrip('/')}/weirflow-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if not base and not re.fullmatch(r"local(\[[^,]*(,[0-9]+)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/weirflow-{spark.sparkContext.applicationId}"
+    path, fs = _path(spark, own)
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -19,3 +35,15 @@ def staged(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path, fs = _path(spark, folder)
+    fs.delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that `staged` made and that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/weirflow-" in folder:
+            remove(df.sparkSession, folder)

@@ -1,13 +1,14 @@
 """Eager joins: pairs come out as soon as both members have arrived.
 
 Each function starts a query over streams of R and S (key, r_id, r_ts / key, s_id, s_ts) that writes
-pairs to Parquet. `drain` runs it over all that is there and returns the pairs. Without a watermark
+pairs to Parquet. `drain` runs it over all that is there, at once or by intervals, and returns the pairs. Without a watermark
 state is kept for ever, as within one window; `late` bounds it for windowed joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from weirflow.sources.staging import shared_path
+from weirflow.sources.staging import remove, shared_path
 
 PAIR = "key long, r_id long, s_id long, r_ts timestamp, s_ts timestamp"
+#: Rows of either side that are paired at once, and groups that a key's rows are dealt to.
+SLICE, SALTS = 256, 4
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,12 +31,41 @@ def stream_of(spark: SparkSession, path: str, files_per_batch: int = 1000) -> Da
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(pairs: DataFrame, schema: str | StructType | None = None) -> DataFrame:
-    """Runs the streaming DataFrame until all input is used, then reads what came out."""
+def gated(df: DataFrame, ts: str, tick_ms: int) -> DataFrame:
+    """Arrival gating: df's rows as a stream in which micro-batch k holds what arrived in the k-th `tick_ms` since the first row;
+    rows without a time are there from the start. For use with drain(batches=...), as ticks never end."""
+    spark = df.sparkSession
+    first = df.agg(F.min(F.unix_millis(F.col(ts).cast("timestamp")))).first()[0] or 0
+    tick = F.coalesce(F.floor((F.unix_millis(F.col(ts).cast("timestamp")) - first) / tick_ms), F.lit(0))
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load().select(F.col("value").alias("_tick"))
+    return df.withColumn("_at", tick).join(F.broadcast(ticks), F.col("_at") == F.col("_tick")).drop("_at", "_tick")  # one row per batch
+
+
+def drain(pairs: DataFrame, schema: str | StructType | None = None, every: str | None = None, batches: int | None = None) -> DataFrame:
+    """Runs the streaming DataFrame until all input is used, then reads what came out.
+
+    every: None takes what is there in as many micro-batches as the source makes of it, one after the other (eager if a batch is a
+    file, see `stream_of`); an interval ("10 seconds") waits so long between them, so what arrives meanwhile is joined at once
+    (deferred). batches: stops after so many, for sources that never end.
+    """
     spark = pairs.sparkSession
     out, mark = shared_path(spark), shared_path(spark)
-    query = pairs.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = pairs.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
+    if every is None and batches is None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:
+        query = writer.trigger(processingTime=every or "0 seconds").start()
+        try:
+            if batches is None:
+                query.processAllAvailable()
+            else:
+                while query.isActive and not (query.lastProgress and query.lastProgress["batchId"] + 1 >= batches):
+                    query.awaitTermination(0.1)
+        finally:
+            query.stop()
+        if query.exception():
+            raise query.exception()
+    remove(spark, mark)
     return spark.read.schema(schema or pairs.schema).parquet(out)
 
 
@@ -61,34 +93,41 @@ def with_table(r: DataFrame, s: DataFrame) -> DataFrame:
 
 
 class SymmetricHash(StatefulProcessor):
-    """A key's rows of both sides as state; each arrival is stored and paired with what came before it from the other side."""
+    """A key's rows of both sides as state; each arrival is stored and paired with what came before it from the other side.
+    State is read and pairs are given out in slices, so a key may have any number of rows."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sides = {side: handle.getListState(f"side_{side}", "id long, ts timestamp") for side in ("r", "s")}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = {side: list(state.get()) if state.exists() else [] for side, state in self.sides.items()}
         for pdf in rows:
-            new = {side: list(part[["id", "ts"]].itertuples(index=False, name=None)) for side, part in pdf.groupby("side")}
             for side, other in (("r", "s"), ("s", "r")):
-                mine = new.get(side, [])
-                if not mine:
+                mine = pdf.loc[pdf["side"] == side, ["id", "ts"]]
+                if len(mine) == 0:
                     continue
-                pairs = [(x, y) for x in mine for y in kept[other]]
-                self.sides[side].appendList(mine)
-                kept[side] += mine
-                if pairs:
-                    a, b = zip(*pairs, strict=True)
-                    a, b = (a, b) if side == "r" else (b, a)
-                    yield pd.DataFrame({"key": key[0], "r_id": [x[0] for x in a], "s_id": [x[0] for x in b], "r_ts": [x[1] for x in a], "s_ts": [x[1] for x in b]})
+                self.sides[side].appendList(list(mine.itertuples(index=False, name=None)))
+                yield from self._pairs(key[0], mine, side, other)
+
+    def _pairs(self, key, mine: pd.DataFrame, side: str, other: str) -> Iterator[pd.DataFrame]:
+        """mine with all that is kept of the other side, some rows of both at a time."""
+        if not self.sides[other].exists():
+            return
+        kept = iter(self.sides[other].get())
+        while part := list(islice(kept, SLICE)):
+            part = pd.DataFrame(part, columns=["id", "ts"])
+            for lo in range(0, len(mine), SLICE):
+                both = mine.iloc[lo : lo + SLICE].merge(part, how="cross", suffixes=(f"_{side}", f"_{other}"))
+                yield pd.DataFrame({"key": key, "r_id": both["id_r"], "s_id": both["id_s"], "r_ts": both["ts_r"], "s_ts": both["ts_s"]})
 
     def close(self) -> None:
         pass
 
 
-def stateful(r: DataFrame, s: DataFrame) -> DataFrame:
-    """Stream-stream with the state in our own hands. Needs the RocksDB state store (see ROCKSDB)."""
-    both = r.select("key", F.lit("r").alias("side"), F.col("r_id").alias("id"), F.col("r_ts").alias("ts")).unionByName(
-        s.select("key", F.lit("s").alias("side"), F.col("s_id").alias("id"), F.col("s_ts").alias("ts"))
+def stateful(r: DataFrame, s: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Stream-stream with the state in our own hands, a key's S rows dealt to `salts` groups and its R rows copied to each.
+    Needs the RocksDB state store (see ROCKSDB)."""
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    both = r.select("key", copies.alias("salt"), F.lit("r").alias("side"), F.col("r_id").alias("id"), F.col("r_ts").alias("ts")).unionByName(
+        s.select("key", F.pmod(F.xxhash64("s_id", "s_ts"), F.lit(salts)).cast("int").alias("salt"), F.lit("s").alias("side"), F.col("s_id").alias("id"), F.col("s_ts").alias("ts"))
     )
-    return both.groupBy("key").transformWithStateInPandas(SymmetricHash(), PAIR, "append", "none")
+    return both.where("key IS NOT NULL").groupBy("key", "salt").transformWithStateInPandas(SymmetricHash(), PAIR, "append", "none")
