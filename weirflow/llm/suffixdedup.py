@@ -229,59 +229,39 @@ def _repeated(rows: DataFrame, classes: DataFrame, pos: Column | None = None) ->
 
 
 def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """id, th (the text's xxhash64), a, b: strings of `least` bytes that start at bytes a..b of that text are in the corpus more than once."""
+    """id, th (the text's xxhash64), a, b: strings of `least` bytes that start at bytes a..b of that text are in the corpus more than once.
+
+    Every suffix has a pointer to its bucket, at first that of its q-gram. A bucket is refined by its suffixes' pointers at the offset
+    that the bucket's strings already reach to, and the pointers that come out are used for the next refinement; a bucket of one is done.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    key = ["id", "th", "pos", "lo", "hi"]
+    texts = written(d.where(F.octet_length("t") >= least).withColumn("tid", F.monotonically_increasing_id()))
 
     def find(pdf: pd.DataFrame):
-        for some in _slices(pdf, SLICE):
-            got = collapsed(anchors(list(_bytes(some["t"])), least, gram))
-            own = some.iloc[got.pop("text").to_numpy(np.int64)]
-            yield pd.DataFrame({"id": own["id"].to_numpy(), "th": own["th"].to_numpy(), **got})
-
-    seen = written(_each(d.where(F.octet_length("t") >= least), find, f"id {kind}, th long, pos int, lo int, hi int, bucket long, ident long, ident2 long, more array<int>"))
-    times = 1 + F.coalesce(F.array_size("more"), F.lit(0))
-    # a table of its own, so that Spark can split a bucket with very many anchors
-    shared = written(seen.groupBy("bucket").agg(F.sum(times).alias("n")).where("n > 1").select("bucket"))
-    rows = written(seen.join(shared, "bucket").withColumn("done", F.lit(False)))
+        for tid, t in zip(pdf["tid"], _bytes(pdf["t"]), strict=True):
+            i = np.arange(len(t) - gram + 1)
+            for at in range(0, len(i), CHUNK):
+                data = np.frombuffer(t[at : at + CHUNK + gram - 1], np.uint8)
+                own = np.arange(len(data) - gram + 1)
+                yield pd.DataFrame({"tid": tid, "i": own + at, "b": Prints(data).of(own, own + gram).view(np.int64)})
+
+    seen = written(_each(texts.select("tid", "t"), find, "tid long, i int, b long"))
+    shared = seen.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
+    state = written(seen.join(shared, "b").select("tid", "i", "b"))
     discard(seen)
-    classes = _refined(rows, key, times)
-    found = [_repeated(rows, classes, F.explode(F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<int>")))))]
-
-    # the bytes around the anchors that go on
-    left = classes.where("goes_on").select("member.*", "done")
-    per = left.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "lo", "hi", "done")).alias("anchors"))
-    per = per.select(F.col("id").alias("own_id"), F.col("th").alias("own_th"), "anchors")
-    texts = d.join(per, d["id"].eqNullSafe(per["own_id"]) & (d["th"] == per["own_th"])).select("id", "th", F.col("t").cast("binary").alias("t"), F.explode("anchors").alias("x"))
-    around = F.substring(F.col("t"), F.col("x.pos") - F.col("x.hi") + 1, F.col("x.hi") - F.col("x.lo") + least)
-    held = written(texts.select("id", "th", "x.*", around.alias("context")))
-
-    def cut(step: int):
-        def f(pdf: pd.DataFrame):
-            got = parts(pdf["context"].tolist(), pdf["lo"].to_numpy(np.int64), pdf["hi"].to_numpy(np.int64), step, least, gram)
-            own = pdf.iloc[got.pop("of").to_numpy(np.int64)]
-            if step > 1:  # the part's own bytes go along only if the next round asks for them
-                got["whole_lo"] = own["lo"].to_numpy()
-            yield pd.DataFrame({c: own[c].to_numpy() for c in ("id", "th", "pos", "done")} | dict(got))
-
-        return f
-
-    schema = f"id {kind}, th long, pos int, done boolean, lo int, hi int, bucket long, ident long, ident2 long"
-    rows = written(_each(held, cut(STEP), schema + ", whole_lo int"))
-    classes = _refined(rows, [*key, "whole_lo"])
-    found.append(_repeated(rows, classes))
-
-    left = classes.where("goes_on").select("member.*", "done").alias("l")
-    h = held.select("id", "th", "pos", F.col("lo").alias("whole_lo"), F.col("hi").alias("whole_hi"), "context").dropDuplicates(["id", "th", "pos", "whole_lo"]).alias("h")
-    same = F.col("l.id").eqNullSafe(F.col("h.id")) & (F.col("l.th") == F.col("h.th")) & (F.col("l.pos") == F.col("h.pos")) & (F.col("l.whole_lo") == F.col("h.whole_lo"))
-    part = F.substring("h.context", F.col("h.whole_hi") - F.col("l.hi") + 1, F.col("l.hi") - F.col("l.lo") + least)
-    last = left.join(h, same).select("l.id", "l.th", "l.pos", "l.lo", "l.hi", "l.done", part.alias("context"))
-    rows = written(_each(last, cut(1), schema))
-    many = written(rows.groupBy(*CLASS).agg(F.count("*").alias("n")).where("n > 1").select(*CLASS))
-    found.append(rows.where("NOT done").join(many, list(CLASS)).select("id", "th", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo")).alias("b")))
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    reach = gram
+    while reach < least:
+        step = min(reach, least - reach)
+        later = state.select("tid", (F.col("i") - step).alias("i"), F.col("b").alias("b2"))
+        both = written(state.join(later, ["tid", "i"]))
+        names = both.groupBy("b", "b2").agg(F.count("*").alias("n")).where("n > 1").select("b", "b2")
+        names = written(names.withColumn("name", F.monotonically_increasing_id()))
+        discard(state)
+        state = written(both.join(names, ["b", "b2"]).select("tid", "i", F.col("name").alias("b")))
+        discard(both)
+        reach += step
+    return state.join(texts.select("tid", "id", "th"), "tid").select("id", "th", F.col("i").alias("a"), F.col("i").alias("b"))
 
 
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, with_text: bool = False) -> DataFrame:
