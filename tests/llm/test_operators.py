@@ -184,13 +184,42 @@ def test_simhash_links_in_tiles(spark):
     label = np.arange(len(xs))
     for _ in range(len(xs)):
         label = np.where(near, label[None, :], len(xs)).min(1)
-    for tile in (1024, 16):
-        links = simhash.near_links(spark.createDataFrame(pd.DataFrame({"fp": xs})), tile=tile)
+    for tile, many in ((1024, None), (16, None), (1024, 1 << 30), (16, 1 << 30)):
+        links = simhash.near_links(spark.createDataFrame(pd.DataFrame({"fp": xs})), tile=tile, fingerprints=many)
         root = {r.node: r.root for r in components(links, "a", "b").collect()}
         got = [root.get(int(x), int(x)) for x in xs]
         assert len({(a, b) for a, b in zip(label.tolist(), got, strict=True)}) == len(set(label.tolist())) == len(set(got))
 
 
+def test_one_component_of_all_nodes(spark):
+    """A hub with a link to every node, a chain, and both at once; nothing is left in the shared folder but the result."""
+    from pathlib import Path
+
+    from weirflow.llm.components import components
+
+    hub = [(0, i) for i in range(1, 3000)]
+    chain = [(i, i + 1) for i in range(5000, 5300)]
+    links = spark.createDataFrame([*hub, *chain, (7, 7), (None, 3), (1, 0)], "a long, b long").repartition(4)
+    got = {r.node: r.root for r in components(links, "a", "b").collect()}
+    assert got == {i: 0 for i in range(3000)} | {i: 5000 for i in range(5000, 5301)}
+    out = components(links.unionByName(spark.createDataFrame([(2999, 5300)], "a long, b long")), "a", "b")
+    assert {r.root for r in out.collect()} == {0} and out.count() == 3301
+    folder = Path(out.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists()
+
+
+def test_balls(spark):
+    import math
+
+    for own, width, radius in ((0, 8, 2), (0b10110, 8, 2), (255, 8, 1), (77, 21, 1)):
+        values = [own ^ x for x in range(1 << width) if 0 < x.bit_count() <= radius and own ^ x > own] if width < 12 else [own ^ (1 << b) for b in range(width) if own ^ (1 << b) > own]
+        assert len(values) <= math.comb(width, 2) + width
+        got = spark.range(1).selectExpr(f"CAST({own} AS BIGINT) AS o").selectExpr(simhash._ball("o", width, radius) + " AS v").first().v
+        assert sorted(got) == sorted(values)
+    with pytest.raises(ValueError):
+        simhash.layout(10, 6)
+
+
 def test_near_dedup_keeps_one_of_each_group(docs):
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.sources.staging import discard, shared_path, staged
+
+__all__ = ["ALNUM_WORD", "PLAIN_WORD", "ascii_lower", "discard", "fresh", "shared_path", "written"]
+
 #: Words as runs of non-blank characters.
 PLAIN_WORD = r"[^\x20\x09-\x0D]+"
 #: Words as runs of ASCII letters, digits and anything beyond ASCII; upper case included.
@@ -21,29 +23,10 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; below /tmp/checkpoints only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    base = base or "file:///tmp/checkpoints"  # a single machine, as in tests
-    return f"{base.rstrip('/')}/weirflow-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """The rows, written to the shared folder and read again: later steps don't compute them a second time,
     and the loss of an executor costs no earlier work."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the folder of a table that `written` made and that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/weirflow-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return staged(df.coalesce(partitions) if partitions else df)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -52,8 +35,3 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-def code_point_order(name: str) -> Column:
-    """UTF-8 bytes sort as code points do."""
-    return F.col(name).asc_nulls_last()

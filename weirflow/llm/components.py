@@ -2,8 +2,10 @@
 
 Each round turns every node's links into a star around its least neighbour, first for the larger
 neighbours and then for the smaller ones; the links end as one star per component after about
-log(size)^2 rounds at most and a handful in practice. A round is two aggregations and two joins over
-the links; its result is written to the shared folder, so no lineage builds up.
+log(size)^2 rounds at most and a handful in practice. A star is an aggregation, whose result is a table
+of its own, and a join of the links with that. So a hub, the least node of a large component, is one row
+per task in the aggregation, and in the join Spark splits its links among tasks. What a round has used
+up is deleted, and no lineage builds up.
 """
 
 from __future__ import annotations
@@ -11,19 +13,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import written
+from weirflow.llm.common import discard, written
 
 
 def _star(links: DataFrame, larger: bool) -> DataFrame:
-    """links: (u, v) with u > v. Returns links of the same form, without repeats."""
+    """links: (u, v) with u > v, a written table that goes. Returns links of the same form, without repeats, as a written table."""
     if larger:  # every node points its larger neighbours to its least one, itself included
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # every node points its smaller neighbours, and itself, to the least of them
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(links.groupBy("u").agg(F.min("v").alias("m")))
         out = links.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    out = written(out.where("u > v").distinct())
+    discard(least)
+    discard(links)
+    return out
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -38,6 +43,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if not now[0] or tuple(now) == seal:
             break
         seal = tuple(now)
-        stars = written(_star(_star(stars, True), False))
+        stars = _star(_star(stars, True), False)
     members = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return members.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

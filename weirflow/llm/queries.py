@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import shared_dir, written
+from weirflow.llm.common import shared_path, written
 from weirflow.llm.decontaminate import WINDOW, contamination
 from weirflow.llm.langid import detect, held_out, train
 from weirflow.llm.licenses import license_scan
@@ -153,7 +153,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_warc", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = shared_dir(spark)
+    archive = shared_path(spark)
     write_warc(table(spark, sf_dir, "pages"), archive, min_bytes=0)
     seen = transactions(written(read_warc(spark, archive, payloads=False)))
     page = F.element_at("metadata", 1)["fields"]["page_id"].cast("long")

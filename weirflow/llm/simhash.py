@@ -3,10 +3,13 @@
 1. A fingerprint per text: bit b is 1 if it is set in over half the XXH64 values of the text's word
    shingles, repeats included. Hashing runs in Arrow batches; the few bytes per document that come out
    are written to the shared folder.
-2. Equal fingerprints are one node. A 64-bit fingerprint is cut into three segments; two that differ
-   in 4 bits or fewer differ in at most one bit of some segment. So each fingerprint enters the table
-   of each segment under its own value ("home") and looks up the values of the Hamming ball of radius
-   1 around it (those with one more bit; the ones with a bit less find it from their side).
+2. Equal fingerprints are one node. A 64-bit fingerprint is cut into segments; two that differ in 4
+   bits or fewer differ in at most one bit of some one of three segments, and in at most two bits of
+   some one of two. So each fingerprint enters the table of each segment under its own value ("home")
+   and looks up the values of the Hamming ball around it (the larger ones; the smaller find it from
+   their side). Two segments of 32 bits cost sixteen times the lookups, but their buckets are a
+   two-thousandth as full: `layout` takes three segments up to `FEW` fingerprints and two beyond.
+   Both find all links.
 3. What meets in a bucket is compared over all 64 bits. A bucket is dealt out in tiles: its homes and
    its lookups are cut into runs of about `TILE`, one tile per pair of runs, so a large bucket is many
    tasks' work. A tile emits a spanning forest of its links instead of all pairs: components keep
@@ -31,8 +34,10 @@ from weirflow.llm.common import fresh, written
 from weirflow.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: (lowest bit, width) of each segment.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: (lowest bit, width) of each segment, and the radius of the balls that are looked up.
+THREE, TWO = (((0, 21), (21, 21), (42, 22)), 1), (((0, 32), (32, 32)), 2)
+#: Fingerprints for which three segments cost least, at most: a bucket then has eight of them or so.
+FEW = 1 << 24
 #: Rows of a bucket that a tile holds of each side, about.
 TILE = 1024
 
@@ -83,16 +88,30 @@ def forest(left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray,
     return nodes[moved], nodes[label[moved]]
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
-    """fps: one column fp, distinct. Returns links (a, b) with the components of all pairs within `distance` bits."""
-    if distance // len(SEGMENTS) > 1:
-        raise ValueError("a ball of radius 1 finds distances up to 5")
+def layout(fingerprints: int, distance: int) -> tuple[tuple[tuple[int, int], ...], int]:
+    """The segments and the radius for so many fingerprints."""
+    segments, radius = THREE if fingerprints <= FEW and distance // len(THREE[0]) <= THREE[1] else TWO
+    if distance // len(segments) > radius:
+        raise ValueError("balls of radius 1 or 2 find distances up to 5")
+    return segments, radius
+
+
+def _ball(own: str, width: int, radius: int) -> str:
+    """SQL of the values above `own` that differ from it in 1 to radius bits."""
+    flips = f"transform(sequence(0, {width - 1}), b -> shiftleft(1L, b))"
+    if radius == 2:
+        flips = f"flatten(transform(sequence(0, {width - 1}), b -> transform(sequence(b, {width - 1}), c -> shiftleft(1L, b) | shiftleft(1L, c))))"
+    return f"filter(transform({flips}, x -> {own} ^ x), v -> v > {own})"
+
+
+def near_links(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE, fingerprints: int | None = None) -> DataFrame:
+    """fps: one column fp, distinct; fingerprints: how many (counted if not given). Returns links (a, b) with the components of all pairs within `distance` bits."""
+    segments, radius = layout(fps.count() if fingerprints is None else fingerprints, distance)
     spots = []
-    for s, (low, width) in enumerate(SEGMENTS):
+    for s, (low, width) in enumerate(segments):
         own = f"(shiftrightunsigned(fp, {low}) & {(1 << width) - 1}L)"
         spots.append(F.expr(f"array(struct({s} AS seg, {own} AS value, true AS home))"))
-        ball = f"filter(transform(sequence(0, {width - 1}), b -> {own} | shiftleft(1L, b)), v -> v <> {own})"
-        spots.append(F.expr(f"transform({ball}, v -> struct({s} AS seg, v AS value, false AS home))"))
+        spots.append(F.expr(f"transform({_ball(own, width, radius)}, v -> struct({s} AS seg, v AS value, false AS home))"))
     spots = fps.select("fp", F.inline(F.concat(*spots)))
     # how many tiles each side of a large bucket is cut into; all others are one tile
     load = spots.groupBy("seg", "value").agg(F.sum(F.col("home").cast("int")).alias("homes"), F.sum((~F.col("home")).cast("int")).alias("calls"))
@@ -176,13 +195,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents meet their verdict by id and text, so rows that share an id are told apart; of rows equal
     in both, one stays.
     """
-    key = fresh(docs, "row_key")
-    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    key, own_id, own_key = fresh(docs, "text_key"), fresh(docs, "own_id"), fresh(docs, "own_key")
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
     ranked = keyed.select(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(key).alias("key")).alias("who"), F.col(text_col).alias("body"))
     groups = simhash_groups(ranked, "who", "body", **how)
-    stay = written(groups.where("who = component_id").select(F.col("who.key").alias(key)))
+    stay = written(groups.where("who = component_id").select(F.col("who.id").alias(own_id), F.col("who.key").alias(own_key)))
     once = stay.distinct()
-    kept = keyed.join(once, key, "left_semi")
-    if stay.count() > once.count():  # equal rows: their keys are already together
+    kept = keyed.join(once, keyed[id_col].eqNullSafe(once[own_id]) & (keyed[key] == once[own_key]), "left_semi")
+    if stay.count() > once.count():  # rows that are equal in id and text
         kept = kept.dropDuplicates([key, id_col])
     return kept.drop(key)
