@@ -44,6 +44,7 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 def discard(df: DataFrame) -> None:
     """Deletes the folder of a table that `staged` made and that nothing reads any more."""
+    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/weirflow-" in folder:
-            remove(df.sparkSession, folder)
+        if f"/weirflow-{spark.sparkContext.applicationId}/" in folder:
+            remove(spark, folder)
