@@ -4,7 +4,9 @@ Every window of `n` consecutive words of a benchmark item (an item of fewer word
 into a table of distinct windows. A document's words become one row per position that holds the next
 `n` words; the hash of a position's words is looked up in the table and a hit is verified by comparing
 the words themselves. The table is broadcast while it has at most `broadcast_windows` windows, a bound
-that is counted first; beyond it the same join shuffles positions by their hash.
+that is counted first. Beyond it a bitmap of the windows' hashes (2^27 bits, 16 MB whatever their number)
+is broadcast instead: positions whose bit isn't set have no window, and only the others are shuffled by
+their hash and meet the table, which Spark's skew join can split at a frequent passage.
 
 Words and windows are made by built-in functions inside one stage. Only hits, and one row per
 document, leave it: they are gathered by document, where overlapping hits count once.
@@ -24,6 +26,8 @@ from weirflow.llm.common import ALNUM_WORD, ascii_lower, fresh, written
 
 WINDOW = 10
 BROADCAST_WINDOWS = 200_000
+#: Bits of the bitmap, as a power of two.
+BITMAP_BITS = 27
 
 
 def words(text: Column) -> Column:
@@ -47,6 +51,18 @@ def _window_hash(window: Column, length: Column, n: int) -> Column:
     return F.coalesce(*(F.when(length == k, F.xxhash64(*(F.get(w, F.lit(i)) for i in range(k)))) for k in range(1, n + 1)))
 
 
+def marked(positions: DataFrame, table: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """positions with `maybe`: false where no window of the table has the row's hash."""
+    cell = lambda: F.pmod(F.col("hash"), F.lit(1 << bits))
+    bitmap = table.groupBy(F.bitmap_bucket_number(cell()).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell())).alias("bits"))
+    place = F.bitmap_bit_position(cell())
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(byte, CAST(place % 8 AS INT)) & 1")
+    found = positions.withColumn("part", F.bitmap_bucket_number(cell())).join(F.broadcast(bitmap), "part", "left")  # 2^bits bits at most
+    found = found.withColumns({"place": place, "byte": byte})
+    return found.withColumn("maybe", F.coalesce(bit == 1, F.lit(False))).drop("part", "bits", "place", "byte")
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per document: the id, n_words, hits (sorted distinct [first word, past the last word)) and items (sorted)."""
     found = written(windows(benchmark, item_id, item_text, n))
@@ -54,8 +70,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     table = written(table.withColumn("hash", _window_hash(F.col("window"), F.col("length"), n)))
     stated = table.groupBy("length").agg(F.count("*").alias("n")).collect()  # n rows at most
     lengths = sorted(r["length"] for r in stated)
-    if sum(r["n"] for r in stated) <= broadcast_windows:
-        table = F.broadcast(table)
+    small = sum(r["n"] for r in stated) <= broadcast_windows
 
     d = docs.select(F.col(id_col).alias("doc"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w"))
     # the k-th array starts k words later; zipped, each position holds its next n words, null past the end
@@ -70,7 +85,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
         d = d.select("*", F.inline(pairs))
     else:
         d = d.withColumns({"length": F.lit(0), "hash": F.lit(None).cast("long")})
-    d, t = d.alias("d"), table.alias("t")
+    if lengths and not small:
+        # a document's first position stays in any case, for its number of words; without a window it is dealt out by itself
+        d = marked(d, table).where("maybe OR coalesce(at, 0) = 0")
+        d = d.withColumns({"hash": F.when(F.col("maybe"), F.col("hash")).otherwise(F.xxhash64("row")), "length": F.when(F.col("maybe"), F.col("length")).otherwise(-1)})
+    d, t = d.alias("d"), (F.broadcast(table) if small else table).alias("t")
     same = F.lit(False)
     for k in lengths:
         text = F.concat_ws(" ", *(F.col(f"d.w{i}") for i in range(k)))
@@ -104,12 +123,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     Rows meet their findings by id and text, so rows that share an id are told apart.
     """
-    key, bad_id, bad_spans = fresh(docs, "text_key"), fresh(docs, "bad_id"), fresh(docs, "bad_spans")
+    key, bad_id, bad_key, bad_spans = fresh(docs, "text_key"), fresh(docs, "bad_id"), fresh(docs, "bad_key"), fresh(docs, "bad_spans")
     keyed = docs.withColumn(key, F.xxhash64(text_col))
     text_id = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(key).alias("key")).alias("doc_key"), F.col(text_col).alias("body"))
     found = contamination(text_id, benchmark, "doc_key", "body", **how).where("contaminated")
-    bad = found.select(F.col("doc_key.id").alias(bad_id), F.col("doc_key.key").alias(f"{key}2"), F.col("spans").alias(bad_spans)).dropDuplicates([bad_id, f"{key}2"])
-    same = keyed[id_col].eqNullSafe(bad[bad_id]) & (keyed[key] == bad[f"{key}2"])
+    bad = found.select(F.col("doc_key.id").alias(bad_id), F.col("doc_key.key").alias(bad_key), F.col("spans").alias(bad_spans)).dropDuplicates([bad_id, bad_key])
+    same = keyed[id_col].eqNullSafe(bad[bad_id]) & (keyed[key] == bad[bad_key])
     if mode == "document":
         return keyed.join(bad, same, "left_anti").drop(key)
     if mode != "span":
