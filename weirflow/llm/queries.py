@@ -160,7 +160,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = seen.select("record_id", page.alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").alias("first_id"))
     seen = written(seen)
     firsts = seen.where("record_type = 'response'").select(F.col("record_id").alias("first_id"), F.col("page_id").alias("refers_to")).distinct()
-    return seen.join(firsts, "first_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    own = seen.where("first_id IS NULL").withColumn("refers_to", F.lit(None).cast("long"))  # refers to nothing, so is joined to nothing
+    again = seen.where("first_id IS NOT NULL").join(firsts, "first_id", "left")
+    return own.select(columns).unionByName(again.select(columns))
 
 
 @query("op5_language_id")
