@@ -66,7 +66,21 @@ def test_contamination(spark, docs, limit):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_hit for r in df.collect())
 
 
+def test_positions_without_a_window_are_not_shuffled(spark, docs):
+    """Few bits, so that many positions share one: what is marked holds all hits; with many bits, little else."""
+    items = spark.createDataFrame([(1, BASE[2]), (2, LONG[1000:1200])], "item_id long, text string")
+    table_ = decontaminate.windows(items, "item_id", "text").select("window", F.xxhash64("window").alias("hash"))
+    seen = spark.createDataFrame([(f"other {i}",) for i in range(2000)], "window string").unionByName(table_.select("window"))
+    seen = seen.select("window", F.xxhash64("window").alias("hash"))
+    own = {r.window for r in table_.collect()}
+    for bits, most in ((4, 1.0), (16, 0.05), (27, 0.01)):
+        rows = decontaminate.marked(seen, table_, bits).collect()
+        assert len(rows) == 2000 + table_.count() and {r.window for r in rows if not r.maybe}.isdisjoint(own)
+        assert sum(r.maybe for r in rows if r.window not in own) <= most * 2000
+
+
 def test_clean_documents(spark, docs):
+    docs = docs.withColumns({"text_key2": F.lit("?"), "bad_id": F.lit("?"), "bad_key": F.lit("?")})
     bench = spark.createDataFrame([(1, BASE[2]), (3, "two WORDS")], "item_id long, text string")
     bad = {(r[0], t) for r, (_, t) in zip(brute.contamination(DOCS, [(1, BASE[2]), (3, "two WORDS")]), DOCS, strict=True) if r[5]}
     kept = decontaminate.clean_documents(docs, bench)
@@ -247,6 +261,17 @@ def test_mixing(spark, docs):
     assert result(again, *again.columns) == expect([tuple(r) for r in out])
 
 
+def test_mixing_tells_rows_apart(spark):
+    """Repeated rows are stretches of their own, null ids too."""
+    texts = [f"{'w ' * (5 + k % 3)}" for k in range(60)]
+    docs = table(spark, texts * 2 + [texts[0]] * 3, [*range(60), *range(60), None, None, None], sources=["a", "b"]).withColumn("key", F.monotonically_increasing_id())
+    out = mixing.mix_counts(docs, row_col="key", block=16).collect()
+    assert len({r.row for r in out}) == len(out) == 123
+    for source in "ab":
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 16 * 4
+
+
 def test_mixing_caps_small_sources(spark):
     docs = table(spark, ["w " * 10, "w " * 1000, "w " * 500, None], sources=["a", "b", "c", None])
     got = {r.source: r for r in mixing.mix_counts(docs, block=16).collect()}

@@ -3,8 +3,9 @@
 1. Sources, their sizes and targets: weights share the whole size out; a source whose share would
    exceed `max_epochs` times its size stops there and the excess goes to the others by weight.
 2. Every document gets a place on its source's line of words, in an order shuffled by the md5 of its
-   id. The line's offsets come from two levels (sums of hash buckets, then places in a bucket), so a
-   source with a third of all documents is still many small groups.
+   id. The line's offsets come from two levels (sums of ranges of the order, which follow the data, then
+   places in a range), so a source with a third of all documents is still many ranges, however many
+   documents there are; only rows equal in source, id and size share one.
 3. Slots k = 0, 1, ... of `block` words: the golden-ratio point of k, mapped through the cumulative
    target shares, names slot k's source. Ranks per source come from two levels as well (sums of runs
    of slots, then places in a run).
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import PLAIN_WORD, written
+from weirflow.operators.order import running_sum
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -37,9 +39,10 @@ RUN = 1 << 14
 GOLDEN, POINTS = 1327217885, 1 << 31
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """id, source, size and, if row_col names what tells rows apart, row."""
     n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(PLAIN_WORD)), F.lit(0))
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n.cast("long").alias("size"))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n.cast("long").alias("size"), *([F.col(row_col).alias("row")] if row_col else []))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -71,15 +74,13 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
 
 def placed(sized: DataFrame) -> DataFrame:
     """Adds `start`, where the document begins on its source's shuffled line."""
-    d = sized.withColumn("order", F.md5(F.col("id").cast("string"))).withColumn("bucket", F.coalesce(F.substring("order", 1, 3), F.lit("")))
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "bucket").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("d")
-    sums = sums.alias("s")
-    on = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket"))
-    return d.join(sums, on).select("d.id", "d.source", "d.size", (F.col("s.base") + F.col("d.inner")).alias("start"))
+    d = sized.withColumn("order", F.md5(F.col("id").cast("string")))
+    last = ["row"] if "row" in sized.columns else []
+    # one line of all sources, one after the other
+    d = written(running_sum(d, "size", "source", "order", "id", "size", *last, name="place").drop("order"))
+    first = d.groupBy("source").agg(F.min("place").alias("first")).alias("f")
+    out = d.alias("d").join(F.broadcast(first), F.col("d.source").eqNullSafe(F.col("f.source")))  # one row per source
+    return out.select(*(f"d.{c}" for c in sized.columns), (F.col("d.place") - F.col("f.first")).alias("start"))
 
 
 def schedule(target: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
@@ -102,13 +103,13 @@ def _cells(lo: Column, hi: Column, block: int) -> Column:
     return F.explode(F.sequence(F.floor(lo / block), F.floor((hi - 1) / block)))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK):
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK, row_col: str | None = None):
     """Returns (placed, targets, pieces).
 
-    placed: id, source, size, start. pieces: slot, epoch, source, start (of the document on its line),
+    placed: id, source, size, start, and row if row_col is given. pieces: slot, epoch, source, start (of the document on its line),
     from_word and n_words: the words of that document which the slot takes.
     """
-    sized = written(sizes(docs, id_col, text_col, source_col))
+    sized = written(sizes(docs, id_col, text_col, source_col, row_col))
     target = written(targets(sized, weights, max_epochs), 1)
     total = sized.agg(F.sum("size")).first()[0] or 0
     line = written(placed(sized))
@@ -128,11 +129,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return line, target, pieces
 
 
-def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """One row per document: id, source, size, source_size, target of the source, and taken: the words the mix takes."""
-    line, target, pieces = mix(docs, id_col, text_col, source_col, **how)
+def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, **how) -> DataFrame:
+    """One row per document: id, source, size, source_size, target of the source, and taken: the words the mix takes.
+    row_col: a column of keys that tell rows apart, which comes along as `row` and decides between rows of equal id and size."""
+    line, target, pieces = mix(docs, id_col, text_col, source_col, row_col=row_col, **how)
     took = pieces.groupBy("source", "start").agg(F.sum("n_words").alias("taken")).alias("p")
     d, t = line.alias("d"), target.alias("t")
     same = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.start") == F.col("p.start")) & (F.col("d.size") > 0)
     out = d.join(took, same, "left").join(t, F.col("d.source").eqNullSafe(F.col("t.source")), "left")
-    return out.select(F.col("d.id").alias(id_col), F.col("d.source").alias(source_col), "d.size", "t.source_size", "t.target", F.coalesce("p.taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(*(["d.row"] if row_col else []), F.col("d.id").alias(id_col), F.col("d.source").alias(source_col), "d.size", "t.source_size", "t.target", F.coalesce("p.taken", F.lit(0)).cast("long").alias("taken"))
