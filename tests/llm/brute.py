@@ -89,6 +89,23 @@ def licenses(text, phrases):
     return len(words), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))
 
 
+def license_labels(text, rules, phrases, base_weight=0.6):
+    """Every rule over the whole text, and every detection against every other."""
+    words = ALNUM.findall((text or "").translate(LOWER))
+    joined, found = " " + " ".join(words) + " ", []
+    for order, label, priority, weight, pattern in rules:
+        for m in re.finditer(pattern, joined):
+            first = joined[: m.start()].count(" ") - 1
+            found.append((first, first + m.group().count(" ") + 1, label, priority, weight, order))
+    rank = lambda x: (-x[3], x[0] - x[1], x[5], x[0])
+    kept = []
+    for x in sorted(found, key=rank):
+        if not any(y[0] <= x[0] and y[1] >= x[1] for y in kept):
+            kept.append(x)
+    base = [label for phrase, label in phrases.items() if f" {phrase} " in joined]
+    return ",".join(sorted({x[2] for x in kept} | set(base))), max([x[4] for x in kept] + [base_weight] * bool(base), default=0.0)
+
+
 def url_rule(url, rules):
     if url is None or "://" not in url:
         return "", "", None

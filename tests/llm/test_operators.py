@@ -325,6 +325,35 @@ def test_licenses(spark, docs):
     assert len(licenses.rules()) > 200
 
 
+LICENSE_TEXTS = [
+    "// SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Apache-2.0", "License: MIT", "Licensed under MIT", "# SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: BSD-3-Clause", "Licence: ISC", "mit",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS",
+    "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. See the GNU General Public License.",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "CC BY-NC-SA 4.0 and https://creativecommons.org/licenses/by/4.0/", "Tous droits réservés. All rights reserved.",
+    "the license mit dem Hund", "das geht mit der Lizenz", "neither the name of A B C nor the names of its contributors may be used to endorse or promote products", "MPL 2.0 mozilla public license " * 40,
+]
+
+
+def test_license_labels_against_all_rules(spark, docs):
+    plain = [(r.order, r.label, r.priority, r.weight, r.pattern.pattern.decode()) for r in licenses.rules()]
+    texts = [*LICENSE_TEXTS, *(f"{a} {b}" for a, b in zip(LICENSE_TEXTS, LICENSE_TEXTS[1:], strict=False)), *(TEXTS[i] for i in range(12))]
+    got = result(licenses.license_scan(table(spark, texts)), "doc_id", "labels", "score")
+    assert got == expect([(i, *brute.license_labels(t, plain, licenses.BASE)) for i, t in enumerate(texts)])
+    labels = {i: x for i, x, _ in got}
+    assert [labels[i] for i in range(14)] == ["mit", "apache", "mit", "mit", "gpl", "bsd", "isc", "", "mit", "apache", "gpl,lgpl", "bsd", "cc-by,cc-by-nc-sa", "proprietary"]
+    scan = result(licenses.license_scan(docs), "doc_id", "labels", "score")
+    assert scan == expect([(i, *brute.license_labels(t, plain, licenses.BASE)) for i, t in DOCS])
+
+
+def test_every_license_rule_needs_words_and_is_a_pattern_of_its_own():
+    from weirflow.llm.license_signatures import SIGNATURES
+
+    assert sum(len(x.strip().split("\n")) for x in SIGNATURES.values()) >= 250
+    assert all(r.needs for r in licenses.rules())
+    assert licenses.literals("a b(?: c)? d[ef] (?:g|h)i j") == ["a", "j"]
+
+
 def test_urls(spark):
     urls = [
         None, "", "example.com/en/", "http://example.com/en/a", "http://EXAMPLE.com/en/", "http://www.example.com/en/1?x=/fr/", "http://a.www.example.com/en/", "http://notexample.com/en/", "http://x.net/es/1", "http://x.net/ES/1",

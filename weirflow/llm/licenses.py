@@ -1,10 +1,11 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 A text becomes its words (A-Z lower-cased; runs of letters, digits and non-ASCII), joined by single
-blanks, so a rule is a regular expression over words and punctuation doesn't matter. `rules` builds
-several hundred of them from the table of licenses: names, titles, grants and tags. One search for any
-rule's keyword decides whether a text's rules run at all, and each rule then runs only if its own
-keyword is there. Of the detections of a text, those inside the interval of another of higher priority
+blanks, so a rule is a regular expression over words and punctuation doesn't matter. Most rules are the
+several hundred signatures written by hand in `license_signatures`; others are made of the names and
+versions of licenses and of SPDX identifiers. A rule is filed under one of the words that any match has,
+its keyword. A text asks for the rules of the keywords that it has, and of those only the ones run all of
+whose words are there, so most texts run none. Of the detections of a text, those inside the interval of another of higher priority
 are suppressed (equal priority: the longer, then the earlier rule wins); base phrases are never.
 
 Texts are handled in Arrow batches inside tasks; rows never move, so the plan is a scan and one map.
@@ -17,14 +18,18 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.llm.license_signatures import SIGNATURES, SPDX, WEAK
+
 # Phrase -> label.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -75,91 +80,104 @@ LICENSES = {
     "zpl": "zope public license,zpl|1 1,2 0,2 1",
 }
 
-# Hand-written signatures of license texts -> label, priority 3.
-SIGNATURES = [
-    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "software", r"the above copyright notice and this permission notice shall be included in all"),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", "neither", r"neither the name of (?:\S+ ){1,12}nor the names of its contributors may be used"),
-    ("apache", "licensed", r"licensed under the apache license(?: version 2 0)?(?: the license)?(?: you may not use this file)?"),
-    ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("agpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("mpl", "subject", r"this source code form is subject to the terms of the mozilla public license"),
-    ("epl", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
-    ("zlib", "warranty", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("bsl", "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
-    ("public-domain", "released", r"released into the public domain"),
-    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("proprietary", "rights", r"all rights reserved"),
-    ("proprietary", "confidential", r"proprietary and confidential"),
-]
-
 #: From a license's name and versions: template, priority, weight of the evidence.
 TEMPLATES = [
     ("{name}", 1, 0.6),
     ("{name} (?:version |v )?(?:{versions})", 2, 0.8),
     ("(?:released|licensed|distributed|available|published|provided) under (?:the |a |an )?(?:terms of )?(?:the )?{name}(?: (?:version |v )?(?:{versions}))?", 3, 0.95),
-    ("(?:spdx )?licen[cs]e identifier {name}(?: (?:{versions}))?(?: only| or later)?", 4, 1.0),
 ]
+#: The same from an SPDX identifier, in words, and what may follow it.
+TAGS = [
+    ("(?:spdx )?license identifier {id}{rest}", 4, 1.0),
+    ("license {id}{rest}", 2, 0.8),
+    ("licence {id}{rest}", 2, 0.8),
+    ("licensed under (?:the )?{id}{rest}", 3, 0.95),
+]
+REST = "(?: v?[0-9]+[a-z]?(?: [0-9]+){0,2})?(?: clause)?(?: only| or later)?"
+#: Priority of hand-written signatures.
+SIGNED = 3
 
 #: What joins the words of a text, A-Z lower-cased, all else blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+class Rule(NamedTuple):
+    """needs: words that every match has; order: which rule wins among equals."""
+
+    order: int
+    label: str
+    priority: int
+    weight: float
+    needs: frozenset[bytes]
+    pattern: re.Pattern
+
+
+def literals(pattern: str) -> list[str]:
+    """The words that every match of the pattern has whole: those outside groups that hold nothing but letters and digits."""
+    depth, flat = 0, []
+    for c in pattern:
+        depth += c == "("
+        if depth == 0:
+            flat.append(c)
+        elif c == ")":
+            flat.append("(")  # the group touches what is next to it
+        depth -= c == ")"
+    return [w for w in "".join(flat).split() if re.fullmatch(r"\w+", w)]
+
+
 @lru_cache(1)
-def rules() -> list[tuple[str, str, int, float, re.Pattern]]:
-    """(label, keyword, priority, weight, pattern), in the order in which they win ties."""
-    out = []
+def rules() -> list[Rule]:
+    """In the order in which they win ties."""
+    made: list[tuple[str, int, float, str]] = []
     for label, text in LICENSES.items():
         names, versions = text.split("|")
-        any_version = "|".join(sorted(filter(None, versions.split(",")), key=len, reverse=True))
+        versions = "|".join(sorted(filter(None, versions.split(",")), key=len, reverse=True))
         for name in names.split(","):
-            keyword = max(name.split(), key=lambda w: (w not in COMMON, len(w)))
             for template, priority, weight in TEMPLATES:
-                if "{versions}" in template and not any_version:
-                    if priority == 2:
-                        continue
-                    template = re.sub(r"\(\?: \([^()]*(?:\([^()]*\))?[^()]*\{versions\}\)\)\?|\(\?: \(\?:\{versions\}\)\)\?", "", template)
-                    template = template.replace("(?: (?:version |v )?(?:{versions}))?", "")
-                out.append((label, keyword, priority, weight, template.format(name=name, versions=any_version)))
-    out += [(label, keyword, 3, 1.0, text) for label, keyword, text in SIGNATURES]
-    out.sort(key=lambda r: -r[2])
-    return [(label, f" {k} ".encode(), p, w, re.compile(rf"(?<= )(?:{text})(?= )".encode())) for label, k, p, w, text in out]
-
-
-#: Words that are in too many texts to be a keyword.
-COMMON = {"license", "licence", "public", "software", "free", "open", "the", "by", "of", "and", "new", "general", "2", "3", "4", "clause", "cc", "do", "what", "you", "want", "to"}
+                if versions or "{versions}" not in template:
+                    made.append((label, priority, weight, template.format(name=name, versions=versions)))
+                elif priority == SIGNED:  # a license without versions
+                    made.append((label, priority, weight, template.replace("(?: (?:version |v )?(?:{versions}))?", "").format(name=name)))
+    for label, text in SIGNATURES.items():
+        made += [(label, SIGNED, WEAK.get(x, 1.0), re.sub(r"\bW\b", r"\\S+", x)) for x in text.strip().split("\n")]
+    for name in sorted(SPDX, key=len, reverse=True):
+        made += [(SPDX[name], priority, weight, template.format(id=name, rest=REST)) for template, priority, weight in TAGS]
+    made.sort(key=lambda r: -r[1])
+    return [Rule(i, label, p, w, frozenset(x.encode() for x in literals(text)), re.compile(rf"(?<= )(?:{text})(?= )".encode())) for i, (label, p, w, text) in enumerate(made)]
 
 
 @lru_cache(1)
-def prefilter() -> re.Pattern:
-    """Any rule's keyword; a base phrase's keyword is one of them."""
-    words = sorted({k.strip() for _, k, _, _, _ in rules()} | {b"cc", b"license"})
-    return re.compile(b" (?:" + b"|".join(map(re.escape, words)) + b") ")
+def by_keyword() -> dict[bytes, list[Rule]]:
+    """Rules by their keyword: of the words that they need, the one that fewest rules need (ties: the longest, then the first)."""
+    needed = Counter(w for r in rules() for w in r.needs)
+    out: dict[bytes, list[Rule]] = {}
+    for r in rules():
+        out.setdefault(min(r.needs, key=lambda w: (needed[w], -len(w), w)), []).append(r)
+    return out
 
 
 def scan(text: str | None) -> tuple[int, list[tuple[int, int, str]], list[tuple[int, int, str, int, float]]]:
     """Of one text: its number of words; base places and kept detections as (first word, past the last word, label, ...)."""
     words = text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
-    joined = b" " + b" ".join(words) + b" "
-    if not prefilter().search(joined):
+    have = set(words)
+    phrases = [x for x in BASE.items() if have.issuperset(x[0].encode().split())]
+    asked = [r for k in by_keyword().keys() & have for r in by_keyword()[k] if r.needs <= have]
+    if not phrases and not asked:
         return len(words), [], []
+    joined = b" " + b" ".join(words) + b" "
     starts = list(accumulate((len(w) + 1 for w in words), initial=1))
     at = lambda byte: bisect_left(starts, byte)  # noqa: E731  the word that begins at this byte
     base = []
-    for phrase, label in BASE.items():
+    for phrase, label in phrases:
         look, p = f" {phrase} ".encode(), -1
         while (p := joined.find(look, p + 1)) >= 0:
             first = at(p + 1)
             base.append((first, first + phrase.count(" ") + 1, label))
     found = []
-    for order, (label, keyword, priority, weight, pattern) in enumerate(rules()):
-        if keyword in joined:
-            for m in pattern.finditer(joined):
-                first = at(m.start())
-                found.append((first, first + m.group().count(b" ") + 1, label, priority, weight, order))
+    for r in asked:
+        for m in r.pattern.finditer(joined):
+            first = at(m.start())
+            found.append((first, first + m.group().count(b" ") + 1, r.label, r.priority, r.weight, r.order))
     # by priority, length and order; what lies inside one that is kept goes. lo, hi: the kept ones that no other contains,
     # both rising, so the last that begins no later also reaches farthest
     kept: list[tuple] = []
