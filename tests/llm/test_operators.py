@@ -308,6 +308,71 @@ def test_secrets_in_unquoted_assignments(spark):
     assert {r.text for r in secrets.redact(table(spark, plain), model).collect()} == set(plain)
 
 
+def test_secrets_of_held_out_documents(spark):
+    """Recall and precision on documents that nothing was learned from, and the digest against a plain version."""
+    import hashlib
+    import re
+
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", secrets.held_out(F.col("doc_id")).alias("held")).where("held").collect()
+    pattern = re.compile(r'token = "([0-9a-f]{40}|[0-9A-F]{40})"', re.I)
+    true = {d.doc_id: [(m.start(1), m.group(1)) for m in pattern.finditer(d.text or "")] for d in docs}
+    got = {r.doc_id: r for r in queries.QUERIES["op9_secret_scan"](spark, sf).where(secrets.held_out(F.col("doc_id"))).collect()}
+    assert got.keys() == true.keys() and sum(map(len, true.values())) > 25
+    right = [i for i in true if got[i].n_findings == len(true[i]) and got[i].secrets_sha256 == hashlib.sha256(",".join(hashlib.sha256(x.encode()).hexdigest() for _, x in true[i]).encode()).hexdigest()]
+    assert all(got[i].first_start == (true[i][0][0] if true[i] else None) for i in right)
+    caught = sum(len(true[i]) for i in right)
+    assert caught / sum(map(len, true.values())) >= 0.9  # recall
+    assert sum(r.n_findings for r in got.values()) <= caught / 0.9  # precision
+
+
+def test_secrets_against_a_plain_version(spark, docs):
+    """Findings and masked texts from candidates one by one, scored by the same forest."""
+    import hashlib
+    import re
+
+    model = secrets.train(secrets.labelled_findings(spark))
+    hexes = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    texts = [f'É token = "{hexes}" x commit {hexes} y', f"{hexes} " * 50 + f'token = "{hexes}"', None, "", f"a1{hexes}==\nAPI_KEY={hexes}=", f'token="{hexes}"' * 3, *(t for _, t in DOCS[:12])]
+    t = table(spark, [*texts, texts[0]], [*range(len(texts)), None])
+    pattern, near = re.compile(secrets.CANDIDATE), secrets.NEAR
+    rows, cut = [], {}
+    for i, text in enumerate(texts):
+        ms = list(pattern.finditer(text or ""))
+        cut[i] = ms
+        for k, m in enumerate(ms):
+            since = ms[k - 2].end() if k > 1 else 0
+            until = ms[k + 1].start() if k + 1 < len(ms) else len(text)
+            rows.append((i, k, text[since : m.start()][-near:], m.group(), text[m.end() : until][:near]))
+    plain = spark.createDataFrame(rows, "doc int, k int, before string, candidate string, after string")
+    score = {(r.doc, r.k): r.probability[1] for r in model.transform(secrets.vectors(plain)).collect()}
+    got = {r.doc_id: r for r in secrets.secret_scan(t, model).collect()}
+    masked = {r.doc_id: r.text for r in secrets.redact(t, model).collect()}
+    for i, text in enumerate(texts):
+        bad = [(k, m) for k, m in enumerate(cut[i]) if score[i, k] >= secrets.THRESHOLD]
+        assert got[i].n_candidates == len(cut[i]) and got[i].score == pytest.approx(max([score[i, k] for k in range(len(cut[i]))], default=0.0))
+        assert [(f.start, f.length, f.sha256) for f in got[i].findings] == [(m.start(), len(m.group()), hashlib.sha256(m.group().encode()).hexdigest()) for _, m in bad]
+        out, at = "", 0
+        for _, m in bad:
+            out, at = out + text[at : m.start()] + "[SECRET]", m.end()
+        assert masked[i] == (None if text is None else out + text[at:])
+    assert any(got[i].findings for i in range(len(texts)))
+
+
+def test_very_many_candidates_in_one_text(spark):
+    import time
+
+    model = secrets.train(secrets.labelled_findings(spark, 400))
+    took = {}
+    for n in (20000, 80000):
+        text = " ".join(f"{i:08d}abcdef{i:08d}" for i in range(n))
+        began = time.time()
+        assert secrets.secret_scan(table(spark, [text]), model).first().n_candidates == n
+        assert secrets.redact(table(spark, [text]), model, threshold=0.0).first().text == " ".join(["[SECRET]"] * n)
+        took[n] = time.time() - began
+    assert took[80000] < 12 * took[20000]
+
+
 def test_candidates_are_those_of_the_pattern(docs):
     import re
 

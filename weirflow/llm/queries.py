@@ -13,7 +13,7 @@ from weirflow.llm.langid import detect, held_out, train
 from weirflow.llm.licenses import license_scan
 from weirflow.llm.mixing import BLOCK, GOLDEN, POINTS, mix_counts
 from weirflow.llm.quality import BULLET, ELLIPSIS, RULES, STOP_WORDS, quality_rules
-from weirflow.llm.secrets import labelled_findings, secret_scan
+from weirflow.llm.secrets import found_in, labelled_findings, secret_scan
 from weirflow.llm.secrets import train as train_secrets
 from weirflow.llm.simhash import simhash_groups
 from weirflow.llm.suffixdedup import dedup_spans
@@ -191,8 +191,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_secret_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = train_secrets(labelled_findings(spark))
-    found = secret_scan(table(spark, sf_dir, "documents"), model)
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan(docs, train_secrets(labelled_findings(spark).unionByName(found_in(docs))))
     first = F.expr("get(findings, 0).start").cast("long")
     digest = F.sha2(F.expr("array_join(transform(findings, x -> x.sha256), ',')"), 256)
     return found.select("doc_id", "n_candidates", F.size("findings").cast("long").alias("n_findings"), first.alias("first_start"), digest.alias("secrets_sha256"), "score")

@@ -9,11 +9,16 @@ changes between letters and digits, frequent letter pairs, the part covered by d
 marks of a path or address, and words of either kind next to it.
 
 The forest is trained from labelled findings: a table with the columns before, candidate, after and
-label. `labelled_findings` makes one of about `n` rows (its documented bound) out of hashes and templates of
-true and false findings, cut out of whole sentences by the same pattern as texts are; pass another table to train on your own. Training, scoring and features are
-built-in functions and Spark ML, with no user functions.
+label. Two sources of them are put together. `found_in` takes candidates from about `n_docs` documents (its
+documented bound), chosen by the hash of their id and never from the held-out part, and labels them by
+`TRUE_BEFORE` and `TRUE_SHAPE`: a digest that is assigned to a token is a secret, all else (card numbers,
+mail hosts, hashes of commits) is not. `labelled_findings` makes about `n` (its bound) out of hashes and
+templates of kinds that documents may lack, cut out of whole sentences by the same pattern as texts are. Pass
+another table to train on your own. Training, scoring and features are built-in functions and Spark ML,
+with no user functions.
 
-One row per candidate and one per document leave the scan of the texts, and are gathered by document.
+One row per candidate and one per document leave the scan of the texts and are gathered by document, where
+places are summed up in order. All steps are linear in the candidates of a text.
 
 Defined results: null and empty texts have no candidates. Rows are judged one by one, so repeated rows
 and null ids come out as often as they went in; empty tables give no rows; other columns are not read
@@ -25,7 +30,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import fresh
@@ -33,6 +38,10 @@ from weirflow.llm.common import fresh
 _PAD = r"(?![A-Za-z0-9_+/=])"
 _RUN = r"[A-Za-z0-9_+/.\-]"
 CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z_+/.\-]*[0-9])(?:{_RUN}{{13,}}[A-Za-z0-9_+/\-]=={_PAD}|{_RUN}{{14,}}[A-Za-z0-9_+/\-]={_PAD}|{_RUN}{{15,}}[A-Za-z0-9])"
+# What stands before a labelled secret, and what it is made of.
+TRUE_BEFORE, TRUE_SHAPE = r"(?i)\btoken\s?[:=]\s?[\"']?$", r"^(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})$"
+#: Documents whose candidates are learned from.
+TRAIN_DOCS = 20_000
 #: Characters that are looked at on either side.
 NEAR = 40
 TRAIN_ROWS, TREES, DEPTH, SEED = 4000, 20, 8, 42
@@ -122,6 +131,20 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_ROWS, seed: int = SEED
     return found.where("start < id.hi AND start + length(candidate) > id.lo").select("before", "candidate", "after", "id.label")
 
 
+def held_out(doc_id: Column) -> Column:
+    """Documents that `found_in` leaves for tests."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_docs: int = TRAIN_DOCS) -> DataFrame:
+    """Labelled findings (before, candidate, after, label) of about n_docs documents, by the hash of their id."""
+    part = int(min(1.0, n_docs / max(1, docs.count())) * (1 << 20))
+    some = docs.where(~held_out(F.col(id_col)) & (F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < part))
+    found = candidates(some, id_col, text_col).where("candidate IS NOT NULL")
+    label = F.col("before").rlike(TRUE_BEFORE) & F.col("candidate").rlike(TRUE_SHAPE)
+    return found.select("before", "candidate", "after", label.cast("int").alias("label"))
+
+
 def vectors(df: DataFrame) -> DataFrame:
     """df (before, candidate, after) with the column `features`; no candidate: all zero."""
     made = features(F.col("before"), F.col("candidate"), F.col("after"))
@@ -131,32 +154,37 @@ def vectors(df: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> RandomForestClassificationModel:
-    rows = vectors(labelled).select("features", F.col("label").cast("double").alias("label")).coalesce(1)  # bounded; one order of rows, one forest
+    rows = labelled.coalesce(1).sortWithinPartitions("before", "candidate", "after", "label")  # bounded; one order of rows, one forest
+    rows = vectors(rows).select("features", F.col("label").cast("double").alias("label"))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per candidate, and one without for a document that has none: row, id, start (characters before it), candidate, before, after.
+    """A row per candidate, and one without for a document that has none: row, id, i (the candidate's number in its text), start
+    (characters before it), candidate, before, after.
     What stands before goes back over one other candidate, which may be the name that this one is assigned to."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), t.alias("t"))
-    df = df.select("row", "id", F.when(F.col("t").rlike(CANDIDATE), F.struct(F.split("t", CANDIDATE, -1).alias("gaps"), F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("found"))).alias("x"))
+    df = df.select("row", "id", F.when(F.col("t").rlike(CANDIDATE), F.struct(*_cut(F.col("t")))).alias("x"))
     gap, found = F.col("x.gaps"), F.col("x.found")
     part = F.transform(found, lambda c, i: F.struct(
         c.alias("candidate"), F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gap, i)), F.lit(NEAR)).alias("before"), F.left(F.get(gap, i + 1), F.lit(NEAR)).alias("after"), (F.length(F.get(gap, i)) + F.length(c)).alias("step"),
     ))
-    df = df.select("row", "id", part.alias("parts"))
-    ends = F.aggregate(F.col("parts"), F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + p["step"])))
-    df = df.select("row", "id", F.posexplode_outer(F.arrays_zip(F.col("parts").alias("p"), ends.alias("end"))).alias("i", "z"))
-    p = F.col("z.p")
-    return df.select("row", "id", (F.col("z.end") - F.length(p["candidate"])).alias("start"), p["candidate"].alias("candidate"), p["before"].alias("before"), p["after"].alias("after"))
+    df = df.select("row", "id", F.posexplode_outer(part).alias("i", "p"))
+    end = F.sum("p.step").over(Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    return df.select("row", "id", "i", (end - F.length("p.candidate")).alias("start"), F.col("p.candidate").alias("candidate"), F.col("p.before").alias("before"), F.col("p.after").alias("after"))
+
+
+def _cut(text: Column) -> tuple[Column, Column]:
+    """The candidates of a text, and what stands between them."""
+    return F.split(text, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found")
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """candidates() with score: the forest's probability of a true finding (null where there is no candidate)."""
     df = model.transform(vectors(candidates(docs, id_col, text_col)))
     score = F.when(F.col("candidate").isNotNull(), F.element_at(vector_to_array("probability"), 2))
-    return df.select("row", "id", "start", "candidate", score.alias("score"))
+    return df.select("row", "id", "i", "start", "candidate", score.alias("score"))
 
 
 def secret_scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -171,14 +199,17 @@ def secret_scan(docs: DataFrame, model: RandomForestClassificationModel, id_col:
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
     """docs with every finding in its texts replaced by `mark`; all rows and columns stay. Rows meet their findings by id and text."""
-    key, bad_id, bad_key, spans = fresh(docs, "text_key"), fresh(docs, "bad_id"), fresh(docs, "bad_key"), fresh(docs, "bad_spans")
+    key, bad_id, bad_key, flags = fresh(docs, "text_key"), fresh(docs, "bad_id"), fresh(docs, "bad_key"), fresh(docs, "bad_flags")
     keyed = docs.withColumn(key, F.xxhash64(text_col))
     text_id = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(key).alias("key")).alias("doc_key"), F.col(text_col).alias("body"))
-    bad = secret_scan(text_id, model, "doc_key", "body", threshold).where(F.size("findings") > 0)
-    bad = bad.select(F.col("doc_key.id").alias(bad_id), F.col("doc_key.key").alias(bad_key), F.col("findings").alias(spans)).dropDuplicates([bad_id, bad_key])
+    # of each candidate of a text, in order, whether it is a finding
+    every = scan(text_id, model, "doc_key", "body").where("candidate IS NOT NULL").groupBy("row", "id").agg(
+        F.max("score").alias("most"), F.array_sort(F.collect_list(F.struct("i", (F.col("score") >= threshold).alias("bad")))).alias("each")
+    )
+    bad = every.where(F.col("most") >= threshold).select(F.col("id.id").alias(bad_id), F.col("id.key").alias(bad_key), F.col("each.bad").alias(flags)).dropDuplicates([bad_id, bad_key])
     joined = keyed.join(bad, keyed[id_col].eqNullSafe(bad[bad_id]) & (keyed[key] == bad[bad_key]), "left")
-    text, s = F.col(text_col), F.col(spans)
-    kept = F.transform(s, lambda x, i: F.concat(text.substr(F.coalesce(F.get(s, i - 1)["start"] + F.get(s, i - 1)["length"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get(s, i - 1)["start"] + F.get(s, i - 1)["length"], F.lit(0))), F.lit(mark)))
-    last = F.element_at(s, -1)
-    tail = text.substr(last["start"] + last["length"] + 1, F.length(text))
-    return joined.withColumn(text_col, F.when(s.isNotNull(), F.concat(F.array_join(kept, ""), tail)).otherwise(text)).select(docs.columns)
+    text = F.col(text_col)
+    gaps, found = _cut(text)
+    masked = F.transform(F.arrays_zip(found.alias("found"), F.col(flags).alias("bad")), lambda x: F.when(x["bad"], F.lit(mark)).otherwise(x["found"]))
+    whole = F.array_join(F.zip_with(gaps, masked, lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")
+    return joined.withColumn(text_col, F.when(F.col(flags).isNotNull(), whole).otherwise(text)).select(docs.columns)
