@@ -89,6 +89,49 @@ def licenses(text, phrases):
     return len(words), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))
 
 
+def byte_grams(text, n):
+    raw = f" {text.lower()} ".encode("utf-8", "surrogatepass")
+    raw = raw.replace(b"\t", b" ").replace(b"\n", b" ").replace(b"\r", b" ")
+    return [int.from_bytes(raw[i : i + n], "big") for i in range(len(raw) - n + 1)]
+
+
+def language_grams(labelled, sizes, min_share):
+    """language -> (size, n-gram) of those that make up min_share of its n-grams and are there twice at least."""
+    out = {}
+    for language in {x for _, x in labelled}:
+        for n in sizes:
+            counts = Counter(g for text, x in labelled if x == language for g in byte_grams(text, n))
+            least = max(2, sum(counts.values()) * min_share)
+            out.setdefault(language, []).extend((n, g) for g, times in counts.items() if times >= least)
+    return out
+
+
+def gram_cells(gram, n, cells, hashes):
+    mask = (1 << 64) - 1
+    x = (gram + (n << 56)) * 0x9E3779B97F4A7C15 & mask
+    x ^= x >> 29
+    x = x * 0xBF58476D1CE4E5B9 & mask
+    x ^= x >> 32
+    return [((x & 0xFFFFFFFF) + k * (x >> 32 | 1) & mask) % cells for k in range(hashes)]
+
+
+def language(text, languages, table, sizes, hashes):
+    """table: cell -> set of languages' numbers. An n-gram at a time."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    cells = len(table)
+    false = [(sum(i in x for x in table) / cells) ** hashes for i in range(len(languages))]
+    hits, total = [0] * len(languages), 0
+    for n in sizes:
+        for g in byte_grams(text, n):
+            total += 1
+            for i in set.intersection(*(table[c] for c in gram_cells(g, n, cells, hashes))):
+                hits[i] += 1
+    real = [max(0.0, (h - f * total) / (1 - min(f, 0.999))) for h, f in zip(hits, false, strict=True)]
+    best = max(range(len(languages)), key=lambda i: (real[i], -i))
+    return languages[best], min(1.0, real[best] / sum(real)) if sum(real) else 0.0
+
+
 def license_labels(text, rules, phrases, base_weight=0.6):
     """Every rule over the whole text, and every detection against every other."""
     words = ALNUM.findall((text or "").translate(LOWER))

@@ -163,6 +163,43 @@ def test_language_on_held_out_documents(spark):
     assert out.where("score < 0 OR score > 1").count() == 0
 
 
+def test_language_against_a_plain_version(spark, docs):
+    """Training and prediction an n-gram at a time, over all documents of the smallest table."""
+    small = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = small.select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held")).collect()
+    grams = brute.language_grams([(r.text, r.lang) for r in rows if not r.held and r.text is not None and r.lang is not None], langid.GRAMS, langid.MIN_SHARE)
+    names = sorted(grams)
+    total = len({g for x in grams.values() for g in x})
+    cells = 1024
+    while cells < total * langid.CELLS_PER_GRAM:
+        cells *= 2
+    cell_of = [set() for _ in range(cells)]
+    for i, name in enumerate(names):
+        for n, g in grams[name]:
+            for c in brute.gram_cells(g, n, cells, langid.HASHES):
+                cell_of[c].add(i)
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in queries.QUERIES["op5_language_id"](spark, SMALL).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        label, score = brute.language(r.text, names, cell_of, langid.GRAMS, langid.HASHES)
+        assert got[r.doc_id][:2] == (r.held, label) and got[r.doc_id][2] == pytest.approx(score, abs=1e-9)
+    model = langid.train(small.where(~langid.held_out(F.col("doc_id"))))
+    for r in langid.detect(docs, model).collect():
+        label, score = brute.language(r.text, names, cell_of, langid.GRAMS, langid.HASHES)
+        assert r.lang_pred == label and r.score == pytest.approx(score, abs=1e-9)
+
+
+def test_language_bounds(spark, monkeypatch):
+    labelled = table(spark, [f"text of {i} " * 3 for i in range(9)], langs=[f"l{i}" for i in range(9)])
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 8)
+    with pytest.raises(ValueError, match="labels"):
+        langid.train(labelled)
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 9)
+    monkeypatch.setattr(langid, "MOST_BYTES", 1000)
+    with pytest.raises(ValueError, match="too large"):
+        langid.train(labelled)
+
+
 def test_language_edges(spark, docs):
     model = langid.train(table(spark, ["the cat sat on the mat " * 20, "der hund und die katze " * 20, None], langs=["en", "de", None]))
     got = {r.text: (r.lang_pred, r.score) for r in langid.detect(table(spark, [None, "", "12 3!", "the mat", "DIE KATZE", "the " * 50000]), model).collect()}

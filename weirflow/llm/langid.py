@@ -7,7 +7,9 @@ them (the documented bound; all, if there are fewer). Their n-grams (bytes of th
 and only those reach the driver.
 
 Filter. A bit-sliced Bloom filter: cell c holds a bitmask with a bit for each language, and an n-gram
-is put in `HASHES` cells. ANDing an n-gram's cells gives all languages that contain it at once.
+is put in `HASHES` cells. ANDing an n-gram's cells gives all languages that contain it at once. The filter
+is broadcast; its size follows from the languages and min_share, and beyond `MOST_BYTES`, or with more than
+`MOST_LANGUAGES` labels, training refuses instead of sending more.
 
 Prediction. For every n-gram of a whole text, the languages' bits are counted. With N n-grams and a
 false-positive rate f of the language's slice (its share of set cells to the power of HASHES), the
@@ -40,6 +42,8 @@ TRAIN_DOCS = 2000
 MIN_SHARE = 1 / 20_000
 #: Cells of the filter for each n-gram that it holds, about.
 CELLS_PER_GRAM = 12
+#: Bounds of what is broadcast and of the labels that reach the driver.
+MOST_BYTES, MOST_LANGUAGES = 512 << 20, 1000
 #: Characters whose n-grams are looked up at once. Longer texts are cut there, and all pieces count.
 CHUNK = 1 << 20
 #: Training rows below this quantile of known shares may be wrongly labelled; texts are in no learned language below this part of it.
@@ -86,6 +90,8 @@ class Filter:
         total = len({g for x in grams.values() for g in x})
         self.cells = max(1024, 1 << int(np.ceil(np.log2(max(1, total * CELLS_PER_GRAM)))))
         # one bit per language, in as many words of 64 as it takes
+        if self.cells * 8 * (-(-len(languages) // 64) or 1) > MOST_BYTES:
+            raise ValueError(f"a filter of {self.cells} cells for {len(languages)} languages is too large to broadcast; a larger min_share makes it smaller")
         self.masks = np.zeros((-(-len(languages) // 64) or 1, self.cells), np.uint64)
         for i, language in enumerate(languages):
             for n in GRAMS:
@@ -144,7 +150,9 @@ class Filter:
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int) -> tuple[dict[str, int], DataFrame | None]:
     """Labelled rows of each language, and those taken to learn from (id, t, lang); none without labels."""
     seen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where("id IS NOT NULL AND t IS NOT NULL AND lang IS NOT NULL")
-    per = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    per = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(per) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels; they are hardly languages")
     if not per:
         return per, None
     rank = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
@@ -188,9 +196,11 @@ def least_share(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col
 def detect(docs: DataFrame, model: Filter, text_col: str = "text", into: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """docs with the language, its score and, if `into` has a third name, the known share in the columns `into` (in place of its own, if it has any); all else stays."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
     @F.pandas_udf("label string, score double, share double")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        label, score, share = model.judge([t if isinstance(t, str) else None for t in texts])
+        label, score, share = sent.value.judge([t if isinstance(t, str) else None for t in texts])
         return pd.DataFrame({"label": label, "score": score, "share": share})
 
     found = fresh(docs, "found")
