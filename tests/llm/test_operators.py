@@ -472,6 +472,25 @@ def test_urls(spark):
     verdict = {r.page_id: (r.pattern, r.verdict) for r in out if not r.rule}
     assert verdict[18] == ("bets", "block") and verdict[19] == ("ip-host", "block") and verdict[20] == ("wp-admin", "block") and verdict[0] == (None, "allow")
     assert urlfilter.url_filter(pages, host_rules=[], pattern_rules=[]).where("verdict <> 'allow'").count() == 0
+    key = lambda r: str(tuple(r))
+    shuffled = urlfilter.url_filter(pages, broadcast_rules=2).collect()  # two rules have no literal
+    assert sorted(shuffled, key=key) == sorted(out, key=key)
+    with pytest.raises(ValueError, match="literal"):
+        urlfilter.url_filter(pages, broadcast_rules=1)
+
+
+def test_url_rules_of_any_case_and_as_tables(spark):
+    rules = [("block", "A.org", "/"), ("block", "b.net", "/Été/"), ("allow", "b.net", "/Été/x"), ("block", "ü-Ö.de", "/(a+b)*"), ("block", "", "/en"), ("allow", "C.D.com", "")]
+    urls = ["http://a.ORG/x", "http://A.org", "http://b.net/Été/1", "http://b.net/été/1", "http://B.NET/Été/xy", "http://ü-Ö.de/(a+b)*c", "http://ü-ö.de/(a+b)*c", "http://x.ü-Ö.DE/(A+b)*", "http://x./en/", "http://c.d.com:80/", "http://z.c.D.com?x", None, "http://b.net/Étéx/"]
+    low = [(v, h.translate(brute.LOWER), p) for v, h, p in rules]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    made = spark.createDataFrame(rules, "verdict string, host string, path string")
+    none = spark.createDataFrame([], "place int, name string, verdict string, pattern string, tokens array<string>")
+    for given in (rules, made):
+        for few in (100, 1):
+            for r in urlfilter.url_filter(pages, host_rules=given, pattern_rules=none, broadcast_rules=few).collect():
+                _, _, best = brute.url_rule(urls[r.page_id], low)
+                assert (r.rule, r.verdict) == (best and best[1], best[2] if best else "allow"), urls[r.page_id]
 
 
 def test_warc(spark, tmp_path):
