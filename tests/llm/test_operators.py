@@ -102,6 +102,12 @@ def test_repeated_bytes(docs, monkeypatch):
     assert result(short, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expect(brute.repeated_bytes(DOCS, 60))
 
 
+def test_repeated_bytes_of_a_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = result(queries.QUERIES["op2_suffix_dedup"](spark, SMALL), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == expect(brute.repeated_bytes([(r.doc_id, r.text) for r in docs.collect()]))
+
+
 # Two texts of 200 bytes whose Thue-Morse blocks have equal fingerprints modulo 2^64, and equal last 72 bytes.
 TWINS = (
     '2ss2s22ss22s2ss2s22s2ss22ss2s22scbbcbccbbccbcbbcbccbcbbccbbcbccbVxxVxVVxxVVxVxxVxVVxVxxVVxxVxVVx;NN;N;;NN;;N;NN;N;;N;NN;;NN;N;;N9BoX7tzf::VMNSZN2Gyi3vTYV V9Z;HbQYkU0RpRNiUR627ae.5jrz4L5PGLeA88MBU8,wxR',
