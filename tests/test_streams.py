@@ -1,6 +1,7 @@
 """Triggers, gating, state in slices; values of generators and sinks; used folders."""
 
 import json
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -56,6 +57,28 @@ def test_stateful_join_in_slices(spark, stored, monkeypatch, size):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
+@pytest.mark.parametrize("eager", [True, False])
+def test_windows_are_joined_as_rows_arrive_or_at_their_end(spark, tmp_path, eager):
+    """A last row far ahead lets the watermark pass all other windows. Rows of a passed window find no state."""
+    size = 10 * 60_000
+    at = lambda i: AT + timedelta(minutes=i)
+    r = [[(i % 3, i, at(i)) for i in range(k * 10, k * 10 + 10)] for k in range(4)] + [[(99, 1000, at(10_000))]]
+    s = [[(i % 4, i, at(i)) for i in range(k * 10, k * 10 + 10)] for k in range(4)] + [[(99, 1000, at(10_000))], [(1, 500, at(5))]]
+    for side, parts in (("r", r), ("s", s)):
+        for rows in parts:
+            spark.createDataFrame(rows, f"key long, {side}_id long, {side}_ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / side))
+            time.sleep(0.01)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    try:
+        got = found(streams.drain(streams.stateful_windowed(streamed(spark, tmp_path, "r", 1), streamed(spark, tmp_path, "s", 1), size, eager=eager, salts=2)))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    expected = Counter((a, i, j) for rows in r[:4] for a, i, _ in rows for others in s[:4] for b, j, _ in others if a == b and i // 10 == j // 10)
+    got = Counter({k: n for k, n in got.items() if k[0] != 99})
+    assert got == expected
+
+
 def test_gating_shows_rows_when_they_have_arrived(spark):
     rows = [(1, AT), (2, AT + timedelta(milliseconds=999)), (3, AT + timedelta(seconds=1)), (4, AT + timedelta(seconds=3)), (5, None)]
     df = spark.createDataFrame(rows, "id long, ts timestamp")

@@ -371,6 +371,40 @@ def unique_self_join(spark, sf_dir):
     return match_count(window_join(side("r", 1), side("s", 2), JoinSpec("PRO")))
 
 
+_DRAW = "('0x' || substr(md5(CAST({i} AS VARCHAR) || ':{seed}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query("unique_keys", "SELECT (id * 61803 + 7) % 100000 + 1 AS key, id AS rid FROM (SELECT unnest(range(100000)) AS id)")
+def unique_keys(spark, sf_dir):
+    return relations.unique_keys(spark, 100000, 7)
+
+
+@query("nonunique_keys", f"SELECT CAST(floor({_DRAW.format(i='id', seed=9)} * 300) AS BIGINT) AS key, id AS rid FROM (SELECT unnest(range(20000)) AS id)")
+def nonunique_keys(spark, sf_dir):
+    return relations.nonunique_keys(spark, 20000, 300, 9)
+
+
+def _zipf_sql(size: int, z: float, n: int, seed: int, symbol: str) -> str:
+    """The keys drawn, with the CDF's steps and each step's symbol."""
+    return (
+        f"WITH w AS (SELECT i, pow(CAST(i AS DOUBLE), -{z}) AS p FROM (SELECT unnest(range(1, {size + 1})) AS i)), c AS (SELECT i, sum(p) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) / sum(p) OVER () AS hi FROM w), "
+        f"s AS (SELECT i, coalesce(lag(hi) OVER (ORDER BY i), 0) AS lo, CASE WHEN i = {size} THEN 1 ELSE hi END AS hi, {symbol} AS symbol FROM c), "
+        f"d AS (SELECT id AS rid, {_DRAW.format(i='id', seed=seed)} AS u FROM (SELECT unnest(range({n})) AS id)) SELECT symbol, rid FROM d JOIN s ON u >= lo AND u < hi"
+    )
+
+
+@query("zipf_keys", f"SELECT symbol AS key, rid FROM ({_zipf_sql(400, 1.2, 20000, 12345, 'row_number() OVER (ORDER BY ' + _DRAW.format(i='i', seed=12345) + ', i)')})".replace("row_number() OVER", "row_number() OVER"))
+def zipf_keys(spark, sf_dir):
+    """Skewed keys: draws through the CDF, over a shuffled alphabet."""
+    return relations.zipf_keys(spark, 20000, 400, 1.2)
+
+
+@query("zipf_ts", f"SELECT symbol AS ts, rid FROM ({_zipf_sql(200, 0.8, 20000, 54321, 'i')})")
+def zipf_ts(spark, sf_dir):
+    """Skewed arrivals, dense at the start of the window."""
+    return relations.zipf_ts(spark.range(20000).select(F.col("id").alias("rid")), 200, 0.8).select("ts", "rid")
+
+
 for _z in (0.0, 0.4, 0.8, 1.2, 1.6):
     @query(f"zipf_self_join_{str(_z).replace('.', '')}", "SELECT CAST(20000 AS BIGINT) AS n")
     def zipf_self_join(spark, sf_dir, z=_z):

@@ -16,6 +16,12 @@ from weirflow.operators.order import following, position, running_sum
 from weirflow.sources.staging import staged
 
 
+def draw(i: Column, seed: int) -> Column:
+    """A number of [0, 1) from the md5 of i and the seed: the same whatever the partitioning, and in any engine."""
+    digits = F.substring(F.md5(F.concat_ws(":", i.cast("string"), F.lit(str(seed)))), 1, 13)
+    return F.conv(digits, 16, 10).cast("long") / F.lit(float(16**13))
+
+
 def split_fields(line: Column, delimiter: str) -> Column:
     return F.split(line, "\\" + delimiter)
 
@@ -58,7 +64,7 @@ def alphabet(spark: SparkSession, size: int, kind: str = "incremental", seed: in
         return df.withColumn("symbol", size + 1 - F.col("i"))
     if kind != "permuted":
         raise ValueError(f"incremental, decremental or permuted, not {kind}")
-    shuffled = position(df.withColumn("_h", F.xxhash64("i", F.lit(seed))), "_h", "i", name="_p")
+    shuffled = position(df.withColumn("_h", draw(F.col("i"), seed)), "_h", "i", name="_p")
     return shuffled.select("i", (F.col("_p") + 1).alias("symbol"))
 
 
@@ -79,8 +85,8 @@ def duplicate(df: DataFrame, copies: int, key: str = "key", rid: str = "rid") ->
 
 
 def nonunique_keys(spark: SparkSession, n: int, max_id: int, seed: int = 12345) -> DataFrame:
-    """n uniform keys of 0..max_id - 1, from a hash of the row: the same whatever the partitioning."""
-    return spark.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max_id)).alias("key"), F.col("id").alias("rid"))
+    """n uniform keys of 0..max_id - 1."""
+    return spark.range(n).select(F.floor(draw(F.col("id"), seed) * max_id).alias("key"), F.col("id").alias("rid"))
 
 
 def foreign_keys(spark: SparkSession, n: int, max_id: int) -> DataFrame:
@@ -114,8 +120,7 @@ def zipf_keys(spark: SparkSession, n: int, size: int, z: float, seed: int = 1234
     steps = cdf.join(below, "i", "left").fillna(0.0, ["lo"]).join(alphabet(spark, size, kind, seed), "i")
     last = F.least(F.floor(F.col("cdf") * bins), F.lit(bins - 1))
     steps = steps.withColumn("bin", F.explode(F.sequence(F.least(F.floor(F.col("lo") * bins), F.lit(bins - 1)), last)))
-    u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    draws = spark.range(n).select(F.col("id").alias("rid"), u.alias("u")).withColumn("bin", F.floor(F.col("u") * bins))
+    draws = spark.range(n).select(F.col("id").alias("rid"), draw(F.col("id"), seed).alias("u")).withColumn("bin", F.floor(F.col("u") * bins))
     return draws.join(steps, (draws["bin"] == steps["bin"]) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("cdf"))).select(F.col("symbol").alias("key"), "rid")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from weirflow.functions.expressions import tumbling
 from weirflow.sources.staging import remove, shared_path
 
 PAIR = "key long, r_id long, s_id long, r_ts timestamp, s_ts timestamp"
@@ -131,3 +132,46 @@ def stateful(r: DataFrame, s: DataFrame, salts: int = SALTS) -> DataFrame:
         s.select("key", F.pmod(F.xxhash64("s_id", "s_ts"), F.lit(salts)).cast("int").alias("salt"), F.lit("s").alias("side"), F.col("s_id").alias("id"), F.col("s_ts").alias("ts"))
     )
     return both.where("key IS NOT NULL").groupBy("key", "salt").transformWithStateInPandas(SymmetricHash(), PAIR, "append", "none")
+
+
+class WindowHash(SymmetricHash):
+    """SymmetricHash of one window of a key, whose state goes when the watermark passes the window's end. Eager: pairs come out as
+    rows arrive. Deferred: rows are only kept, and all pairs come out at the end, when the timer fires."""
+
+    def __init__(self, eager: bool):
+        self.eager = eager
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.handle.registerTimer(int(key[2]))
+        if self.eager:
+            yield from super().handleInputRows(key, rows, timerValues)
+            return
+        for pdf in rows:
+            for side, state in self.sides.items():
+                mine = pdf.loc[pdf["side"] == side, ["id", "ts"]]
+                if len(mine):
+                    state.appendList(list(mine.itertuples(index=False, name=None)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.eager and self.sides["r"].exists():
+            kept = iter(self.sides["r"].get())
+            while part := list(islice(kept, SLICE)):
+                yield from self._pairs(key[0], pd.DataFrame(part, columns=["id", "ts"]), "r", "s")
+        for state in self.sides.values():
+            state.clear()
+
+
+def stateful_windowed(r: DataFrame, s: DataFrame, size_ms: int, late: str = "0 seconds", eager: bool = True, salts: int = SALTS) -> DataFrame:
+    """`stateful` within tumbling windows: r and s are streams whose state is bounded by the windows that the watermark hasn't passed.
+    Rows that arrive after that are dropped, as ever behind a watermark; deferred pairs of a window come out once it is passed."""
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    both = r.select("key", copies.alias("salt"), F.lit("r").alias("side"), F.col("r_id").alias("id"), F.col("r_ts").alias("ts")).unionByName(
+        s.select("key", F.pmod(F.xxhash64("s_id", "s_ts"), F.lit(salts)).cast("int").alias("salt"), F.lit("s").alias("side"), F.col("s_id").alias("id"), F.col("s_ts").alias("ts"))
+    )
+    both = both.where("key IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
+    end = tumbling(F.col("ts"), size_ms) + size_ms
+    return both.withColumn("until", end).groupBy("key", "salt", "until").transformWithStateInPandas(WindowHash(eager), PAIR, "append", "eventTime")
