@@ -351,6 +351,17 @@ def test_secrets_in_unquoted_assignments(spark):
     assert {r.text for r in secrets.redact(table(spark, plain), model).collect()} == set(plain)
 
 
+def test_key_blocks(spark):
+    model = secrets.train(secrets.labelled_findings(spark))
+    body = "MIIEpAIBAAKCAQEA7\nb9c0Kd3/xyz+Q9aLw==\n"
+    block = lambda kind: f"-----BEGIN {kind}PRIVATE KEY-----\n{body}-----END {kind}PRIVATE KEY-----"
+    texts = [f"see\n{block(k)}\nand more" for k in ("", "RSA ", "EC ", "OPENSSH ")]
+    texts += [f"{block('RSA ')}\n{block('')}", "-----BEGIN PRIVATE KEY----- cut off", "-----BEGIN PUBLIC KEY-----\nabc\n-----END PUBLIC KEY-----", "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" + body + "-----END RSA PRIVATE KEY-----"]
+    got = {r.doc_id: r.text for r in secrets.redact(table(spark, texts), model).collect()}
+    assert [got[i] for i in range(4)] == ["see\n[SECRET]\nand more"] * 4
+    assert got[4] == "[SECRET]\n[SECRET]" and got[5] == texts[5] and got[6] == texts[6] and got[7] == "[SECRET]"
+
+
 def test_secrets_of_held_out_documents(spark):
     """Recall and precision on documents that nothing was learned from, and the digest against a plain version."""
     import hashlib

@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least 16 characters of those that keys are made of, with a digit in it. A sign
-of equality ends a run, so a name and the value assigned to it are two; only base64 padding belongs to one.
+A candidate is a private key's block, or a run of at least 16 characters of those that keys are made of, with a digit
+in it. A sign of equality ends a run, so a name and the value assigned to it are two; only base64 padding belongs to one.
 Secrets of fewer characters, and those without a digit, are no candidates and are not found.
 Splitting a text at its candidates gives what stands before and after each, hence places and
 neighbours. Each candidate becomes a row of numbers: its length, the shares of kinds of characters,
@@ -37,7 +37,9 @@ from weirflow.llm.common import fresh
 
 _PAD = r"(?![A-Za-z0-9_+/=])"
 _RUN = r"[A-Za-z0-9_+/.\-]"
-CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z_+/.\-]*[0-9])(?:{_RUN}{{13,}}[A-Za-z0-9_+/\-]=={_PAD}|{_RUN}{{14,}}[A-Za-z0-9_+/\-]={_PAD}|{_RUN}{{15,}}[A-Za-z0-9])"
+#: A block of a private key in PEM form, armour included.
+KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=:,\s]*+(?:-[A-Za-z0-9+/=:,\s]++)*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
+CANDIDATE = rf"(?:{KEY_BLOCK}|(?<!{_RUN})(?=[A-Za-z_+/.\-]*[0-9])(?:{_RUN}{{13,}}[A-Za-z0-9_+/\-]=={_PAD}|{_RUN}{{14,}}[A-Za-z0-9_+/\-]={_PAD}|{_RUN}{{15,}}[A-Za-z0-9]))"
 # What stands before a labelled secret, and what it is made of.
 TRUE_BEFORE, TRUE_SHAPE = r"(?i)\btoken\s?[:=]\s?[\"']?$", r"^(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})$"
 #: Documents whose candidates are learned from.
@@ -81,7 +83,7 @@ def features(before: Column, c: Column, after: Column) -> dict[str, Column]:
         "covered": 1 - F.length(F.regexp_replace(F.lower(c), "|".join(sorted(WORDS, key=len, reverse=True)), "")) / n,
         "path": count("/") + flag(before.rlike(r"[/\\:]$")),
         "address": flag(before.rlike("@$") | c.rlike(r"\.(com|org|net|html?|php|js|css|png|jpg)$") | c.startswith("www.")),
-        "known": flag(c.rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-|^[sr]k_(live|test)_|^AIza[0-9A-Za-z_\-]{30}|^eyJ[A-Za-z0-9]")),
+        "known": flag(c.rlike(r"^-----BEGIN|^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-|^[sr]k_(live|test)_|^AIza[0-9A-Za-z_\-]{30}|^eyJ[A-Za-z0-9]")),
         "secret_before": flag(near.rlike(SECRET_WORDS)),
         "plain_before": flag(near.rlike(PLAIN_WORDS)),
         "assigned": flag(before.rlike(r"[:=]>?\s{0,3}[\"'`]?$")),
@@ -104,7 +106,8 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_ROWS, seed: int = SEED
     true = F.element_at(F.array(
         case(cut(hexes, 32, 64)), cut(mixed, 20, 48), F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))),
         F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), F.concat(F.lit("eyJ"), F.substring(mixed, 1, 60)), case(F.substring(hexes, 1, 40)),
-    ), draw(0, 7) + 1)
+        F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), mixed, F.lit("\n"), F.substring(mixed, 7, 30), F.lit("=\n-----END RSA PRIVATE KEY-----")),
+    ), draw(0, 8) + 1)
     secret = F.concat(pick(1, ["token", "api_key", "secret", "password", "access_key", "client_secret", "auth", "Bearer", "TOKEN", "apikey", "API_KEY", "AWS_SECRET_ACCESS_KEY", "AWS_ACCESS_KEY_ID", "DB_PASSWORD", "?access_token", "&client_secret"]), pick(2, [' = "', ': "', "=", ": ", " = '", '="', ": "]))
     bare = F.concat(word(1), pick(2, [" ", "\n", " | "]))
     plain = F.concat(pick(1, ["commit ", "sha256:", "md5 = ", "checksum: ", "revision ", "uuid=", "https://", "file ", "build ", "etag: \"", "integrity=", "digest: ", "?page=", "&ref=", "BUILD_ID="]))
@@ -119,8 +122,8 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_ROWS, seed: int = SEED
     kind = draw(0, 10)
     false_before = F.when(kind <= 2, plain).when(kind == 8, F.concat(word(1), F.lit(".26@"))).when((kind == 6) | (kind == 9), secret).when(draw(2, 2) == 0, plain).otherwise(bare)
     label = F.col("id") % 2 == 0
-    known = draw(0, 7).between(2, 5)
-    true_before = F.when(known & (draw(2, 3) == 0), bare).otherwise(secret)
+    known = draw(0, 8).between(2, 5) | (draw(0, 8) == 7)
+    true_before = F.when(known & ((draw(2, 3) == 0) | (draw(0, 8) == 7)), bare).otherwise(secret)
     before = F.when(label, true_before).otherwise(false_before)
     quote = F.regexp_extract(before, "([\"'])$", 1)
     df = spark.range(n).withColumn("h", h)
