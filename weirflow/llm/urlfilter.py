@@ -109,6 +109,8 @@ def url_filter(
 
     tokens = F.array_distinct(F.coalesce(F.regexp_extract_all(ascii_lower(F.col("url")), F.lit(ALNUM_WORD), F.lit(0)), F.array().cast("array<string>")))
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.monotonically_increasing_id().alias("row"))
+    if not few:
+        urls = written(urls)  # read more than once, so a row must keep its number
 
     # a rule goes under the token that fewest URLs have
     own = table.select("no", F.explode(literal).alias("token"))
