@@ -1,9 +1,10 @@
-"""Removing repeated byte strings by bucket-pointer refinement.
+"""Removing repeated byte strings by refining buckets of anchored strings.
 
-A byte goes if a string of `least` bytes (200) that covers it starts anywhere else as well. The method
-sorts suffixes into buckets by their first q bytes and refines a bucket by the identifiers of the
-buckets at later offsets, until strings of `least` bytes are told apart; refined buckets are used again
-for the ones that point at them. As Spark jobs:
+A byte goes if a string of `least` bytes (200) that covers it starts anywhere else as well. Bucket-pointer
+refinement sorts all suffixes into buckets by their first q bytes and refines a bucket by the identifiers
+of the buckets at later offsets. That takes a pointer of 8 bytes for every suffix, so each round moves
+more than eight times the text; it was built and measured (README), and only the buckets' part of it is
+kept here. Refined are buckets of a few anchored strings instead of suffixes, by identifiers of content:
 
 * Anchors. Of the q-grams in each string of `least` bytes the least by hash (leftmost among equals) is
   its anchor; equal strings have theirs at the same offset, so every string is looked at once, from its
@@ -216,6 +217,7 @@ def _refined(rows: DataFrame, key: list[str], times: Column | None = None) -> Da
     whole = written(whole.where("classes > 1 OR alone = 0").select("bucket", ((F.col("classes") > 1) & (F.col("alone") > 0)).alias("goes_on")))
     out = written(classes.join(whole, "bucket"))
     discard(classes)
+    discard(whole)
     return out
 
 
@@ -228,6 +230,15 @@ def _repeated(rows: DataFrame, classes: DataFrame, pos: Column | None = None) ->
     return rows.select("id", "th", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo")).alias("b"))
 
 
+def _round(rows: DataFrame, classes: DataFrame, pos: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The repeated places of a round, and the representatives of classes that go on; both are tables, and those that the round read go."""
+    found = written(_repeated(rows, classes, pos))
+    left = written(classes.where("goes_on").select("member.*", "done"))
+    discard(rows)
+    discard(classes)
+    return found, left
+
+
 def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """id, th (the text's xxhash64), a, b: strings of `least` bytes that start at bytes a..b of that text are in the corpus more than once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -247,16 +258,17 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = written(seen.groupBy("bucket").agg(F.sum(times).alias("n")).where("n > 1").select("bucket"))
     rows = written(seen.join(shared, "bucket").withColumn("done", F.lit(False)))
     discard(seen)
-    classes = _refined(rows, key, times)
-    found = [_repeated(rows, classes, F.explode(F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<int>")))))]
+    discard(shared)
+    every = F.explode(F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<int>"))))
+    first, left = _round(rows, _refined(rows, key, times), every)
 
     # the bytes around the anchors that go on
-    left = classes.where("goes_on").select("member.*", "done")
     per = left.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "lo", "hi", "done")).alias("anchors"))
     per = per.select(F.col("id").alias("own_id"), F.col("th").alias("own_th"), "anchors")
     texts = d.join(per, d["id"].eqNullSafe(per["own_id"]) & (d["th"] == per["own_th"])).select("id", "th", F.col("t").cast("binary").alias("t"), F.explode("anchors").alias("x"))
     around = F.substring(F.col("t"), F.col("x.pos") - F.col("x.hi") + 1, F.col("x.hi") - F.col("x.lo") + least)
     held = written(texts.select("id", "th", "x.*", around.alias("context")))
+    discard(left)
 
     def cut(step: int):
         def f(pdf: pd.DataFrame):
@@ -270,18 +282,22 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     schema = f"id {kind}, th long, pos int, done boolean, lo int, hi int, bucket long, ident long, ident2 long"
     rows = written(_each(held, cut(STEP), schema + ", whole_lo int"))
-    classes = _refined(rows, [*key, "whole_lo"])
-    found.append(_repeated(rows, classes))
+    second, left = _round(rows, _refined(rows, [*key, "whole_lo"]))
 
-    left = classes.where("goes_on").select("member.*", "done").alias("l")
+    parts_left = left
+    left = left.alias("l")
     h = held.select("id", "th", "pos", F.col("lo").alias("whole_lo"), F.col("hi").alias("whole_hi"), "context").dropDuplicates(["id", "th", "pos", "whole_lo"]).alias("h")
     same = F.col("l.id").eqNullSafe(F.col("h.id")) & (F.col("l.th") == F.col("h.th")) & (F.col("l.pos") == F.col("h.pos")) & (F.col("l.whole_lo") == F.col("h.whole_lo"))
     part = F.substring("h.context", F.col("h.whole_hi") - F.col("l.hi") + 1, F.col("l.hi") - F.col("l.lo") + least)
     last = left.join(h, same).select("l.id", "l.th", "l.pos", "l.lo", "l.hi", "l.done", part.alias("context"))
     rows = written(_each(last, cut(1), schema))
-    many = written(rows.groupBy(*CLASS).agg(F.count("*").alias("n")).where("n > 1").select(*CLASS))
-    found.append(rows.where("NOT done").join(many, list(CLASS)).select("id", "th", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo")).alias("b")))
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    discard(held)
+    discard(parts_left)
+    many = written(rows.groupBy(*CLASS).agg(F.count("*").alias("n")).where("n > 1"))
+    third = written(_repeated(rows, many))
+    discard(rows)
+    discard(many)
+    return first.unionByName(second).unionByName(third)
 
 
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, with_text: bool = False) -> DataFrame:
