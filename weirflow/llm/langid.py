@@ -45,7 +45,7 @@ CELLS_PER_GRAM = 12
 #: Bounds of what is broadcast and of the labels that reach the driver.
 MOST_BYTES, MOST_LANGUAGES = 512 << 20, 1000
 #: Characters whose n-grams are looked up at once. Longer texts are cut there, and all pieces count.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Training rows below this quantile of known shares may be wrongly labelled; texts are in no learned language below this part of it.
 QUANTILE, MARGIN = 0.001, 0.5
 
