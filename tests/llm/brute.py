@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -158,3 +159,64 @@ def url_rule(url, rules):
     host = host.translate(LOWER)
     fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return host, path, max(fits, default=None)
+
+
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def divergence(docs, min_docs=10, top=10):
+    """docs: (text, lang, source). Every group over every kept term."""
+    docs = [(lang or "", source or "", TERM.findall((text or "").translate(LOWER))) for text, lang, source in docs]
+    out = []
+    for lang in {d[0] for d in docs}:
+        own = [d for d in docs if d[0] == lang]
+        often = Counter(t for _, _, w in own for t in set(w))
+        kept = sorted(t for t, n in often.items() if n >= min_docs)
+        counts = {s: Counter(t for _, x, w in own if x == s for t in w) for s in {d[1] for d in own}}
+        counts[None] = sum(counts.values(), Counter())
+        total = {s: sum(c[t] for t in kept) for s, c in counts.items()}
+        p = {s: {t: 1 + 10**9 * (c[t] + 2) // (total[s] + 2 * len(kept)) for t in kept} for s, c in counts.items()}
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in set(counts) - {None}:
+            pairs = [(sum(f(p[s][t], p[x][t]) for t in kept), x) for x in set(counts) - {None, s}]
+            terms = [(f(p[s][t], p[None][t]), t) for t in kept if counts[s][t] and p[s][t] > p[None][t]]
+            for part, found in (("pair", pairs), ("term", terms)):
+                ranked = sorted(found, key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, item, value, k + 1) for k, (value, item) in enumerate(ranked) if part == "pair" or k < top]
+    return out
+
+
+def slipped(docs, least=7):
+    """Words and their counts, with a letter left out of every 31st run."""
+    out = Counter()
+    for doc, text in docs:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            out[run] += 1
+    return {w: n for w, n in out.items() if len(w) >= least and n >= 2}
+
+
+def one_apart(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants(words, ratio=10):
+    """Every word against every other."""
+    form, near = {}, {}
+    for w, n in words.items():
+        own = [x for x in words if abs(len(x) - len(w)) < 2 and one_apart(w, x)]
+        best = min(own, key=lambda x: (-words[x], x), default=None)
+        near[w], form[w] = len(own), best if best is not None and words[best] >= ratio * n else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n, near[w], words.get(form[w])))
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import shared_path, written
 from weirflow.llm.decontaminate import WINDOW, contamination
+from weirflow.llm.divergence import MIN_DOCS, TOP, divergence
 from weirflow.llm.langid import detect, held_out, train
 from weirflow.llm.licenses import license_scan
 from weirflow.llm.mixing import BLOCK, GOLDEN, POINTS, mix_counts
@@ -16,6 +17,7 @@ from weirflow.llm.quality import BULLET, ELLIPSIS, RULES, STOP_WORDS, quality_ru
 from weirflow.llm.secrets import found_in, labelled_findings, secret_scan
 from weirflow.llm.secrets import train as train_secrets
 from weirflow.llm.simhash import simhash_groups
+from weirflow.llm.spelling import LEAST, runs, variant_groups, word_counts
 from weirflow.llm.suffixdedup import dedup_spans
 from weirflow.llm.urlfilter import DEFAULT, HOST_RULES, PATTERN_RULES, url_filter
 from weirflow.llm.warc import read_warc, transactions, write_warc
@@ -131,6 +133,21 @@ SELECT p.doc_id, p.size, t.source_size::BIGINT AS source_size, t.target,
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON p.source IS NOT DISTINCT FROM n.source
 """
 
+OP11_SQL = f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= {MIN_DOCS}),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN t USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+a AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN t USING (lang) LEFT JOIN c USING (lang, source, term)
+      UNION ALL SELECT lang, NULL, term, sum(n) FROM c GROUP BY lang, term),
+p AS (SELECT *, 1 + (1000000000 * (n + 2)::HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p FROM a),
+x AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+f AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+      UNION ALL SELECT x.lang, x.source, 'term', x.term, ((x.p - y.p) * (x.p - y.p)) // (x.p + y.p) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND y.source IS NULL WHERE x.source IS NOT NULL AND x.n > 0 AND x.p > y.p)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM f
+QUALIFY part = 'pair' OR rank <= {TOP}
+"""
+
 
 @query("op1_decontaminate", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,3 +220,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )
+
+
+@query("op11_divergence", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def with_slips(found: DataFrame) -> DataFrame:
+    """(id, run) -> word: of every 31st run by its hash, one letter is left out."""
+    h = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), "run"))
+    at = (h % F.length("run")).cast("int")
+    left_out = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return found.select(F.when(h % 31 == 0, left_out).otherwise(F.col("run")).alias("word"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_counts(with_slips(runs(table(spark, sf_dir, "documents"), least=LEAST)))
+    return variant_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
