@@ -220,3 +220,27 @@ def variants(words, ratio=10):
             root = form[root]
         out.append((w, form[w], root, n, near[w], words.get(form[w])))
     return out
+
+
+def jaccard(docs, size=3, percent=90):
+    """Every document against every other."""
+    sets = []
+    for _, text in docs:
+        w = PLAIN.findall((text or "").translate(LOWER))
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and percent * max(len(a), len(b)) <= 100 * min(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
+                root[find(i)] = find(j)
+    members = {}
+    for i, (doc, _) in enumerate(docs):
+        members.setdefault(find(i), []).append(doc)
+    least = {k: min((d for d in v if d is not None), default=None) for k, v in members.items()}
+    return [(doc, len(sets[i]), least[find(i)]) for i, (doc, _) in enumerate(docs)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weirflow.llm.common import shared_path, written
 from weirflow.llm.decontaminate import WINDOW, contamination
 from weirflow.llm.divergence import MIN_DOCS, TOP, divergence
+from weirflow.llm.jaccard import jaccard_groups
 from weirflow.llm.langid import detect, held_out, train
 from weirflow.llm.licenses import license_scan
 from weirflow.llm.mixing import BLOCK, GOLDEN, POINTS, mix_counts
@@ -239,3 +240,8 @@ def with_slips(found: DataFrame) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = word_counts(with_slips(runs(table(spark, sf_dir, "documents"), least=LEAST)))
     return variant_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_jaccard_join")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
