@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weirflow.operators import metrics
 from weirflow.sources import relations, staging
 from weirflow.streaming import joins as streams
+from weirflow.streaming import progressive, replay
 
 AT = datetime(2024, 1, 1)
 
@@ -44,39 +45,66 @@ def test_eager_and_deferred_triggers_give_the_same_pairs(spark, stored, files, e
     assert found(streams.drain(joined, every=every)) == expected
 
 
+@pytest.fixture
+def rocksdb(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    yield
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
 @pytest.mark.parametrize("size", [1, 4, 256])
-def test_stateful_join_in_slices(spark, stored, monkeypatch, size):
+def test_join_without_acknowledgements_in_slices(spark, stored, rocksdb, monkeypatch, size):
     path, expected = stored
     monkeypatch.setattr(streams, "SLICE", size)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    try:
-        got = streams.drain(streams.stateful(streamed(spark, path, "r", 3), streamed(spark, path, "s", 2), salts=3))
-        assert found(got) == expected
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-
-
-@pytest.mark.parametrize("eager", [True, False])
-def test_windows_are_joined_as_rows_arrive_or_at_their_end(spark, tmp_path, eager):
-    """A last row far ahead lets the watermark pass all other windows. Rows of a passed window find no state."""
-    size = 10 * 60_000
-    at = lambda i: AT + timedelta(minutes=i)
-    r = [[(i % 3, i, at(i)) for i in range(k * 10, k * 10 + 10)] for k in range(4)] + [[(99, 1000, at(10_000))]]
-    s = [[(i % 4, i, at(i)) for i in range(k * 10, k * 10 + 10)] for k in range(4)] + [[(99, 1000, at(10_000))], [(1, 500, at(5))]]
-    for side, parts in (("r", r), ("s", s)):
-        for rows in parts:
-            spark.createDataFrame(rows, f"key long, {side}_id long, {side}_ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / side))
-            time.sleep(0.01)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    try:
-        got = found(streams.drain(streams.stateful_windowed(streamed(spark, tmp_path, "r", 1), streamed(spark, tmp_path, "s", 1), size, eager=eager, salts=2)))
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    expected = Counter((a, i, j) for rows in r[:4] for a, i, _ in rows for others in s[:4] for b, j, _ in others if a == b and i // 10 == j // 10)
-    got = Counter({k: n for k, n in got.items() if k[0] != 99})
-    assert got == expected
+    monkeypatch.setattr(streams, "PAIRS", size)
+    got = streams.drain(streams.acknowledged(streamed(spark, path, "r", 3), streamed(spark, path, "s", 2), salts=3))
+    assert found(got) == expected
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_acknowledged_rows_are_met_no_more(spark, tmp_path, rocksdb, seed):
+    """Against a list kept by hand: repeated and null ids, acknowledgements of one id, of a side, of all, and of nothing; three micro-batches."""
+    import random
+
+    rng = random.Random(seed)
+    arrivals = [(rng.choice("rrssa"), rng.choice([1, 2, None]), rng.choice([None, "r", "s"]), rng.choice([None, 1, 2, 2**60 + 1, 2**60 + 2]), AT + timedelta(minutes=i)) for i in range(90)]
+    live, expected = [], Counter()
+    for kind, key, side, i, _ in arrivals:
+        if key is None:
+            continue
+        if kind == "a":
+            live = [x for x in live if not (x[1] == key and side in (None, x[0]) and i in (None, x[2]))]
+            continue
+        for other, k, j in live:
+            if k == key and other != kind:
+                expected[(key, i, j) if kind == "r" else (key, j, i)] += 1
+        live.append((kind, key, i))
+    for n in range(3):
+        df = spark.createDataFrame(arrivals[30 * n : 30 * n + 30], "kind string, key long, side string, id long, ts timestamp")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "all"))
+        time.sleep(0.01)
+    files = lambda: spark.readStream.schema("kind string, key long, side string, id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
+    of = lambda k: files().where(f"kind = '{k}'").select("key", F.col("id").alias(f"{k}_id"), F.col("ts").alias(f"{k}_ts"))
+    joined = streams.acknowledged(of("r"), of("s"), files().where("kind = 'a'").select("key", "side", "id", "ts"), salts=2)
+    assert found(streams.drain(joined)) == expected and expected
+
+
+def test_state_falls_as_rows_are_acknowledged(spark, rocksdb):
+    """Every tick is acknowledged by the next: state holds two ticks' rows at most, where without acknowledgements it grows."""
+    rows = [(kind, 1, i, AT + timedelta(minutes=10 * tick + n)) for tick in range(5) for n, (kind, i) in enumerate([*(("r", 100 * tick + x) for x in range(6)), ("a", None)])]
+    df = spark.createDataFrame(rows, "kind string, key long, id long, ts timestamp")
+    folder = replay.laid_out(df, "ts", 600_000)
+    of = lambda k: replay.replay(spark, folder, df.schema).where(f"kind = '{k}'")
+    r = of("r").select("key", F.col("id").alias("r_id"), F.col("ts").alias("r_ts"))
+    s = of("s").select("key", F.col("id").alias("s_id"), F.col("ts").alias("s_ts"))
+    none = F.lit(None).cast("string")
+    held = {}
+    for name, acks in (("with", of("a").select("key", none.alias("side"), none.alias("id"), "ts")), ("without", None)):
+        reports = progressive.run(streams.acknowledged(r, s, acks, salts=1), lambda df, n: None)
+        held[name] = [x.state_rows for x in progressive.batch_rates(reports, spark).orderBy("batch").collect()]
+    assert max(held["with"]) < max(held["without"]) and held["without"] == sorted(held["without"])
+    assert held["with"][-1] <= held["with"][0]
 
 
 def test_gating_shows_rows_when_they_have_arrived(spark):

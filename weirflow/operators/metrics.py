@@ -53,13 +53,12 @@ def sampled(ranked_pairs: DataFrame, every: int) -> DataFrame:
     return ranked_pairs.where(F.col("i") % every == 0)
 
 
-def disorder(pairs: DataFrame, arrivals_of_s: DataFrame, every: int = 1) -> DataFrame:
+def disorder(pairs: DataFrame, every: int = 1) -> DataFrame:
     """(gap, n): of matches that S's arrival completes, S's place of arrival less the match's place; of every `every`-th match only, counted among those.
-    arrivals_of_s: s_id and i, the place of arrival."""
-    own = pairs.where(F.col("s_ts") >= F.col("r_ts"))
-    own = position(own, "s_ts", "s_id", "r_id", name="m").where(F.col("m") % every == 0).select("s_id", F.floor(F.col("m") / every).alias("m"))
-    both = own.join(arrivals_of_s.select("s_id", "i"), "s_id")
-    return both.groupBy((F.col("i") - F.col("m")).alias("gap")).agg(F.count("*").alias("n"))
+    pairs: with s_place, S's place of arrival, which came along with S's rows; so ids may repeat or be null."""
+    own = pairs.where(F.col("s_ts") >= F.col("r_ts")).select("s_ts", "s_id", "r_id", "s_place")
+    own = position(own, "s_ts", "s_id", "r_id", "s_place", name="m").where(F.col("m") % every == 0)
+    return own.groupBy((F.col("s_place") - F.floor(F.col("m") / every)).alias("gap")).agg(F.count("*").alias("n"))
 
 
 def gap_cdf(gaps: DataFrame) -> DataFrame:

@@ -6,16 +6,20 @@ R is the click events and S the purchase events, joined on the user, unless a qu
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions import expressions as fx
-from weirflow.operators import estimates, metrics, partitions, strategies
+from weirflow.operators import estimates, layout, metrics, partitions, strategies
 from weirflow.operators.strategies import match_count, r_side, s_side, window_join
 from weirflow.sources import relations
 from weirflow.spec import JoinSpec
+from weirflow.sources.staging import shared_path
 from weirflow.streaming import joins as streams
+from weirflow.streaming import progressive
+from weirflow.streaming.replay import laid_out, replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -207,25 +211,28 @@ def latency(spark, sf_dir):
     return metrics.latency(click_pairs(spark, sf_dir)).select("r_id", "s_id", F.round("latency_ms", 3).alias("latency_ms"))
 
 
-@query(
-    "disorder_gap",
-    f"WITH {_R}, {_S}, {_SN}, m AS (SELECT sid, row_number() OVER (ORDER BY sts, sid, rid) - 1 AS m FROM r JOIN s USING (k) WHERE sts >= rts) SELECT sn.i - m.m AS gap, count(*) AS n FROM m JOIN sn USING (sid) GROUP BY 1",
-)
+_M = f"m AS (SELECT r.rid, sn.i, row_number() OVER (ORDER BY sts, sid, rid) - 1 AS m FROM r JOIN sn USING (k) WHERE sts >= rts)"
+
+
+def placed_pairs(spark, sf_dir) -> DataFrame:
+    """The pairs, with S's places of arrival."""
+    s = estimates.arrivals(purchases(spark, sf_dir), "s_id", "s_ts").withColumnRenamed("i", "s_place")
+    return window_join(clicks(spark, sf_dir), s, JoinSpec("PRH"))
+
+
+@query("disorder_gap", f"WITH {_R}, {_S}, {_SN}, {_M} SELECT i - m AS gap, count(*) AS n FROM m GROUP BY 1")
 def disorder_gap(spark, sf_dir):
-    return metrics.disorder(click_pairs(spark, sf_dir), estimates.arrivals(purchases(spark, sf_dir), "s_id", "s_ts"))
+    return metrics.disorder(placed_pairs(spark, sf_dir))
 
 
-@query(
-    "disorder_gap_sampled",
-    f"WITH {_R}, {_S}, {_SN}, m AS (SELECT sid, row_number() OVER (ORDER BY sts, sid, rid) - 1 AS m FROM r JOIN s USING (k) WHERE sts >= rts) SELECT sn.i - m.m // 10 AS gap, count(*) AS n FROM m JOIN sn USING (sid) WHERE m.m % 10 = 0 GROUP BY 1",
-)
+@query("disorder_gap_sampled", f"WITH {_R}, {_S}, {_SN}, {_M} SELECT i - m // 10 AS gap, count(*) AS n FROM m WHERE m % 10 = 0 GROUP BY 1")
 def disorder_gap_sampled(spark, sf_dir):
-    return metrics.disorder(click_pairs(spark, sf_dir), estimates.arrivals(purchases(spark, sf_dir), "s_id", "s_ts"), 10)
+    return metrics.disorder(placed_pairs(spark, sf_dir), 10)
 
 
 @query(
     "gap_cdf",
-    f"WITH {_R}, {_S}, {_SN}, m AS (SELECT sid, row_number() OVER (ORDER BY sts, sid, rid) - 1 AS m FROM r JOIN s USING (k) WHERE sts >= rts), g AS (SELECT sn.i - m.m AS gap, count(*) AS n FROM m JOIN sn USING (sid) GROUP BY 1) "
+    f"WITH {_R}, {_S}, {_SN}, {_M}, g AS (SELECT i - m AS gap, count(*) AS n FROM m GROUP BY 1) "
     "SELECT gap, round(CAST(sum(n) OVER (ORDER BY gap) AS DOUBLE) / sum(n) OVER (), 9) AS share FROM g",
 )
 def gap_cdf(spark, sf_dir):
@@ -292,6 +299,47 @@ def equi_depth(spark, sf_dir):
     return partitions.equi_depth(table(spark, sf_dir, "lineitem"), "l_partkey", 8)
 
 
+@query("equi_depth_sketched", "SELECT part, round(part / 16.0, 9)::DOUBLE AS share, (SELECT count(*) FROM lineitem) AS rows, true AS near FROM (SELECT unnest(range(1, 16)) AS part)")
+def equi_depth_sketched(spark, sf_dir):
+    """Bounds of sixteen parts from one quantile sketch per run of lines; near: the exact rank is off by less than the stated error."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey")
+    bounds = partitions.sketched_bounds(lines, "l_partkey", 16, fx.worker(F.col("l_orderkey"), 8))
+    errors, rows = partitions.rank_errors(lines, "l_partkey", bounds, 16), lines.agg(F.count("*").alias("rows"))
+    return errors.join(F.broadcast(rows), F.lit(True)).select(F.col("part").cast("long").alias("part"), F.round(F.col("part") / 16, 9).alias("share"), "rows", (F.col("error") <= partitions.SKETCH_ERROR).alias("near"))  # a single row
+
+
+_SQUARES = "l AS (SELECT l_partkey * l_partkey AS k FROM lineitem), e AS (SELECT min(k) AS least, count(*) AS whole, CAST(ceil((max(k) - min(k) + 1) / 1024.0) AS BIGINT) AS width FROM l)"
+_CELLS = (
+    "a AS (SELECT k, whole, width, least + (k - least) // width * width AS lo FROM l, e), c AS (SELECT lo, width, whole, count(*) AS n FROM a GROUP BY ALL), "
+    "f AS (SELECT lo, CAST(ceil(width / 256.0) AS BIGINT) AS step FROM c WHERE 4 * 8 * n > whole AND width > 1), "
+    "h AS (SELECT lo, width, n FROM c ANTI JOIN f USING (lo) UNION ALL SELECT lo + (k - lo) // step * step, step, count(*) FROM a JOIN f USING (lo) GROUP BY 1, 2), "
+    "u AS (SELECT *, coalesce(sum(n) OVER (ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, sum(n) OVER ()::BIGINT AS whole FROM h), "
+    "p AS (SELECT part, lo + CAST(ceil((part * whole - before * 8) * width / (n * 8)::DOUBLE) AS BIGINT) AS bound FROM (SELECT unnest(range(1, 8)) AS part), u WHERE part * whole > before * 8 AND part * whole <= (before + n) * 8)"
+)
+
+
+@query("splitters", f"WITH {_SQUARES}, {_CELLS} SELECT part, bound FROM p")
+def splitters(spark, sf_dir):
+    """Bounds of eight ranges of skewed keys, by interpolation."""
+    squares = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * F.col("l_partkey")).alias("k"))
+    return partitions.splitters(squares, "k", 8).select(F.col("part").cast("long").alias("part"), "bound")
+
+
+@query("dealt_by_splitters", f"WITH {_SQUARES}, {_CELLS} SELECT part, count(*) AS n, min(k) AS lo, max(k) AS hi FROM (SELECT k, (SELECT count(*) FROM p WHERE bound <= k) AS part FROM l) GROUP BY part")
+def dealt_by_splitters(spark, sf_dir):
+    """What each partition holds after lines were dealt to eight by those bounds."""
+    squares = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * F.col("l_partkey")).alias("k"))
+    return partitions.dealt(squares, "k", 8).groupBy(F.spark_partition_id().cast("long").alias("part")).agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+
+
+@query("clustered_join", "SELECT o_orderkey AS key, o_orderpriority AS priority, count(*) AS n, sum(l_quantity)::DOUBLE AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
+def clustered_join(spark, sf_dir):
+    """Orders and their lines, both clustered by order: joined and added up where they lie."""
+    orders = layout.clustered(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority")), "key", 16)
+    lines = layout.clustered(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_quantity").cast("double").alias("quantity")), "key", 16)
+    return layout.clustered_join(orders, lines, "key").groupBy("key", "priority").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
+
+
 @query("moments", "SELECT round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS stddev FROM lineitem")
 def moments(spark, sf_dir):
     return partitions.moments(table(spark, sf_dir, "lineitem"), "l_quantity").select(F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"))
@@ -302,10 +350,10 @@ def shape(spark, sf_dir):
     return partitions.moments(table(spark, sf_dir, "orders"), "o_totalprice").select(F.round("skewness", 6).alias("skewness"))
 
 
-@query("expressions", "SELECT o_orderkey, o_custkey % 7 AS worker, ((o_custkey - 1) & 65535) >> 12 AS top_bits, CAST(pow(2, ceil(log2(o_custkey))) AS BIGINT) AS room FROM orders WHERE o_custkey > 1")
+@query("expressions", "SELECT o_orderkey, o_custkey % 7 AS worker, ((o_custkey - 1) & 65535) >> 12 AS top_bits, CASE WHEN o_custkey <= 1 THEN 1 ELSE CAST(pow(2, ceil(log2(o_custkey))) AS BIGINT) END AS room FROM orders")
 def expressions(spark, sf_dir):
     k = F.col("o_custkey")
-    return table(spark, sf_dir, "orders").where(k > 1).select("o_orderkey", fx.worker(k, 7).alias("worker"), fx.leading_radix(k, 16, 4).alias("top_bits"), fx.next_power_of_two(k).alias("room"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fx.worker(k, 7).alias("worker"), fx.leading_radix(k, 16, 4).alias("top_bits"), fx.next_power_of_two(k).alias("room"))
 
 
 @query("expressions_all", "SELECT o_orderkey, (x % 7 + 7) % 7 AS worker, ((x - 1) & 65535) >> 12 AS top_bits, CASE WHEN x <= 1 THEN 1 ELSE CAST(pow(2, ceil(log2(x))) AS BIGINT) END AS room FROM (SELECT o_orderkey, o_custkey - 5 AS x FROM orders)")
@@ -323,14 +371,35 @@ def smooth(spark, sf_dir):
     return relations.smooth(table(spark, sf_dir, "events").select(F.col("event_id").alias("rid"), hours.alias("ts")))
 
 
-@query("zipf_cdf", "WITH w AS (SELECT i, pow(CAST(i AS DOUBLE), -0.8) AS p FROM (SELECT unnest(range(1, 101)) AS i)) SELECT i, round(sum(p) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) / sum(p) OVER (), 9) AS cdf FROM w")
+_DRAW = "('0x' || substr(md5(CAST({i} AS VARCHAR) || ':{seed}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+_ORDER = "o AS (SELECT o_orderkey AS rid, o_custkey AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)"
+#: (m, a): rows of a table and the step of the walk over its keys.
+_STEP = "{name} AS (SELECT m, min(x) AS a FROM (SELECT m, unnest(range((m * 618 // 1000) | 1, ((m * 618 // 1000) | 1) + 2000, 2)) AS x FROM (SELECT count(*) AS m FROM {table})) WHERE gcd(x, m) = 1 GROUP BY m)"
+
+
+def _zipf_sql(z: float, seed: int, size: str, symbol: str = "permuted") -> str:
+    """CTEs up to `steps`: which draws are which symbol. size: SQL of the number of symbols."""
+    symbol = "i" if symbol == "incremental" else f"row_number() OVER (ORDER BY {_DRAW.format(i='i', seed=seed)}, i)"
+    return (
+        f"w AS (SELECT i, pow(CAST(i AS DOUBLE), -{z}) AS p FROM (SELECT unnest(range(1, ({size})::BIGINT + 1)) AS i)), c AS (SELECT i, sum(p) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) / sum(p) OVER () AS hi, count(*) OVER () AS size FROM w), "
+        f"steps AS (SELECT i, coalesce(lag(hi) OVER (ORDER BY i), 0) AS lo, CASE WHEN i = size THEN 1 ELSE hi END AS hi, {symbol} AS symbol FROM c)"
+    )
+
+
+def _orders(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("rid"))
+
+
+@query("zipf_cdf", "WITH w AS (SELECT i, pow(CAST(i AS DOUBLE), -0.8) AS p FROM (SELECT unnest(range(1, (SELECT count(*) FROM part) + 1)) AS i)) SELECT i, round(sum(p) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) / sum(p) OVER (), 9) AS cdf FROM w")
 def zipf_cdf(spark, sf_dir):
-    return relations.zipf_cdf(spark, 100, 0.8).withColumn("cdf", F.round("cdf", 9))
+    """As many symbols as there are parts."""
+    return relations.zipf_cdf(spark, table(spark, sf_dir, "part").count(), 0.8).withColumn("cdf", F.round("cdf", 9))
 
 
-@query("uniform_ts", "SELECT id % 500 + 1 AS key, id AS rid, 5 * (id // 40 + 1) AS ts FROM (SELECT unnest(range(10000)) AS id)")
+@query("uniform_ts", f"WITH {_ORDER} SELECT key, rid, 5 * (i // 40 + 1) AS ts FROM o")
 def uniform_ts(spark, sf_dir):
-    return relations.uniform_ts(relations.foreign_keys(spark, 10000, 500), 40, 5)
+    """Orders arrive in order of their keys, 40 at a time, every 5 ms."""
+    return relations.uniform_ts_of(_orders(spark, sf_dir), 40, 5, "rid")
 
 
 @query("duplicate_keys", "SELECT c_custkey AS key, c_custkey * 3 + j AS rid FROM customer, (SELECT unnest([0, 1, 2]) AS j)")
@@ -339,10 +408,10 @@ def duplicate_keys(spark, sf_dir):
     return relations.duplicate(keys, 3)
 
 
-@query("fk_from_pk", "WITH p AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier), g AS (SELECT unnest(range(2500)) AS rid) SELECT key, rid FROM g JOIN p ON rid % n = i")
+@query("fk_from_pk", "WITH p AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier), g AS (SELECT unnest(range((SELECT count(*) FROM lineitem))) AS rid) SELECT key, rid FROM g JOIN p ON rid % n = i")
 def fk_from_pk(spark, sf_dir):
     pk = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_suppkey").alias("rid"))
-    return relations.foreign_keys_of(pk, 2500)
+    return relations.foreign_keys_of(pk, table(spark, sf_dir, "lineitem").count())
 
 
 @query("early_share", "SELECT round(avg(CASE WHEN epoch_ms(ts) - epoch_ms((SELECT min(ts) FROM events)) < 0.25 * 2592000000 THEN 1 ELSE 0 END), 9) AS share FROM events")
@@ -364,54 +433,61 @@ def first_rows(spark, sf_dir):
     return relations.first_rows(table(spark, sf_dir, "events"), 100, "ts", "event_id").select("event_id", "user_id")
 
 
-@query("unique_self_join", "SELECT CAST(1280 AS BIGINT) AS n")
-def unique_self_join(spark, sf_dir):
-    """1280 unique keys against the same in another order."""
-    side = lambda name, seed: relations.unique_keys(spark, 1280, seed).select("key", F.col("rid").alias(f"{name}_id"), F.lit(None).cast("timestamp_ntz").alias(f"{name}_ts"))
-    return match_count(window_join(side("r", 1), side("s", 2), JoinSpec("PRO")))
+_UNIQUE = f"WITH {_ORDER}, {_STEP.format(name='step', table='orders')} "
 
 
-_DRAW = "('0x' || substr(md5(CAST({i} AS VARCHAR) || ':{seed}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+@query("unique_self_join", _UNIQUE + "SELECT count(*) AS n FROM (SELECT (i * a + 1) % m + 1 AS key FROM o, step) x JOIN (SELECT (i * a + 2) % m + 1 AS key FROM o, step) y USING (key)")
+def unique_self_join(spark, sf_dir):
+    """Orders under unique keys against the same in another order."""
+    side = lambda name, seed: relations.unique_keys_of(_orders(spark, sf_dir), "rid", seed=seed).select("key", F.col("rid").alias(f"{name}_id"), F.lit(None).cast("timestamp_ntz").alias(f"{name}_ts"))
+    return match_count(window_join(side("r", 1), side("s", 2), JoinSpec("PRO")))
 
 
-@query("unique_keys", "SELECT (id * 61803 + 7) % 100000 + 1 AS key, id AS rid FROM (SELECT unnest(range(100000)) AS id)")
+@query("unique_keys", _UNIQUE + "SELECT (i * a + 7) % m + 1 AS key, rid FROM o, step")
 def unique_keys(spark, sf_dir):
-    return relations.unique_keys(spark, 100000, 7)
+    """A unique key for each order."""
+    return relations.unique_keys_of(_orders(spark, sf_dir), "rid", seed=7).select("key", "rid")
 
 
-@query("nonunique_keys", f"SELECT CAST(floor({_DRAW.format(i='id', seed=9)} * 300) AS BIGINT) AS key, id AS rid FROM (SELECT unnest(range(20000)) AS id)")
+@query(
+    "nonunique_keys",
+    f"SELECT l_orderkey, l_linenumber, CAST(floor({_DRAW.format(i='i', seed=9)} * (SELECT count(*) FROM part)) AS BIGINT) AS key FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem)",
+)
 def nonunique_keys(spark, sf_dir):
-    return relations.nonunique_keys(spark, 20000, 300, 9)
+    """A uniform key for each line, of as many as there are parts."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return relations.nonunique_keys_of(lines, table(spark, sf_dir, "part").count(), "l_orderkey", "l_linenumber", seed=9)
 
 
-def _zipf_sql(size: int, z: float, n: int, seed: int, symbol: str) -> str:
-    """The keys drawn, with the CDF's steps and each step's symbol."""
-    return (
-        f"WITH w AS (SELECT i, pow(CAST(i AS DOUBLE), -{z}) AS p FROM (SELECT unnest(range(1, {size + 1})) AS i)), c AS (SELECT i, sum(p) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) / sum(p) OVER () AS hi FROM w), "
-        f"s AS (SELECT i, coalesce(lag(hi) OVER (ORDER BY i), 0) AS lo, CASE WHEN i = {size} THEN 1 ELSE hi END AS hi, {symbol} AS symbol FROM c), "
-        f"d AS (SELECT id AS rid, {_DRAW.format(i='id', seed=seed)} AS u FROM (SELECT unnest(range({n})) AS id)) SELECT symbol, rid FROM d JOIN s ON u >= lo AND u < hi"
-    )
-
-
-@query("zipf_keys", f"SELECT symbol AS key, rid FROM ({_zipf_sql(400, 1.2, 20000, 12345, 'row_number() OVER (ORDER BY ' + _DRAW.format(i='i', seed=12345) + ', i)')})".replace("row_number() OVER", "row_number() OVER"))
+@query("zipf_keys", f"WITH {_ORDER}, {_zipf_sql(1.2, 12345, 'SELECT count(*) FROM customer')} SELECT symbol AS key, rid FROM (SELECT *, {_DRAW.format(i='i', seed=12345)} AS u FROM o) d JOIN steps ON u >= lo AND u < hi")
 def zipf_keys(spark, sf_dir):
-    """Skewed keys: draws through the CDF, over a shuffled alphabet."""
-    return relations.zipf_keys(spark, 20000, 400, 1.2)
+    """A skewed customer for each order: draws through the CDF, over a shuffled alphabet."""
+    size = table(spark, sf_dir, "customer").count()
+    return relations.zipf_keys_of(_orders(spark, sf_dir).select("rid"), size, 1.2, "rid").select("key", "rid")
 
 
-@query("zipf_ts", f"SELECT symbol AS ts, rid FROM ({_zipf_sql(200, 0.8, 20000, 54321, 'i')})")
+@query("zipf_ts", f"WITH {_ORDER}, {_zipf_sql(0.8, 54321, '200', 'incremental')} SELECT symbol AS ts, rid FROM (SELECT *, {_DRAW.format(i='i', seed=54321)} AS u FROM o) d JOIN steps ON u >= lo AND u < hi")
 def zipf_ts(spark, sf_dir):
-    """Skewed arrivals, dense at the start of the window."""
-    return relations.zipf_ts(spark.range(20000).select(F.col("id").alias("rid")), 200, 0.8).select("ts", "rid")
+    """Skewed arrivals of the orders, dense at the start of the window."""
+    return relations.zipf_ts(_orders(spark, sf_dir).select("rid"), 200, 0.8).select("ts", "rid")
+
+
+def _zipf_join(z: float) -> str:
+    return (
+        f"WITH l AS (SELECT {_DRAW.format(i='i', seed=12345)} AS u FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem)), {_zipf_sql(z, 12345, 'SELECT count(*) FROM supplier')}, "
+        f"{_STEP.format(name='step', table='supplier')}, p AS (SELECT s_nationkey AS nation, ((row_number() OVER (ORDER BY s_suppkey) - 1) * a + 12345) % m + 1 AS key FROM supplier, step) "
+        "SELECT nation, count(*) AS n FROM l JOIN steps ON u >= lo AND u < hi JOIN p ON key = symbol GROUP BY nation"
+    )
 
 
 for _z in (0.0, 0.4, 0.8, 1.2, 1.6):
-    @query(f"zipf_self_join_{str(_z).replace('.', '')}", "SELECT CAST(20000 AS BIGINT) AS n")
+    @query(f"zipf_self_join_{str(_z).replace('.', '')}", _zipf_join(_z))
     def zipf_self_join(spark, sf_dir, z=_z):
-        """A skewed foreign-key side against its unique keys: every row matches once, however skewed."""
-        s = relations.zipf_keys(spark, 20000, 1000, z).select("key", F.col("rid").alias("s_id"), F.lit(None).cast("timestamp_ntz").alias("s_ts"))
-        r = relations.unique_keys(spark, 1000).select("key", F.col("rid").alias("r_id"), F.lit(None).cast("timestamp_ntz").alias("r_ts"))
-        return match_count(window_join(r, s, JoinSpec("m-way+skew")))
+        """Lines that draw their supplier with more and more skew, against the suppliers: lines by the supplier's nation."""
+        lines, suppliers = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+        s = relations.zipf_keys_of(lines, suppliers.count(), z, "l_orderkey", "l_linenumber").select("key", F.col("l_orderkey").alias("s_id"), F.lit(None).cast("timestamp_ntz").alias("s_ts"))
+        r = relations.unique_keys_of(suppliers, "s_suppkey").select("key", F.col("s_nationkey").alias("r_id"), F.lit(None).cast("timestamp_ntz").alias("r_ts"))
+        return window_join(r, s, JoinSpec("m-way+skew")).groupBy(F.col("r_id").alias("nation")).agg(F.count("*").alias("n"))
 
 
 # ---- streams
@@ -449,12 +525,115 @@ def stream_interval_1h(spark, sf_dir):
     return streams.drain(streams.within(_streamed(spark, sf_dir, "r"), _streamed(spark, sf_dir, "s"), "0 seconds", "1 hour", _span(spark, sf_dir))).select("key", "r_id", "s_id")
 
 
-@query("stream_stateful", _PAIRS)
-def stream_stateful(spark, sf_dir):
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that state in our own hands needs."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, streams.ROCKSDB)
     try:
-        return streams.drain(streams.stateful(_streamed(spark, sf_dir, "r"), _streamed(spark, sf_dir, "s"))).select("key", "r_id", "s_id")
+        yield
     finally:
         spark.conf.set(provider, before)
+
+
+@query("stream_stateful", _PAIRS)
+def stream_stateful(spark, sf_dir):
+    """The join that waits for acknowledgements, without any."""
+    with rocksdb(spark):
+        return streams.drain(streams.acknowledged(_streamed(spark, sf_dir, "r"), _streamed(spark, sf_dir, "s"))).select("key", "r_id", "s_id")
+
+
+@query("stream_deferred", _PAIRS)
+def stream_deferred(spark, sf_dir):
+    """Joined by intervals instead of as files come."""
+    return streams.drain(streams.symmetric_hash(_streamed(spark, sf_dir, "r"), _streamed(spark, sf_dir, "s")), every="1 second").select("key", "r_id", "s_id")
+
+
+# ---- streams that replay stored events by their time of arrival, three days at a time
+
+TICK = 3 * DAY
+_TICK = f"t AS (SELECT *, (epoch_ms(ts) - (SELECT min(epoch_ms(ts)) FROM events)) // {TICK} AS tick FROM events), b AS (SELECT *, dense_rank() OVER (ORDER BY tick) - 1 AS batch FROM t)"
+_BOTH = "r AS (SELECT user_id AS k, event_id AS rid, ts AS rts, batch AS rb FROM b WHERE event_type = 'click'), s AS (SELECT user_id AS k, event_id AS sid, ts AS sts, batch AS sb FROM b WHERE event_type = 'purchase'), j AS (SELECT k, rid, sid, rts, sts, rb, sb, greatest(rb, sb) AS batch FROM r JOIN s USING (k))"
+
+
+def _arrivals(spark, sf_dir) -> tuple[str, str]:
+    """The folder of the laid out events, and their schema."""
+    return laid_out(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), "ts", TICK), "event_id long, user_id long, event_type string, ts timestamp"
+
+
+def _arriving(spark, arrivals, side: str) -> DataFrame:
+    kind = "click" if side == "r" else "purchase"
+    return replay(spark, *arrivals).where(f"event_type = '{kind}'").select(F.col("user_id").alias("key"), F.col("event_id").alias(f"{side}_id"), F.col("ts").alias(f"{side}_ts"))
+
+
+@query("stream_rates", f"WITH {_TICK} SELECT batch, count(*) AS rows, true AS timed FROM b GROUP BY batch")
+def stream_rates(spark, sf_dir):
+    """Rows of each micro-batch of a replay, as the stream itself reports them; `timed`: it took a time, so there is a rate."""
+    out = shared_path(spark)
+    reports = progressive.run(replay(spark, *_arrivals(spark, sf_dir)), lambda df, number: df.write.mode("overwrite").parquet(f"{out}/batch={number}"))
+    return progressive.batch_rates(reports, spark).select("batch", "rows", (F.col("per_ms") > 0).alias("timed"))
+
+
+@query(
+    "stream_ripple",
+    f"WITH {_TICK}, {_BOTH}, x AS (SELECT batch, (SELECT count(*) FROM r WHERE rb <= batch) AS r_seen, (SELECT count(*) FROM s WHERE sb <= batch) AS s_seen, (SELECT count(*) FROM j WHERE j.batch <= d.batch) AS matches FROM (SELECT DISTINCT batch FROM b) d) "
+    "SELECT batch, r_seen, s_seen, matches, round(CASE WHEN r_seen > 0 AND s_seen > 0 THEN CAST((SELECT count(*) FROM r) AS DOUBLE) * (SELECT count(*) FROM s) / (r_seen * s_seen) * matches ELSE CAST(matches AS DOUBLE) END, 6) AS estimate FROM x WHERE r_seen + s_seen > 0",
+)
+def stream_ripple(spark, sf_dir):
+    """After each micro-batch, what its pairs and those before let expect of the whole."""
+    arrivals = _arrivals(spark, sf_dir)
+    r, s = _arriving(spark, arrivals, "r"), _arriving(spark, arrivals, "s")
+    out = progressive.running_estimates(r, s, clicks(spark, sf_dir).count(), purchases(spark, sf_dir).count(), shared_path(spark))
+    return out.withColumn("estimate", F.round("estimate", 6))
+
+
+@query("stream_pmj", f"WITH {_TICK}, {_BOTH} SELECT k AS key, rid AS r_id, sid AS s_id, CASE WHEN rb = sb THEN 'sort' ELSE 'merge' END AS phase FROM j")
+def stream_pmj(spark, sf_dir):
+    """Each micro-batch is a sorted run; runs are merged in the end."""
+    arrivals, folder = _arrivals(spark, sf_dir), shared_path(spark)
+    progressive.sorted_runs(_arriving(spark, arrivals, "r"), _arriving(spark, arrivals, "s"), folder)
+    return progressive.merged_runs(spark, folder).select("key", "r_id", "s_id", "phase")
+
+
+@query(
+    "stream_acknowledged",
+    f"WITH {_R}, {_S}, a AS (SELECT user_id AS k, ts AS ats FROM events WHERE event_type = 'signup') SELECT r.k AS key, rid AS r_id, sid AS s_id FROM r JOIN s USING (k) WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.k = r.k AND ats >= least(rts, sts) AND ats < greatest(rts, sts))",
+)
+def stream_acknowledged(spark, sf_dir):
+    """A user's signup says that everything of theirs before it is done with."""
+    arrivals = _arrivals(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    acks = replay(spark, *arrivals).where("event_type = 'signup'").select(F.col("user_id").alias("key"), none.alias("side"), none.alias("id"), "ts")
+    with rocksdb(spark):
+        return streams.drain(streams.acknowledged(_arriving(spark, arrivals, "r"), _arriving(spark, arrivals, "s"), acks), every="0 seconds").select("key", "r_id", "s_id")
+
+
+@query(
+    "stream_sampled",
+    f"WITH {_TICK}, {_BOTH} SELECT batch, rid AS r_id, sid AS s_id, n, round(least(20 / n::DOUBLE, 1), 9) AS rate FROM (SELECT *, count(*) OVER (PARTITION BY batch) AS n FROM j) QUALIFY row_number() OVER (PARTITION BY batch ORDER BY md5(rid || ':' || sid), rid, sid) <= 20",
+)
+def stream_sampled(spark, sf_dir):
+    """Twenty of each micro-batch's pairs, and how many there were."""
+    arrivals = _arrivals(spark, sf_dir)
+    pairs = streams.symmetric_hash(_arriving(spark, arrivals, "r"), _arriving(spark, arrivals, "s"))
+    return progressive.sampled_emissions(pairs, 20, shared_path(spark)).select("batch", "r_id", "s_id", "n", F.round("rate", 9).alias("rate"))
+
+
+@query(
+    "stream_in_time",
+    "WITH e AS (SELECT event_id, ts, ts - to_microseconds(CAST(floor(value * 60000000) AS BIGINT)) AS happened FROM events), "
+    f"d AS (SELECT CAST(ceil(quantile_cont(late, 0.9)) AS BIGINT) AS delay FROM (SELECT max(epoch_ms(happened)) OVER (ORDER BY event_id) - epoch_ms(happened) AS late FROM e)), "
+    f"b AS (SELECT *, dense_rank() OVER (ORDER BY (epoch_ms(ts) - (SELECT min(epoch_ms(ts)) FROM e)) // {DAY}) - 1 AS batch FROM e), m AS (SELECT batch, max(epoch_ms(happened)) AS top FROM b GROUP BY batch), "
+    "w AS (SELECT b.*, (SELECT max(top) FROM m WHERE m.batch < b.batch - 1) - delay AS mark FROM b, d) "
+    "SELECT count(*) AS rows, count(*) FILTER (WHERE mark IS NULL OR epoch_us(happened) > mark * 1000) AS kept, count(*) FILTER (WHERE epoch_us(happened) <= mark * 1000) AS dropped, (SELECT delay FROM d) AS delay_ms FROM w",
+)
+def stream_in_time(spark, sf_dir):
+    """Events that tell of what happened some minutes earlier, a day at a time, behind a watermark with a delay that nine of ten rows need at most."""
+    happened = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) - F.floor(F.col("value") * 60_000_000))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), happened.alias("at"))
+    delay = progressive.disorder_delays(e, "at", "event_id", [0.9])[0]
+    stream = replay(spark, laid_out(e, "ts", DAY), e.schema)
+    kept, rates = progressive.in_time(stream, "at", "event_id", delay, shared_path(spark))
+    one = rates.agg(F.sum("rows").alias("rows"), F.sum("dropped").alias("dropped"))
+    return one.join(F.broadcast(kept.agg(F.count("*").alias("kept"))), F.lit(True)).select("rows", "kept", "dropped", F.lit(delay).cast("long").alias("delay_ms"))  # single rows

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.operators.order import following, position, running_sum
@@ -42,12 +42,14 @@ def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def smooth(df: DataFrame, ts: str = "ts", order: str = "rid") -> DataFrame:
-    """Spreads rows of equal ts evenly up to the next one: the j-th of c rows at t, before t', gets t + floor(j (t' - t) / c). The last run stays."""
-    runs = following(df.groupBy(ts).agg(F.count("*").alias("_c")), ts, "_next")
-    j = F.row_number().over(Window.partitionBy(ts).orderBy(order)) - 1
-    moved = F.floor(F.col(ts) + F.col("_j") * ((F.col("_next") - F.col(ts)) / F.col("_c").cast("double"))).cast("long")
-    out = df.withColumn("_j", j).join(runs, ts)
-    return out.withColumn("_t", F.coalesce(moved, F.col(ts))).drop(ts, "_j", "_c", "_next").withColumnRenamed("_t", ts)
+    """Spreads rows of equal ts evenly up to the next one: the j-th of c rows at t, before t', gets t + floor(j (t' - t) / c). The last run stays, and so do
+    rows without a time. A row's place in its run is its place in the whole order less the run's first, so a run of any length is dealt out as well."""
+    placed = position(df.where(F.col(ts).isNotNull()), ts, order, name="_i")
+    runs = following(placed.groupBy(ts).agg(F.count("*").alias("_c"), F.min("_i").alias("_first_i")), ts, "_next")
+    out = placed.join(runs, ts).withColumn("_j", F.col("_i") - F.col("_first_i"))
+    moved = F.floor(F.col(ts) + F.col("_j") * ((F.col("_next") - F.col(ts)) / F.col("_c").cast("double"))).cast(df.schema[ts].dataType)
+    out = out.withColumn(ts, F.coalesce(moved, F.col(ts))).select(df.columns)
+    return out.unionByName(df.where(F.col(ts).isNull()))
 
 
 def round_robin(df: DataFrame, parts: int, *order: str) -> DataFrame:
@@ -70,10 +72,20 @@ def alphabet(spark: SparkSession, size: int, kind: str = "incremental", seed: in
 
 def unique_keys(spark: SparkSession, n: int, seed: int = 12345) -> DataFrame:
     """Keys 1..n, each once, placed by an affine walk over 1..n: rid i gets key (a i + b) mod n + 1, a coprime to n."""
-    a = max(1, int(n * 0.6180339887)) | 1
+    return spark.range(n).select(walked(F.col("id"), n, seed).alias("key"), F.col("id").alias("rid"))
+
+
+def walked(i: Column, n: int, seed: int) -> Column:
+    a = n * 618 // 1000 | 1
     while gcd(a, n) != 1:
         a += 2
-    return spark.range(n).select((F.pmod(F.col("id") * a + seed, F.lit(max(n, 1))) + 1).alias("key"), F.col("id").alias("rid"))
+    return F.pmod(i * a + seed, F.lit(max(n, 1))) + 1
+
+
+def unique_keys_of(df: DataFrame, *order: str, seed: int = 12345) -> DataFrame:
+    """df's rows, each with a key of 1..n of its own, n being the number of rows."""
+    placed = position(df, *order, name="_place")
+    return placed.withColumn("key", walked(F.col("_place"), placed.count(), seed)).drop("_place")
 
 
 primary_keys = unique_keys
@@ -89,6 +101,12 @@ def nonunique_keys(spark: SparkSession, n: int, max_id: int, seed: int = 12345)
     return spark.range(n).select(F.floor(draw(F.col("id"), seed) * max_id).alias("key"), F.col("id").alias("rid"))
 
 
+def nonunique_keys_of(df: DataFrame, max_id: int, *order: str, seed: int = 12345) -> DataFrame:
+    """df's rows, each with a uniform key of 0..max_id - 1 drawn by its place in the order."""
+    placed = position(df, *order, name="_place")
+    return placed.withColumn("key", F.floor(draw(F.col("_place"), seed) * max_id)).drop("_place")
+
+
 def foreign_keys(spark: SparkSession, n: int, max_id: int) -> DataFrame:
     """Keys 1..max_id over and over."""
     return spark.range(n).select((F.col("id") % max_id + 1).alias("key"), F.col("id").alias("rid"))
@@ -112,29 +130,51 @@ def zipf_cdf(spark: SparkSession, size: int, z: float) -> DataFrame:
     return upto.select("i", F.when(F.col("i") == size, F.lit(1.0)).otherwise((F.col("before") + F.col("p")) / F.col("whole")).alias("cdf"))
 
 
-def zipf_keys(spark: SparkSession, n: int, size: int, z: float, seed: int = 12345, kind: str = "permuted") -> DataFrame:
-    """n keys, drawn by inverting the CDF: draws and CDF steps meet in bins of [0, 1), so no draw looks at the whole table."""
-    bins = 4096
+def zipf_steps(spark: SparkSession, size: int, z: float, seed: int = 12345, kind: str = "permuted") -> DataFrame:
+    """(symbol, lo, hi, bin): which draws of [0, 1) are which symbol; a step is in all bins that it touches. There are as many bins as symbols, so a bin
+    holds two steps on average and the table twice as many rows as symbols at most."""
     cdf = staged(zipf_cdf(spark, size, z))
     below = cdf.select((F.col("i") + 1).alias("i"), F.col("cdf").alias("lo"))
     steps = cdf.join(below, "i", "left").fillna(0.0, ["lo"]).join(alphabet(spark, size, kind, seed), "i")
-    last = F.least(F.floor(F.col("cdf") * bins), F.lit(bins - 1))
-    steps = steps.withColumn("bin", F.explode(F.sequence(F.least(F.floor(F.col("lo") * bins), F.lit(bins - 1)), last)))
-    draws = spark.range(n).select(F.col("id").alias("rid"), draw(F.col("id"), seed).alias("u")).withColumn("bin", F.floor(F.col("u") * bins))
-    return draws.join(steps, (draws["bin"] == steps["bin"]) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("cdf"))).select(F.col("symbol").alias("key"), "rid")
+    return staged(steps.select("symbol", "lo", F.col("cdf").alias("hi"), F.explode(F.sequence(bin_of(F.col("lo"), size), bin_of(F.col("cdf"), size))).alias("bin")))
+
+
+def bin_of(u: Column, bins: int) -> Column:
+    return F.least(F.floor(u * bins), F.lit(bins - 1))
+
+
+def drawn(df: DataFrame, index: str, steps: DataFrame, size: int, name: str, seed: int = 12345) -> DataFrame:
+    """Adds `name`: the symbol that the row draws by its index. The draw meets its bin's steps; both are dealt out by bin, and Spark splits the bins that the draws of one
+    task fill."""
+    u = df.withColumn("_u", draw(F.col(index), seed)).withColumn("_bin", bin_of(F.col("_u"), size))
+    own = steps.select(F.col("symbol").alias(name), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("bin").alias("_bin"))
+    return u.join(own, "_bin").where("_u >= _lo AND _u < _hi").select(*df.columns, name)
+
+
+def zipf_keys(spark: SparkSession, n: int, size: int, z: float, seed: int = 12345, kind: str = "permuted") -> DataFrame:
+    """n keys, drawn by inverting the CDF."""
+    return drawn(spark.range(n).select(F.col("id").alias("rid")), "rid", zipf_steps(spark, size, z, seed, kind), size, "key", seed).select("key", "rid")
+
+
+def zipf_keys_of(df: DataFrame, size: int, z: float, *order: str, seed: int = 12345, kind: str = "permuted", name: str = "key") -> DataFrame:
+    """df's rows, each with a skewed key drawn by its place in the order."""
+    placed = position(df, *order, name="_place")
+    return drawn(placed, "_place", zipf_steps(df.sparkSession, size, z, seed, kind), size, name, seed).drop("_place")
 
 
 def uniform_ts(df: DataFrame, step: int, interval: int, rid: str = "rid") -> DataFrame:
-    """ts grows by interval ms every step rows, and is interval at first; interval 0: all 0. rid is dense from 0."""
+    """ts grows by interval ms every step rows, and is interval at first; interval 0: all 0. rid is dense from 0 (`uniform_ts_of` takes any)."""
     return df.withColumn("ts", (interval * (F.floor(F.col(rid) / step) + 1)).cast("long"))
 
 
+def uniform_ts_of(df: DataFrame, step: int, interval: int, *order: str) -> DataFrame:
+    """`uniform_ts` by the row's place in the order."""
+    return uniform_ts(position(df, *order, name="_place"), step, interval, "_place").drop("_place")
+
+
 def zipf_ts(df: DataFrame, window: int, z: float, seed: int = 54321, rid: str = "rid") -> DataFrame:
-    """Arrival in 1..window ms, denser at the start the larger z is, by the row's hash; rids have no part in the order."""
-    spark = df.sparkSession
-    n = df.count()
-    times = zipf_keys(spark, n, window, z, seed, "incremental").select(F.col("rid").alias(rid), F.col("key").alias("ts"))
-    return df.join(times, rid)
+    """Arrival in 1..window ms, denser at the start the larger z is, drawn by the row's place among the rids, which may be sparse, repeated or null."""
+    return zipf_keys_of(df, window, z, rid, seed=seed, kind="incremental", name="ts")
 
 
 def early_share(df: DataFrame, window: int, ts: str = "ts") -> DataFrame:

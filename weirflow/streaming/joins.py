@@ -10,18 +10,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from weirflow.functions.expressions import tumbling
 from weirflow.sources.staging import remove, shared_path
+from weirflow.streaming.replay import laid_out, replay
 
-PAIR = "key long, r_id long, s_id long, r_ts timestamp, s_ts timestamp"
-#: Rows of either side that are paired at once, and groups that a key's rows are dealt to.
-SLICE, SALTS = 256, 4
+SIDES = ("r", "s")
+#: Rows that are read from state at once, pairs that are given out at once, and groups that a key's rows are dealt to.
+SLICE, PAIRS, SALTS = 256, 1 << 16, 4
+#: A place after all others.
+NEVER = 1 << 62
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,13 +36,9 @@ def stream_of(spark: SparkSession, path: str, files_per_batch: int = 1000) -> Da
 
 
 def gated(df: DataFrame, ts: str, tick_ms: int) -> DataFrame:
-    """Arrival gating: df's rows as a stream in which micro-batch k holds what arrived in the k-th `tick_ms` since the first row;
-    rows without a time are there from the start. For use with drain(batches=...), as ticks never end."""
-    spark = df.sparkSession
-    first = df.agg(F.min(F.unix_millis(F.col(ts).cast("timestamp")))).first()[0] or 0
-    tick = F.coalesce(F.floor((F.unix_millis(F.col(ts).cast("timestamp")) - first) / tick_ms), F.lit(0))
-    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load().select(F.col("value").alias("_tick"))
-    return df.withColumn("_at", tick).join(F.broadcast(ticks), F.col("_at") == F.col("_tick")).drop("_at", "_tick")  # one row per batch
+    """Arrival gating: df's rows as a stream in which a micro-batch holds what arrived in the next `tick_ms` in which anything did; rows without a time are there
+    from the start. Each row is read once, see `replay`."""
+    return replay(df.sparkSession, laid_out(df, ts, tick_ms), df.schema)
 
 
 def drain(pairs: DataFrame, schema: str | StructType | None = None, every: str | None = None, batches: int | None = None) -> DataFrame:
@@ -93,85 +92,95 @@ def with_table(r: DataFrame, s: DataFrame) -> DataFrame:
     return s.join(r, "key").select("key", "r_id", "s_id", "r_ts", "s_ts")
 
 
-class SymmetricHash(StatefulProcessor):
-    """A key's rows of both sides as state; each arrival is stored and paired with what came before it from the other side.
-    State is read and pairs are given out in slices, so a key may have any number of rows."""
+class AcknowledgedHash(StatefulProcessor):
+    """A key's rows of both sides, each kept until it is acknowledged (or for `ttl_ms` of processing time), so that what comes later no longer meets it.
+
+    A micro-batch's rows of a key are put in order of time and held together; what is kept from before is read in slices, and pairs are
+    given out in slices, so a key may have any number of rows in state."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sides = {side: handle.getListState(f"side_{side}", "id long, ts timestamp") for side in ("r", "s")}
+        self.kept = {side: handle.getMapState(f"kept_{side}", "place long", "id string, ts timestamp", self.ttl_ms) for side in SIDES}
+        self.places = handle.getValueState("places", "next long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for side, other in (("r", "s"), ("s", "r")):
-                mine = pdf.loc[pdf["side"] == side, ["id", "ts"]]
-                if len(mine) == 0:
-                    continue
-                self.sides[side].appendList(list(mine.itertuples(index=False, name=None)))
-                yield from self._pairs(key[0], mine, side, other)
-
-    def _pairs(self, key, mine: pd.DataFrame, side: str, other: str) -> Iterator[pd.DataFrame]:
-        """mine with all that is kept of the other side, some rows of both at a time."""
-        if not self.sides[other].exists():
-            return
-        kept = iter(self.sides[other].get())
-        while part := list(islice(kept, SLICE)):
-            part = pd.DataFrame(part, columns=["id", "ts"])
-            for lo in range(0, len(mine), SLICE):
-                both = mine.iloc[lo : lo + SLICE].merge(part, how="cross", suffixes=(f"_{side}", f"_{other}"))
-                yield pd.DataFrame({"key": key, "r_id": both["id_r"], "s_id": both["id_s"], "r_ts": both["ts_r"], "s_ts": both["ts_s"]})
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch["kind"] = batch["kind"].map({"r": 0, "s": 1, "a": 2})  # acknowledgements come after what arrives at the same time
+        batch = batch.sort_values(["ts", "kind", "id"], na_position="first", kind="stable", ignore_index=True)
+        acks = batch[batch["kind"] == 2]
+        for side, other in (SIDES, SIDES[::-1]):
+            own = acks[acks["side"].isna() | (acks["side"] == side)]
+            later = batch[batch["kind"] == SIDES.index(other)]
+            gone: list[int] = []
+            for part in self._slices(side):
+                end = ends(part["id"], np.full(len(part), -1), own)
+                yield from meet(key[0], side, part, np.full(len(part), -1), end, later)
+                gone += part["place"][end <= len(batch)].tolist()
+            for place in gone:
+                self.kept[side].removeKey((int(place),))
+            new = batch[batch["kind"] == SIDES.index(side)]
+            end = ends(new["id"], new.index.to_numpy(), own)
+            yield from meet(key[0], side, new, new.index.to_numpy(), end, later)
+            self._keep(side, new[end > len(batch)])
+
+    def _slices(self, side: str) -> Iterator[pd.DataFrame]:
+        entries = iter(self.kept[side].iterator())
+        while part := list(islice(entries, SLICE)):
+            yield pd.DataFrame([(k[0], *v) for k, v in part], columns=["place", "id", "ts"])
+
+    def _keep(self, side: str, rows: pd.DataFrame) -> None:
+        place = self.places.get()[0] if self.places.exists() else 0
+        for row in rows[["id", "ts"]].itertuples(index=False, name=None):
+            self.kept[side].updateValue((place,), tuple(None if pd.isna(x) else x for x in row))
+            place += 1
+        self.places.update((place,))
 
     def close(self) -> None:
         pass
 
 
-def stateful(r: DataFrame, s: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Stream-stream with the state in our own hands, a key's S rows dealt to `salts` groups and its R rows copied to each.
-    Needs the RocksDB state store (see ROCKSDB)."""
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    both = r.select("key", copies.alias("salt"), F.lit("r").alias("side"), F.col("r_id").alias("id"), F.col("r_ts").alias("ts")).unionByName(
-        s.select("key", F.pmod(F.xxhash64("s_id", "s_ts"), F.lit(salts)).cast("int").alias("salt"), F.lit("s").alias("side"), F.col("s_id").alias("id"), F.col("s_ts").alias("ts"))
-    )
-    return both.where("key IS NOT NULL").groupBy("key", "salt").transformWithStateInPandas(SymmetricHash(), PAIR, "append", "none")
-
-
-class WindowHash(SymmetricHash):
-    """SymmetricHash of one window of a key, whose state goes when the watermark passes the window's end. Eager: pairs come out as
-    rows arrive. Deferred: rows are only kept, and all pairs come out at the end, when the timer fires."""
-
-    def __init__(self, eager: bool):
-        self.eager = eager
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.handle = handle
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        self.handle.registerTimer(int(key[2]))
-        if self.eager:
-            yield from super().handleInputRows(key, rows, timerValues)
-            return
-        for pdf in rows:
-            for side, state in self.sides.items():
-                mine = pdf.loc[pdf["side"] == side, ["id", "ts"]]
-                if len(mine):
-                    state.appendList(list(mine.itertuples(index=False, name=None)))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.eager and self.sides["r"].exists():
-            kept = iter(self.sides["r"].get())
-            while part := list(islice(kept, SLICE)):
-                yield from self._pairs(key[0], pd.DataFrame(part, columns=["id", "ts"]), "r", "s")
-        for state in self.sides.values():
-            state.clear()
-
-
-def stateful_windowed(r: DataFrame, s: DataFrame, size_ms: int, late: str = "0 seconds", eager: bool = True, salts: int = SALTS) -> DataFrame:
-    """`stateful` within tumbling windows: r and s are streams whose state is bounded by the windows that the watermark hasn't passed.
-    Rows that arrive after that are dropped, as ever behind a watermark; deferred pairs of a window come out once it is passed."""
+def ends(ids: pd.Series, begin: np.ndarray, acks: pd.DataFrame) -> np.ndarray:
+    """The place of the first acknowledgement after `begin` of each id, or of all (null); NEVER without one."""
+    first = lambda places, at: np.append(places, NEVER)[np.searchsorted(places, at, "right")]
+    out = first(acks.index[acks["id"].isna()].to_numpy(), begin)
+    named = {i: g.index.to_numpy() for i, g in acks[acks["id"].notna()].groupby("id")}
+    for k, i in enumerate(ids):
+        if i in named:
+            out[k] = min(out[k], first(named[i], begin[k]))
+    return out
+
+
+def meet(key, side: str, mine: pd.DataFrame, begin: np.ndarray, end: np.ndarray, later: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Each of mine with the rows of the other side between its begin and its end, some at a time."""
+    places = later.index.to_numpy()
+    lo, hi = np.searchsorted(places, begin, "right"), np.searchsorted(places, end)
+    times = np.maximum(hi - lo, 0)
+    cuts = np.searchsorted(np.cumsum(times), np.arange(PAIRS, int(times.sum()) + 1, PAIRS))
+    for a, b in zip([0, *cuts], [*cuts, len(mine)], strict=True):
+        if not (n := times[a:b]).sum():
+            continue
+        x = np.repeat(np.arange(a, b), n)
+        y = np.repeat(lo[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        of = {side: mine.iloc[x], SIDES[1 - SIDES.index(side)]: later.iloc[y]}
+        yield pd.DataFrame({"key": key, **{f"{k}_{c}": of[k][c].to_numpy() for c in ("id", "ts") for k in SIDES}})[["key", "r_id", "s_id", "r_ts", "s_ts"]]
+
+
+def acknowledged(r: DataFrame, s: DataFrame, acks: DataFrame | None = None, salts: int = SALTS, ttl_ms: int | None = None) -> DataFrame:
+    """Stream-stream join in which a third stream says which rows are done with: acks (key, side, id, ts) takes the rows with that id out of the side's state, all of the key if id is
+    null and of both sides if side is null. Pairs come out when their later member arrives, unless the earlier one was acknowledged before. Within a micro-batch rows
+    count in order of time (null times first; at equal times R, then S, then acknowledgements).
+
+    A key's S rows are dealt to `salts` groups; its R rows and acknowledgements are copied to each. Without acks and ttl_ms Spark's own join (`symmetric_hash`)
+    gives the same pairs and is faster. Ids go as text. Needs the RocksDB state store (see ROCKSDB)."""
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    both = r.select("key", copies.alias("salt"), F.lit("r").alias("side"), F.col("r_id").alias("id"), F.col("r_ts").alias("ts")).unionByName(
-        s.select("key", F.pmod(F.xxhash64("s_id", "s_ts"), F.lit(salts)).cast("int").alias("salt"), F.lit("s").alias("side"), F.col("s_id").alias("id"), F.col("s_ts").alias("ts"))
-    )
-    both = both.where("key IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
-    end = tumbling(F.col("ts"), size_ms) + size_ms
-    return both.withColumn("until", end).groupBy("key", "salt", "until").transformWithStateInPandas(WindowHash(eager), PAIR, "append", "eventTime")
+    one = F.pmod(F.xxhash64("s_id", "s_ts"), F.lit(salts)).cast("int")
+    row = lambda df, kind, salt, side, i, ts: df.select("key", salt.alias("salt"), F.lit(kind).alias("kind"), side.cast("string").alias("side"), F.col(i).cast("string").alias("id"), F.col(ts).alias("ts"))
+    both = row(r, "r", copies, F.lit(None), "r_id", "r_ts").unionByName(row(s, "s", one, F.lit(None), "s_id", "s_ts"))
+    if acks is not None:
+        both = both.unionByName(row(acks, "a", copies, F.col("side"), "id", "ts"))
+    mode = "processingTime" if ttl_ms else "none"
+    kind = r.schema["key"].dataType.simpleString()
+    out = both.where("key IS NOT NULL").groupBy("key", "salt").transformWithStateInPandas(AcknowledgedHash(ttl_ms), f"key {kind}, r_id string, s_id string, r_ts timestamp, s_ts timestamp", "append", mode)
+    return out.withColumns({i: F.col(i).cast(df.schema[i].dataType) for i, df in (("r_id", r), ("s_id", s))})
