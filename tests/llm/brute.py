@@ -55,16 +55,16 @@ def quality_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again)
 
 
-def fingerprint(text):
+def fingerprint(text, size=4):
     words = PLAIN.findall((text or "").translate(LOWER))
     if not words:
         return 0
-    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + size]), 42) for i in range(max(1, len(words) - size + 1))]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def simhash(docs, most=4):
-    prints = [fingerprint(t) for _, t in docs]
+def simhash(docs, most=4, size=4):
+    prints = [fingerprint(t, size) for _, t in docs]
     root = list(range(len(docs)))
 
     def find(i):
@@ -244,3 +244,18 @@ def jaccard(docs, size=3, percent=90):
         members.setdefault(find(i), []).append(doc)
     least = {k: min((d for d in v if d is not None), default=None) for k, v in members.items()}
     return [(doc, len(sets[i]), least[find(i)]) for i, (doc, _) in enumerate(docs)]
+
+
+def near_copies(docs):
+    """(id, least id of its group): fingerprints of five-word shingles within 4 bits, or 0.8 of five-word shingles. Ids are distinct."""
+    root = {doc: doc for doc, _ in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for doc, _, least in [*simhash(docs, size=5), *jaccard(docs, 5, 80)]:
+        a, b = sorted((find(doc), find(least)))
+        root[b] = a
+    return [(doc, find(doc)) for doc, _ in docs]

@@ -23,7 +23,7 @@ has no other. An empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -189,17 +189,24 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: Callable[[DataFrame, str, str], DataFrame] | None = None, **how) -> DataFrame:
     """docs with one document of each group: the one of least id (null after all others). All columns stay.
 
+    also: another way to find groups, (docs, id_col, text_col) -> id and component_id; what either of them links is one group.
+
     Documents meet their verdict by id and text, so rows that share an id are told apart; of rows equal
     in both, one stays.
     """
     key, own_id, own_key = fresh(docs, "text_key"), fresh(docs, "own_id"), fresh(docs, "own_key")
     keyed = docs.withColumn(key, F.xxhash64(text_col))
     ranked = keyed.select(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(key).alias("key")).alias("who"), F.col(text_col).alias("body"))
-    groups = simhash_groups(ranked, "who", "body", **how)
-    stay = written(groups.where("who = component_id").select(F.col("who.id").alias(own_id), F.col("who.key").alias(own_key)))
+    groups = written(simhash_groups(ranked, "who", "body", **how).select("who", "component_id"))
+    stay = groups.where("who = component_id").select("who")
+    if also:
+        links = groups.unionByName(also(ranked, "who", "body").select("who", "component_id")).where("who <> component_id")
+        gone = written(components(links, "who", "component_id").where("node <> root").select(F.col("node").alias("who")))
+        stay = groups.select("who").join(gone, "who", "left_anti")
+    stay = written(stay.select(F.col("who.id").alias(own_id), F.col("who.key").alias(own_key)))
     once = stay.distinct()
     kept = keyed.join(once, keyed[id_col].eqNullSafe(once[own_id]) & (keyed[key] == once[own_key]), "left_semi")
     if stay.count() > once.count():  # rows that are equal in id and text

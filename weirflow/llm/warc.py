@@ -2,14 +2,18 @@
 
 `write_warc` turns each page into a request, a response (or revisit) and a metadata record, made of
 built-in functions, and writes them with Spark's text sink: the separator of WARC records, two line
-ends, is the sink's line separator. Files hold `records_per_file` records at most. They are gzipped as
-a whole, not by record.
+ends, is the sink's line separator. Files hold `records_per_file` records at most, and pages of more than
+`LARGE` bytes go to files of their own with as few records as keep them under `FILE_BYTES` (or one page
+alone). They are gzipped as a whole, not by record.
 
 Of pages with equal payloads (SHA-1 and length) of at least `min_bytes` bytes, the one with the least
 page id is written as response and the others as revisit records that name it and hold no payload.
 
+What is known of repeated payloads is a table of its own, so in the join with it Spark can split the pages
+of one payload among tasks.
+
 `read_warc` parses archives, with gzip of either kind, record by record inside tasks; a file is one
-task's work, as gzip can't be split, and must be under Spark's 2 GB for a binary value.
+task's work, as gzip can't be split, and archives of other writers must be under Spark's 2 GB for a binary value.
 
 `transactions` joins request and metadata records to the response, revisit or resource record through
 WARC-Concurrent-To, in either direction and over one record between, and returns one nested row per
@@ -33,7 +37,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.llm.common import discard, written
+
 RECORDS_PER_FILE = 6000
+#: Bytes of payload beyond which a page is large, and bytes of payloads in a file; 2,000 pages that aren't large are as many.
+LARGE, FILE_BYTES = 1 << 16, 1 << 27
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n"
 
@@ -62,7 +70,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     body = F.coalesce(F.col(payload_col), F.lit(""))
     # a digest is worked out twice instead of moving the payloads once more
     p = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A").alias("url"), body.alias("body"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("bytes"))
+    most = p.agg(F.max("bytes")).first()[0] or 0
     same = p.where(F.col("bytes") >= min_bytes).groupBy("sha", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = written(same)
     p = p.join(same, ["sha", "bytes"], "left").withColumn("digest", base32(F.col("sha")))
     revisit = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     response = _urn(F.lit("response"), F.col("id"), F.col("sha"))
@@ -82,8 +92,13 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         ),
         _record(F.lit("metadata"), _urn(F.lit("metadata"), F.col("id"), F.col("sha"), url), url, date, "application/warc-fields", note, Concurrent_To=response),
     )
-    out = p.select(F.explode(records).alias("value"))
-    out.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    sizes = [(F.col("bytes") <= LARGE, records_per_file)]
+    if most > LARGE:
+        sizes.append((F.col("bytes") > LARGE, min(records_per_file, max(3, 3 * (FILE_BYTES // most)))))
+    for which, in_file in sizes:
+        out = p.where(which).select(F.explode(records).alias("value"))
+        out.write.mode("append").option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", in_file).text(path)
+    discard(same)
 
 
 def _fields(data: bytes) -> list[tuple[str, str]]:
