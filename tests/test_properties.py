@@ -85,3 +85,29 @@ def test_metrics(spark, r, s, every):
     ranked = metrics.ranked(pairs).collect()
     assert sorted(x.i for x in ranked) == list(range(len(ranked)))
     assert len(metrics.latency(pairs).where("latency_ms IS NOT NULL").collect()) >= len(timed)
+
+
+def test_relations_have_as_many_rows_as_asked_for(spark):
+    for rows, copies in ((10, 3), (9, 3), (1, 4), (0, 2), (7, 1)):
+        made = relations.make_relation(spark, relations.RelationSpec(rows, duplicates=copies)).collect()
+        assert sorted(r.rid for r in made) == list(range(rows)) and max(Counter(r.key for r in made).values(), default=0) <= copies
+
+
+def test_what_is_small_counts_bytes_too(spark):
+    from weirflow.operators.strategies import is_small
+
+    df = spark.createDataFrame([(i, "x" * 100, [1, 2]) for i in range(10)], "key long, r_id string, r_ts array<int>")
+    assert is_small(df, 10, 2000) and not is_small(df, 9, 2000) and not is_small(df, 10, 1000) and is_small(df.limit(0), 0, 0)
+
+
+@some
+@given(st.lists(st.tuples(st.integers(0, 1), TIMES), max_size=12), st.lists(st.tuples(st.integers(0, 1), TIMES), max_size=12))
+def test_places_in_order_of_emission(spark, r, s):
+    at = lambda t: None if t is None else AT + timedelta(seconds=t)
+    left = spark.createDataFrame([(k, 1, at(t)) for k, t in r], "key long, r_id long, r_ts timestamp_ntz")
+    right = spark.createDataFrame([(k, 1, at(t)) for k, t in s], "key long, s_id long, s_ts timestamp_ntz")
+    pairs = window_join(left, right, JoinSpec("PRH"))
+    ranked = {x.i: x.emit for x in metrics.ranked(pairs).collect()}
+    n = len(ranked)
+    assert {(x.i, x.emit) for x in metrics.at_share(pairs, 0.5).collect()} == ({(n // 2, ranked[n // 2])} if n else set())
+    assert {(x.share, x.i, x.emit) for x in metrics.time_to(pairs, [0.0, 1.0]).collect()} == ({(0.0, 0, ranked[0]), (1.0, n - 1, ranked[n - 1])} if n else set())

@@ -6,7 +6,9 @@ A pair is emitted when its later member arrives. Matches are ranked in order of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.operators.order import position, running_sum
@@ -32,15 +34,25 @@ def latency(pairs: DataFrame, window_ms: int = 0) -> DataFrame:
     return pairs.withColumn("latency_ms", ms + F.lit(window_ms))
 
 
-def at_share(ranked_pairs: DataFrame, share: float) -> DataFrame:
-    """The match of zero-based place floor(share n): share 0.95 is the 95th percentile."""
-    return ranked_pairs.where(F.col("i") == F.floor(F.col("n") * share))
+def emitted_at(pairs: DataFrame, **places: Callable[[Column], Column]) -> DataFrame:
+    """(name, i, emit) for each named place, a function of the number of matches: the zero-based place i in order of emission, and when that match was emitted.
+    Matches are counted by time first, so what is put in order is one row per time, and no match itself."""
+    counts = emissions(pairs).groupBy("emit").agg(F.count("*").alias("here"))
+    upto = running_sum(counts, "here", "emit", name="before", total="n")
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), of(F.col("n")).cast("long").alias("i")) for name, of in places.items())))
+    found = upto.withColumn("at", wanted).select("before", "here", "emit", "at.*")
+    return found.where((F.col("i") >= F.col("before")) & (F.col("i") < F.col("before") + F.col("here"))).select("name", "i", "emit")
+
+
+def at_share(pairs: DataFrame, share: float) -> DataFrame:
+    """(i, emit) of the match of zero-based place floor(share n): share 0.95 is the 95th percentile."""
+    return emitted_at(pairs, share=lambda n: F.floor(n * share)).select("i", "emit")
 
 
-def time_to(spark: SparkSession, ranked_pairs: DataFrame, shares: list[float]) -> DataFrame:
+def time_to(pairs: DataFrame, shares: list[float]) -> DataFrame:
     """(share, i, emit): when that share of all matches was known; the match of place ceil((n - 1) share)."""
-    p = spark.createDataFrame([(x,) for x in shares], "share double")
-    return ranked_pairs.join(F.broadcast(p), F.col("i") == F.ceil((F.col("n") - 1) * F.col("share")))
+    found = emitted_at(pairs, **{str(x): lambda n, x=x: F.ceil((n - 1) * x) for x in shares})
+    return found.select(F.col("name").cast("double").alias("share"), "i", "emit")
 
 
 def progress(ranked_pairs: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ from weirflow.operators.order import position
 from weirflow.sources.staging import staged
 from weirflow.spec import JoinSpec
 
-#: Rows of R that are sent to every worker at most; two longs and a timestamp each, so under 64 MB.
-BROADCAST_ROWS = 2_000_000
+#: Rows of R that are sent to every worker at most, and the bytes of their values.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 1 << 26
 
 
 def r_side(df: DataFrame, key: str, rid: str, ts: str | None = None) -> DataFrame:
@@ -40,13 +40,18 @@ def pairs(joined: DataFrame) -> DataFrame:
     return joined.select("key", "r_id", "s_id", "r_ts", "s_ts", *(c for c in CARRIED if c in joined.columns))
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has `rows` rows at most; reads no more than that."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether df has `rows` rows and `most` bytes of values at most; reads no more rows than that. Text and binary values count as long as they are, others as 16 bytes or
+    as their text."""
+    kinds = {c: df.schema[c].dataType for c in df.columns}
+    length = lambda c, t: F.octet_length(c) if t.typeName() in ("string", "binary") else F.lit(16) if not hasattr(t, "fields") and not hasattr(t, "elementType") and not hasattr(t, "keyType") else F.octet_length(F.to_json(F.struct(c)))
+    sizes = [F.coalesce(length(c, t), F.lit(0)).cast("long") for c, t in kinds.items()]
+    found = df.select(sum(sizes, F.lit(0).cast("long")).alias("size")).limit(rows + 1).agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    return found.n <= rows and (found["size"] or 0) <= most
 
 
 def broadcast_hash(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
-    """One hash table of R at every worker; S stays where it is. R of more than BROADCAST_ROWS rows is shuffled instead."""
+    """One hash table of R at every worker; S stays where it is. R of more than BROADCAST_ROWS rows or BROADCAST_BYTES bytes is shuffled instead."""
     return pairs(s.join(F.broadcast(r), "key")) if is_small(r) else shuffled_hash(r, s, spec)
 
 
@@ -114,8 +119,8 @@ def content_random(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> D
 
 def handshake(r: DataFrame, s: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     """R and S flow past each other: every slice of R meets every slice of S. Slices meet in cells, by (cell, key), so
-    each side is copied once per slice of the other and no pair of unequal keys is ever looked at."""
-    n = min(spec.workers or 4, 4)
+    each side is copied once per slice of the other (spec.workers of them, 4 unless given) and no pair of unequal keys is ever looked at."""
+    n = spec.workers or 4
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = s.withColumn("sc", F.pmod(F.xxhash64("s_id", "s_ts"), F.lit(n))).withColumn("rc", each)
     right = r.withColumn("rc", F.pmod(F.xxhash64("r_id", "r_ts"), F.lit(n))).withColumn("sc", each)

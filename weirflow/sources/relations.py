@@ -200,8 +200,8 @@ class RelationSpec:
 
 
 def make_relation(spark: SparkSession, spec: RelationSpec) -> DataFrame:
-    """(key, rid, ts) of spec.rows rows; rids are dense from 0 if the copies divide the rows."""
-    base = spec.rows // spec.duplicates
+    """(key, rid, ts) of spec.rows rows; rids are dense from 0. If the copies don't divide the rows, the last key has fewer."""
+    base = -(-spec.rows // spec.duplicates)
     top = spec.max_id or max(base, 1)
     makers = {
         "unique": lambda: unique_keys(spark, base, spec.seed),
@@ -211,7 +211,7 @@ def make_relation(spark: SparkSession, spec: RelationSpec) -> DataFrame:
     }
     df = makers[spec.keys]()
     if spec.duplicates > 1:
-        df = duplicate(df, spec.duplicates)
+        df = duplicate(df, spec.duplicates).where(F.col("rid") < spec.rows)
     if spec.times == "uniform":
         return uniform_ts(df, spec.step, spec.interval)
     if spec.times == "zipf":
@@ -224,6 +224,16 @@ def write_relation(df: DataFrame, path: str) -> None:
     df.select(F.col("key").alias("#KEY"), F.col("rid").alias("VAL")).write.option("header", True).option("sep", " ").option("comment", "~").csv(path)
 
 
+def write_delimited(df: DataFrame, path: str, *columns: str, delimiter: str = ",") -> None:
+    """Headerless lines of the columns as text, as `read_delimited` reads them."""
+    df.select(F.concat_ws(delimiter, *(F.col(c).cast("string") for c in columns)).alias("value")).write.text(path)
+
+
+def read_relation(spark: SparkSession, path: str) -> DataFrame:
+    """(key, rid) of what `write_relation` wrote."""
+    return spark.read.option("header", True).option("sep", " ").option("comment", "~").csv(path).select(F.col("#KEY").cast("long").alias("key"), F.col("VAL").cast("long").alias("rid"))
+
+
 def write_pairs(pairs: DataFrame, path: str, by_key: bool = False) -> None:
     """`key rid` lines of matches; by_key: sorted within each file."""
     out = pairs.select("key", "s_id")
