@@ -217,6 +217,18 @@ def test_language_edges(spark, docs):
     assert many.masks.shape[0] == 2
 
 
+def test_fingerprint_of_a_text_of_megabytes(monkeypatch):
+    """Piece by piece as in one, whatever the pieces; 20 MB."""
+    import re
+
+    text = " ".join(RNG.choices(VOCABULARY + ["\x0b", "\n "], k=4_000_000))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "CUT", re.compile(rb"(?s).{1,3000}[^\x20\x09-\x0d]*"))
+    assert simhash.fingerprint(text) == whole
+    for t in [x for x in TEXTS if x][:40]:
+        assert simhash.fingerprint(t) % 2**64 == brute.fingerprint(t)
+
+
 def test_simhash(docs):
     assert result(simhash.simhash_groups(docs), "doc_id", "fingerprint", "component_id") == expect(brute.simhash(DOCS))
 
@@ -465,6 +477,17 @@ def test_license_labels_against_all_rules(spark, docs):
     assert scan == expect([(i, *brute.license_labels(t, plain, licenses.BASE)) for i, t in DOCS])
 
 
+def test_prose_without_licenses_has_no_labels():
+    """Words that are also names of licenses, in sentences about other things."""
+    for text in (
+        "we went to the epl match", "she learns asl and uses vim", "he sent the license agreement public domain", "the mpl of labor rose", "agpl", "an isc meeting", "the bsl of the region",
+        "public domain images are listed", "a driving license is needed", "my psf score", "upl and zpl printers", "the apache helicopter", "mit students", "the gpl abbreviation", "license plates in the zlib parking lot", "the ofl season",
+    ):
+        assert licenses.scan(text)[2] == [] and licenses.scan(text)[1] == [], text
+    for text, label in (("under the epl license", "epl"), ("EPL 2.0", "epl"), ("licensed under the AGPL", "agpl"), ("License: MPL-2.0", "mpl"), ("released into the public domain", "public-domain"), ("the vim license", "vim"), ("GPL v3", "gpl"), ("distributed under the terms of the LGPL", "lgpl")):
+        assert label in {x[2] for x in licenses.scan(text)[2]}, text
+
+
 def test_every_license_rule_needs_words_and_is_a_pattern_of_its_own():
     from weirflow.llm.license_signatures import SIGNATURES
 

@@ -83,9 +83,12 @@ LICENSES = {
 #: From a license's name and versions: template, priority, weight of the evidence.
 TEMPLATES = [
     ("{name}", 1, 0.6),
-    ("{name} (?:version |v )?(?:{versions})", 2, 0.8),
-    ("(?:released|licensed|distributed|available|published|provided) under (?:the |a |an )?(?:terms of )?(?:the )?{name}(?: (?:version |v )?(?:{versions}))?", 3, 0.95),
+    ("{name} (?:version |v ?)?(?:{versions})", 2, 0.8),
+    ("(?:released|licensed|distributed|available|published|provided) under (?:the |a |an )?(?:terms of )?(?:the )?{name}(?: (?:version |v ?)?(?:{versions}))?", 3, 0.95),
 ]
+#: Names that mean other things too, and so say nothing by themselves: acronyms, and what isn't a license's own name. They count with "license" next to them.
+AMBIGUOUS = re.compile("[a-z]{2,5}|public domain|ms pl|ms rl")
+BESIDE = "{name} licen[cs]e"
 #: The same from an SPDX identifier, in words, and what may follow it.
 TAGS = [
     ("(?:spdx )?license identifier {id}{rest}", 4, 1.0),
@@ -134,10 +137,11 @@ def rules() -> list[Rule]:
         versions = "|".join(sorted(filter(None, versions.split(",")), key=len, reverse=True))
         for name in names.split(","):
             for template, priority, weight in TEMPLATES:
+                template = BESIDE if priority == 1 and AMBIGUOUS.fullmatch(name) else template
                 if versions or "{versions}" not in template:
                     made.append((label, priority, weight, template.format(name=name, versions=versions)))
                 elif priority == SIGNED:  # a license without versions
-                    made.append((label, priority, weight, template.replace("(?: (?:version |v )?(?:{versions}))?", "").format(name=name)))
+                    made.append((label, priority, weight, template.replace("(?: (?:version |v ?)?(?:{versions}))?", "").format(name=name)))
     for label, text in SIGNATURES.items():
         made += [(label, SIGNED, WEAK.get(x, 1.0), re.sub(r"\bW\b", r"\\S+", x)) for x in text.strip().split("\n")]
     for name in sorted(SPDX, key=len, reverse=True):

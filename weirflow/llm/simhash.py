@@ -16,13 +16,15 @@
    every link's effect, and a tile of n rows emits fewer than n rows.
 4. Components of the forest, then one join back to the documents.
 
-Defined results: a text without words, or null, has fingerprint 0, which links like any other.
+Defined results: a text without words, or null, has fingerprint 0, which links like any other. A text of any length takes its own
+bytes and the words of a megabyte.
 Repeated rows get equal results, one each. A null id is never the smallest of a component unless it
 has no other. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,25 +42,29 @@ THREE, TWO = (((0, 21), (21, 21), (42, 22)), 1), (((0, 32), (32, 32)), 2)
 FEW = 1 << 24
 #: Rows of a bucket that a tile holds of each side, about.
 TILE = 1024
+#: A megabyte of text, and the rest of a word that is cut.
+CUT = re.compile(rb"(?s).{1,1000000}[^\x20\x09-\x0d]*")
 
 
 def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    """Signed, as Spark's long has it."""
+    """Signed, as Spark's long has it. A long text is taken a megabyte at a time, with the last words of the one before."""
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z, only ASCII blanks
-    if not words:
-        return 0
-    hash_of = xxhash.xxh64_intdigest
-    if len(words) <= size:
-        value = hash_of(b" ".join(words), seed)
-        return value - (1 << 64) if value >> 63 else value
-    grams = zip(*(words[k:] for k in range(size)), strict=False)
-    h = np.fromiter((hash_of(b" ".join(g), seed) for g in grams), np.uint64, len(words) - size + 1)
-    total = np.zeros(64, np.int64)
-    for part in np.array_split(h, -(-len(h) // 65536)):
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(h), bitorder="little").view(np.int64)[0])
+    data = text.encode("utf-8", "surrogatepass").lower() if text else b""  # bytes: only A-Z, only ASCII blanks
+    hash_of, held, total, many = xxhash.xxh64_intdigest, [], np.zeros(64, np.int64), 0
+    for piece in CUT.finditer(data):
+        held += piece.group().split()
+        grams = zip(*(held[k:] for k in range(size)), strict=False)
+        h = np.fromiter((hash_of(b" ".join(g), seed) for g in grams), np.uint64, max(len(held) - size + 1, 0))
+        many += len(h)
+        for part in np.array_split(h, -(-len(h) // 65536)) if len(h) else []:
+            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        if len(h):
+            held = held[len(h) :]  # the last size - 1 words
+    if many:
+        return int(np.packbits(2 * total > many, bitorder="little").view(np.int64)[0])
+    value = hash_of(b" ".join(held), seed) if held else 0
+    return value - (1 << 64) if value >> 63 else value
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
