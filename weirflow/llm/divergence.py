@@ -71,7 +71,8 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
 
     def frames(times: dict, docs_of: dict) -> Iterator[pd.DataFrame]:
         for (lang, source), own in times.items():
-            yield pd.DataFrame({"lang": lang, "source": source, "term": list(own), "n": list(own.values()), "docs": [docs_of[lang, source][t] for t in own]})
+            if own:
+                yield pd.DataFrame({"lang": [lang] * len(own), "source": [source] * len(own), "term": list(own), "n": list(own.values()), "docs": [docs_of[lang, source][t] for t in own]})
 
     columns = [F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
     parts = docs.select(columns).mapInPandas(count, "lang string, source string, term string, n long, docs long")

@@ -9,8 +9,9 @@ alone). They are gzipped as a whole, not by record.
 Of pages with equal payloads (SHA-1 and length) of at least `min_bytes` bytes, the one with the least
 page id is written as response and the others as revisit records that name it and hold no payload.
 
-What is known of repeated payloads is a table of its own, so in the join with it Spark can split the pages
-of one payload among tasks.
+Which page a revisit names is worked out from ids and digests alone, payloads of more than a hundredth of all pages
+(fewer than a hundred) by broadcast, and joined back by the page's own id. So bodies are dealt out by page, and the
+pages of one payload are many tasks' work.
 
 `read_warc` parses archives, with gzip of either kind, record by record inside tasks; a file is one
 task's work, as gzip can't be split, and archives of other writers must be under Spark's 2 GB for a binary value.
@@ -71,9 +72,14 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     # a digest is worked out twice instead of moving the payloads once more
     p = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A").alias("url"), body.alias("body"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("bytes"))
     most = p.agg(F.max("bytes")).first()[0] or 0
-    same = p.where(F.col("bytes") >= min_bytes).groupBy("sha", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = p.where(F.col("bytes") >= min_bytes).groupBy("sha", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     same = written(same)
-    p = p.join(same, ["sha", "bytes"], "left").withColumn("digest", base32(F.col("sha")))
+    often = F.col("n") > 0.01 * pages.count()
+    hot = F.broadcast(same.where(often).drop("n"))  # fewer than a hundred rows
+    ids = p.where(F.col("id").isNotNull()).select("id", "sha", "bytes")
+    tags = ids.join(hot, ["sha", "bytes"]).unionByName(ids.join(hot, ["sha", "bytes"], "left_anti").join(same.where(~often).drop("n"), ["sha", "bytes"]))
+    tags = written(tags.distinct())
+    p = p.join(tags, ["id", "sha", "bytes"], "left").withColumn("digest", base32(F.col("sha")))
     revisit = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     response = _urn(F.lit("response"), F.col("id"), F.col("sha"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
@@ -99,6 +105,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         out = p.where(which).select(F.explode(records).alias("value"))
         out.write.mode("append").option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", in_file).text(path)
     discard(same)
+    discard(tags)
 
 
 def _fields(data: bytes) -> list[tuple[str, str]]:
