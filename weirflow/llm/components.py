@@ -16,16 +16,20 @@ from pyspark.sql import functions as F
 from weirflow.llm.common import discard, written
 
 
-def _star(links: DataFrame, larger: bool) -> DataFrame:
-    """links: (u, v) with u > v, a written table that goes. Returns links of the same form, without repeats, as a written table."""
+#: Links to a partition, and partitions of few links.
+LINKS, LEAST = 250_000, 8
+
+
+def _star(links: DataFrame, larger: bool, parts: int) -> DataFrame:
+    """links: (u, v) with u > v, a written table that goes; parts: partitions at most. Returns links of the same form, without repeats, as a written table."""
     if larger:  # every node points its larger neighbours to its least one, itself included
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), parts)
         out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # every node points its smaller neighbours, and itself, to the least of them
-        least = written(links.groupBy("u").agg(F.min("v").alias("m")))
+        least = written(links.groupBy("u").agg(F.min("v").alias("m")), parts)
         out = links.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    out = written(out.where("u > v").distinct())
+    out = written(out.where("u > v").distinct(), parts)
     discard(least)
     discard(links)
     return out
@@ -43,6 +47,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if not now[0] or tuple(now) == seal:
             break
         seal = tuple(now)
-        stars = _star(_star(stars, True), False)
+        parts = LEAST + now[0] // LINKS
+        stars = _star(_star(stars, True, parts), False, parts)
     members = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return members.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
