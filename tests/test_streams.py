@@ -107,6 +107,18 @@ def test_state_falls_as_rows_are_acknowledged(spark, rocksdb):
     assert held["with"][-1] <= held["with"][0]
 
 
+def test_state_of_many_keys_is_a_few_entries(spark, rocksdb):
+    """Keys share the entries of a bucket, and groups of one key never do: as many entries as buckets at most, however many keys and rows there are."""
+    rows = [(kind, key, i, AT + timedelta(minutes=i)) for i in range(6) for kind in "rs" for key in range(100)]
+    df = spark.createDataFrame(rows, "kind string, key long, id long, ts timestamp")
+    folder = replay.laid_out(df, "ts", 180_000)
+    of = lambda k: replay.replay(spark, folder, df.schema).where(f"kind = '{k}'").select("key", F.col("id").alias(f"{k}_id"), F.col("ts").alias(f"{k}_ts"))
+    pairs = []
+    reports = progressive.run(streams.acknowledged(of("r"), of("s"), salts=3, buckets=4), lambda df, n: pairs.extend(map(tuple, df.select("key", "r_id", "s_id").collect())))
+    assert Counter(pairs) == Counter((key, a, b) for key in range(100) for a in range(6) for b in range(6))
+    assert max(x.state_rows for x in progressive.batch_rates(reports, spark).collect()) <= 2 * 4
+
+
 def test_gating_shows_rows_when_they_have_arrived(spark):
     rows = [(1, AT), (2, AT + timedelta(milliseconds=999)), (3, AT + timedelta(seconds=1)), (4, AT + timedelta(seconds=3)), (5, None)]
     df = spark.createDataFrame(rows, "id long, ts timestamp")

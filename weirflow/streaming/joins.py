@@ -8,10 +8,10 @@ state is kept for ever, as within one window; `late` bounds it for windowed join
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,8 +21,8 @@ from weirflow.sources.staging import remove, shared_path
 from weirflow.streaming.replay import laid_out, replay
 
 SIDES = ("r", "s")
-#: Rows that are read from state at once, pairs that are given out at once, and groups that a key's rows are dealt to.
-SLICE, PAIRS, SALTS = 256, 1 << 16, 4
+#: Rows that are stored in state as one entry and read at once, pairs that are given out at once, groups that a key's rows are dealt to, and buckets of these groups.
+SLICE, PAIRS, SALTS, BUCKETS = 1 << 14, 1 << 16, 4, 256
 #: A place after all others.
 NEVER = 1 << 62
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -93,87 +93,130 @@ def with_table(r: DataFrame, s: DataFrame) -> DataFrame:
 
 
 class AcknowledgedHash(StatefulProcessor):
-    """A key's rows of both sides, each kept until it is acknowledged (or for `ttl_ms` of processing time), so that what comes later no longer meets it.
+    """The rows of a bucket of keys, of both sides, each kept until it is acknowledged (or for `ttl_ms` of processing time), so that what comes later no longer meets it.
 
-    A micro-batch's rows of a key are put in order of time and held together; what is kept from before is read in slices, and pairs are
-    given out in slices, so a key may have any number of rows in state."""
+    A micro-batch's rows of a bucket are put in order of key and time and held together, and all of its keys are worked on at once. What is kept from before is stored and read in
+    chunks of `SLICE` rows, and pairs are given out in slices, so a key may have any number of rows in state."""
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = {side: handle.getMapState(f"kept_{side}", "place long", "id string, ts timestamp", self.ttl_ms) for side in SIDES}
-        self.places = handle.getValueState("places", "next long")
+        self.kept = {side: handle.getMapState(f"kept_{side}", "chunk long", "rows binary", self.ttl_ms) for side in SIDES}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms else 0
         batch = pd.concat(list(rows), ignore_index=True)
         batch["kind"] = batch["kind"].map({"r": 0, "s": 1, "a": 2})  # acknowledgements come after what arrives at the same time
-        batch = batch.sort_values(["ts", "kind", "id"], na_position="first", kind="stable", ignore_index=True)
+        batch["of"], keys = pd.factorize(batch["key"], use_na_sentinel=False)
+        batch = batch.sort_values(["of", "ts", "kind", "id"], na_position="first", kind="stable", ignore_index=True)
+        batch["born"] = now
+        start, stop = (np.searchsorted(batch["of"].to_numpy(), np.arange(len(keys)), at) for at in ("left", "right"))
         acks = batch[batch["kind"] == 2]
         for side, other in (SIDES, SIDES[::-1]):
             own = acks[acks["side"].isna() | (acks["side"] == side)]
-            later = batch[batch["kind"] == SIDES.index(other)]
-            gone: list[int] = []
-            for part in self._slices(side):
-                end = ends(part["id"], np.full(len(part), -1), own)
-                yield from meet(key[0], side, part, np.full(len(part), -1), end, later)
-                gone += part["place"][end <= len(batch)].tolist()
-            for place in gone:
-                self.kept[side].removeKey((int(place),))
+            later = batch.index[batch["kind"] == SIDES.index(other)].to_numpy()
+            moved: list[pd.DataFrame] = []  # of chunks that have become small, and in the end what is new: written as chunks again
+            chunks = [k[0] for k in self.kept[side].keys()]
+            next_ = max(chunks, default=-1) + 1
+            for chunk in chunks:
+                part = unpacked(self.kept[side].getValue((chunk,))[0])
+                end = np.full(len(part), NEVER)
+                if self.ttl_ms:  # a chunk lives as long as the last of its rows
+                    end[part["born"].to_numpy() + self.ttl_ms <= now] = -1
+                of = pd.Index(keys).get_indexer(part["key"])
+                at = np.flatnonzero((of >= 0) & (end > 0))
+                some, of = part.iloc[at], of[at]
+                end[at] = ends(some["id"], of, start[of] - 1, own, stop, len(batch))
+                yield from meet(side, some, start[of] - 1, np.minimum(end[at], stop[of]), later, batch)
+                left = part[end == NEVER]
+                if len(left) < SLICE // 2:
+                    self.kept[side].removeKey((chunk,))
+                    moved.append(left)
+                elif len(left) < len(part):
+                    self.kept[side].updateValue((chunk,), (packed(left),))
+                if sum(map(len, moved)) >= SLICE:
+                    next_, moved = self._keep(side, next_, moved), []
             new = batch[batch["kind"] == SIDES.index(side)]
-            end = ends(new["id"], new.index.to_numpy(), own)
-            yield from meet(key[0], side, new, new.index.to_numpy(), end, later)
-            self._keep(side, new[end > len(batch)])
-
-    def _slices(self, side: str) -> Iterator[pd.DataFrame]:
-        entries = iter(self.kept[side].iterator())
-        while part := list(islice(entries, SLICE)):
-            yield pd.DataFrame([(k[0], *v) for k, v in part], columns=["place", "id", "ts"])
-
-    def _keep(self, side: str, rows: pd.DataFrame) -> None:
-        place = self.places.get()[0] if self.places.exists() else 0
-        for row in rows[["id", "ts"]].itertuples(index=False, name=None):
-            self.kept[side].updateValue((place,), tuple(None if pd.isna(x) else x for x in row))
-            place += 1
-        self.places.update((place,))
+            of, begin = new["of"].to_numpy(), new.index.to_numpy()
+            end = ends(new["id"], of, begin, own, stop, len(batch))
+            yield from meet(side, new, begin, np.minimum(end, stop[of]), later, batch)
+            self._keep(side, next_, [*moved, new[end == NEVER]])
+
+    def _keep(self, side: str, chunk: int, parts: list[pd.DataFrame]) -> int:
+        """Writes the rows as new chunks from that number on; returns the next one."""
+        rows = pd.concat([p[KEPT] for p in parts if len(p)], ignore_index=True) if any(map(len, parts)) else ()
+        for at in range(0, len(rows), SLICE):
+            self.kept[side].updateValue((chunk,), (packed(rows.iloc[at : at + SLICE]),))
+            chunk += 1
+        return chunk
 
     def close(self) -> None:
         pass
 
 
-def ends(ids: pd.Series, begin: np.ndarray, acks: pd.DataFrame) -> np.ndarray:
-    """The place of the first acknowledgement after `begin` of each id, or of all (null); NEVER without one."""
-    first = lambda places, at: np.append(places, NEVER)[np.searchsorted(places, at, "right")]
-    out = first(acks.index[acks["id"].isna()].to_numpy(), begin)
-    named = {i: g.index.to_numpy() for i, g in acks[acks["id"].notna()].groupby("id")}
-    for k, i in enumerate(ids):
-        if i in named:
-            out[k] = min(out[k], first(named[i], begin[k]))
+#: What is stored of a row; `born` is the processing time of its arrival.
+KEPT = ["key", "id", "ts", "born"]
+
+
+def packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one Arrow stream."""
+    table = pa.Table.from_pandas(rows[KEPT], preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
+def ends(ids: pd.Series, of: np.ndarray, begin: np.ndarray, acks: pd.DataFrame, stop: np.ndarray, size: int) -> np.ndarray:
+    """The place of the first acknowledgement after `begin` of each id of a key, or of all of the key (null); NEVER without one. of: the key's number, whose rows end at `stop`, as
+    in acks; size: places in all."""
+    places = acks.index[acks["id"].isna()].to_numpy()
+    out = np.append(places, NEVER)[np.searchsorted(places, begin, "right")]
+    out = np.where(out < stop[of], out, NEVER)
+    named = acks[acks["id"].notna()]
+    if len(named):
+        code, known = pd.factorize(named["id"])
+        mine = pd.Index(known).get_indexer(ids)
+        both = named["of"].to_numpy() * len(known) + code
+        pairs = np.unique(both)  # of key and id
+        marks = np.sort(np.searchsorted(pairs, both) * (size + 1) + named.index.to_numpy())
+        wanted = of * len(known) + mine
+        rank = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+        next_ = np.append(marks, NEVER)[np.searchsorted(marks, rank * (size + 1) + begin, "right")]
+        hit = (mine >= 0) & (pairs[rank] == wanted) & (next_ // (size + 1) == rank)
+        out = np.where(hit, np.minimum(out, next_ % (size + 1)), out)
     return out
 
 
-def meet(key, side: str, mine: pd.DataFrame, begin: np.ndarray, end: np.ndarray, later: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Each of mine with the rows of the other side between its begin and its end, some at a time."""
-    places = later.index.to_numpy()
-    lo, hi = np.searchsorted(places, begin, "right"), np.searchsorted(places, end)
+def meet(side: str, mine: pd.DataFrame, begin: np.ndarray, end: np.ndarray, later: np.ndarray, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Each of mine with the rows of the other side between its begin and its end, some at a time. later: their places in the batch."""
+    lo, hi = np.searchsorted(later, begin, "right"), np.searchsorted(later, end)
     times = np.maximum(hi - lo, 0)
     cuts = np.searchsorted(np.cumsum(times), np.arange(PAIRS, int(times.sum()) + 1, PAIRS))
     for a, b in zip([0, *cuts], [*cuts, len(mine)], strict=True):
-        if not (n := times[a:b]).sum():
+        n = times[a:b]
+        if not n.sum():
             continue
         x = np.repeat(np.arange(a, b), n)
-        y = np.repeat(lo[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        of = {side: mine.iloc[x], SIDES[1 - SIDES.index(side)]: later.iloc[y]}
-        yield pd.DataFrame({"key": key, **{f"{k}_{c}": of[k][c].to_numpy() for c in ("id", "ts") for k in SIDES}})[["key", "r_id", "s_id", "r_ts", "s_ts"]]
+        y = later[np.repeat(lo[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        of = {side: (mine, x), SIDES[1 - SIDES.index(side)]: (batch, y)}
+        yield pd.DataFrame({"key": mine["key"].to_numpy()[x], **{f"{k}_{c}": of[k][0][c].to_numpy()[of[k][1]] for c in ("id", "ts") for k in SIDES}})[["key", "r_id", "s_id", "r_ts", "s_ts"]]
 
 
-def acknowledged(r: DataFrame, s: DataFrame, acks: DataFrame | None = None, salts: int = SALTS, ttl_ms: int | None = None) -> DataFrame:
+def acknowledged(r: DataFrame, s: DataFrame, acks: DataFrame | None = None, salts: int = SALTS, ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Stream-stream join in which a third stream says which rows are done with: acks (key, side, id, ts) takes the rows with that id out of the side's state, all of the key if id is
     null and of both sides if side is null. Pairs come out when their later member arrives, unless the earlier one was acknowledged before. Within a micro-batch rows
     count in order of time (null times first; at equal times R, then S, then acknowledgements).
 
-    A key's S rows are dealt to `salts` groups; its R rows and acknowledgements are copied to each. Without acks and ttl_ms Spark's own join (`symmetric_hash`)
+    A key's S rows are dealt to `salts` groups; its R rows and acknowledgements are copied to each. Groups are dealt to `buckets`, each the work of one call per micro-batch, which
+    holds the micro-batch's rows of its keys. Without acks and ttl_ms Spark's own join (`symmetric_hash`)
     gives the same pairs and is faster. Ids go as text. Needs the RocksDB state store (see ROCKSDB)."""
+    buckets = max(buckets, salts)
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     one = F.pmod(F.xxhash64("s_id", "s_ts"), F.lit(salts)).cast("int")
     row = lambda df, kind, salt, side, i, ts: df.select("key", salt.alias("salt"), F.lit(kind).alias("kind"), side.cast("string").alias("side"), F.col(i).cast("string").alias("id"), F.col(ts).alias("ts"))
@@ -182,5 +225,6 @@ def acknowledged(r: DataFrame, s: DataFrame, acks: DataFrame | None = None, salt
         both = both.unionByName(row(acks, "a", copies, F.col("side"), "id", "ts"))
     mode = "processingTime" if ttl_ms else "none"
     kind = r.schema["key"].dataType.simpleString()
-    out = both.where("key IS NOT NULL").groupBy("key", "salt").transformWithStateInPandas(AcknowledgedHash(ttl_ms), f"key {kind}, r_id string, s_id string, r_ts timestamp, s_ts timestamp", "append", mode)
+    both = both.where("key IS NOT NULL").withColumn("bucket", F.pmod(F.pmod(F.xxhash64("key"), F.lit(buckets)) + F.col("salt"), F.lit(buckets))).drop("salt")  # a key's groups are in buckets of their own
+    out = both.groupBy("bucket").transformWithStateInPandas(AcknowledgedHash(ttl_ms), f"key {kind}, r_id string, s_id string, r_ts timestamp, s_ts timestamp", "append", mode)
     return out.withColumns({i: F.col(i).cast(df.schema[i].dataType) for i, df in (("r_id", r), ("s_id", s))})
