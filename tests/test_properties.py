@@ -111,3 +111,15 @@ def test_places_in_order_of_emission(spark, r, s):
     n = len(ranked)
     assert {(x.i, x.emit) for x in metrics.at_share(pairs, 0.5).collect()} == ({(n // 2, ranked[n // 2])} if n else set())
     assert {(x.share, x.i, x.emit) for x in metrics.time_to(pairs, [0.0, 1.0]).collect()} == ({(0.0, 0, ranked[0]), (1.0, n - 1, ranked[n - 1])} if n else set())
+
+
+def test_smooth_before_1970_is_its_sql(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from oracle import same
+
+    from weirflow.plans import catalog
+
+    rows = [(i, datetime(1969, 12, 1) + timedelta(minutes=37 * i * (1 + i % 3))) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    same(catalog.QUERIES["smooth"](spark, str(tmp_path)), catalog.SQL["smooth"], str(tmp_path))
