@@ -575,3 +575,10 @@ def test_empty_tables(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     same(queries.QUERIES[name](spark, SMALL), queries.SQL[name])
+
+
+def test_least_share_is_of_all_labelled_rows(spark):
+    rows = [(i, "x", "en", "en", i / 3000) for i in range(1, 3001)] + [(0, "x", "en", "de", 0.0), (None, "x", "en", "en", 0.0), (4000, "x", None, "en", 0.0)]
+    judged = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, share double")
+    assert langid.least_share(judged) == langid.MARGIN * 3 / 3000
+    assert langid.least_share(judged.limit(0)) == 0.0

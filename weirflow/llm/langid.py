@@ -1,7 +1,7 @@
 """Language ID by language-bitmask n-gram filters.
 
 Training. Of each language, documents are taken by the hash of their id until about `train_docs` of
-them (the documented bound; all, if there are fewer). Their n-grams (bytes of the lower-cased text,
+them (the documented bound; all, if there are fewer, or if it is None, as in the pipeline). Their n-grams (bytes of the lower-cased text,
 `GRAMS` long) are counted by language, and a language contains an n-gram if that makes up at least
 `min_share` of its n-grams. So a language has at most 1 / min_share n-grams, however large the corpus,
 and only those reach the driver.
@@ -18,7 +18,7 @@ sum of all languages' numbers is the score. Only the text is looked at.
 
 Known share. The score compares languages with each other, so it is high even where one n-gram in a
 thousand is known. The largest number over N says how much of the text the language knows; `least_share`
-takes from the training rows what texts of the learned languages have at least.
+takes from all labelled rows what texts of the learned languages have at least.
 
 Defined results: null, or no letter at all: `und`, score 0; so is everything if nothing can be learned.
 Languages with equal numbers: the first by code point. Repeated rows are judged one by one, null ids
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import fresh, written
+from weirflow.operators.order import running_sum
 
 GRAMS = (3, 4)
 HASHES = 3
@@ -46,7 +47,7 @@ CELLS_PER_GRAM = 12
 MOST_BYTES, MOST_LANGUAGES = 512 << 20, 1000
 #: Characters whose n-grams are looked up at once. Longer texts are cut there, and all pieces count.
 CHUNK = 1 << 18
-#: Training rows below this quantile of known shares may be wrongly labelled; texts are in no learned language below this part of it.
+#: Labelled rows below this quantile of known shares may be wrongly labelled; texts are in no learned language below this part of it.
 QUANTILE, MARGIN = 0.001, 0.5
 
 
@@ -147,21 +148,23 @@ class Filter:
         return label, score, share
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int) -> tuple[dict[str, int], DataFrame | None]:
-    """Labelled rows of each language, and those taken to learn from (id, t, lang); none without labels."""
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int | None) -> tuple[dict[str, int], DataFrame | None]:
+    """Labelled rows of each language, and those taken to learn from (id, t, lang), all of them if train_docs is None; none without labels."""
     seen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where("id IS NOT NULL AND t IS NOT NULL AND lang IS NOT NULL")
     per = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(per) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} labels; they are hardly languages")
     if not per:
         return per, None
+    if train_docs is None:
+        return per, seen
     rank = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     part = F.coalesce(*(F.when(F.col("lang") == k, F.lit(int(min(1.0, train_docs / n) * (1 << 20)))) for k, n in per.items()))
     return per, seen.where(rank < part)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, min_share: float = MIN_SHARE) -> Filter:
-    """docs: labelled rows only to learn from. At most about `train_docs` of a language are read whole."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int | None = TRAIN_DOCS, min_share: float = MIN_SHARE) -> Filter:
+    """docs: labelled rows only to learn from. At most about `train_docs` of a language are read whole; None: all of them, which costs time in proportion and no more memory."""
     per, sample = training_rows(docs, id_col, text_col, lang_col, train_docs)
     if sample is None:
         return Filter([], {})
@@ -184,13 +187,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Filter(sorted(per), found)
 
 
-def least_share(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> float:
-    """The known share below which a text is in no learned language: MARGIN of the training rows' QUANTILE, of those judged as labelled."""
-    _, sample = training_rows(docs, id_col, text_col, lang_col, train_docs)
-    if sample is None:
-        return 0.0
-    found = detect(sample, model, "t", into=("lang_pred", "score", "share")).where("lang_pred = lang")
-    return MARGIN * (found.agg(F.percentile_approx("share", QUANTILE, 100_000)).first()[0] or 0.0)
+def least_share(judged: DataFrame, pred_col: str = "lang_pred", share_col: str = "share", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The known share below which a text is in no learned language: MARGIN of the QUANTILE of all labelled rows that are judged as labelled, exactly. judged: the rows with
+    what `detect` found. Rows are counted by share first, so no task has all of them."""
+    own = judged.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(pred_col) == F.col(lang_col)))
+    counts = own.groupBy(F.col(share_col).alias("share")).agg(F.count("*").alias("n"))
+    upto = running_sum(counts, "n", "share", name="before", total="whole")
+    # the least share that at least QUANTILE of the rows don't exceed
+    return MARGIN * (upto.where(F.col("before") + F.col("n") >= F.ceil(F.col("whole") * F.lit(QUANTILE))).agg(F.min("share")).first()[0] or 0.0)
 
 
 def detect(docs: DataFrame, model: Filter, text_col: str = "text", into: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
