@@ -182,3 +182,12 @@ def test_clustered_tables_are_joined_where_they_lie(spark, write):
         assert "Exchange" not in plan and "SortMergeJoin" in plan and "Bucketed: true" in plan
     assert rows(joined.toPandas()) == rows(s.join(r, "key").toPandas())
     assert per.agg(F.sum("n")).first()[0] == joined.count()
+
+
+def test_rows_of_one_place_come_together(spark):
+    rows = [(1, AT_), (1, AT_.replace(minute=5)), (2, AT_.replace(minute=1))]
+    df = spark.createDataFrame(rows, "id long, at timestamp")
+    assert progressive.disorder_delays(df, "at", "id", [0.0, 0.5, 1.0]) == [0, 240_000, 300_000]
+
+
+AT_ = __import__("datetime").datetime(2024, 1, 1)

@@ -165,7 +165,7 @@ def disorder_delays(df: DataFrame, ts: str, place: str, shares: list[float]) ->
     laid = in_ranges(df.where(F.col(ts).isNotNull()).select(ms.alias("ms"), F.col(place).alias("place")), "place")
     tops = laid.groupBy("_b").agg(F.max("ms").alias("top"))
     tops = tops.select("_b", F.max("top").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("top"))  # a row per range
-    here = F.max("ms").over(Window.partitionBy("_b").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
+    here = F.max("ms").over(Window.partitionBy("_b").orderBy("place"))  # rows of one place came together, and share a range
     late = laid.withColumn("here", here).join(F.broadcast(tops), "_b").select((F.greatest("here", F.coalesce("top", "here")) - F.col("ms")).alias("late"))
     counts = late.groupBy("late").agg(F.count("*").alias("n"))
     found = counts.agg(*(F.percentile(F.col("late"), F.lit(x), F.col("n")).alias(f"d{i}") for i, x in enumerate(shares))).first()
