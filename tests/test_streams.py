@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weirflow.operators import metrics
@@ -119,6 +120,56 @@ def test_state_of_many_keys_is_a_few_entries(spark, rocksdb):
     assert max(x.state_rows for x in progressive.batch_rates(reports, spark).collect()) <= 2 * 4
 
 
+def test_the_stateful_operator_is_given_few_rows(spark, rocksdb):
+    """It takes rows to Python one by one, so they come as bundles: as many as buckets and tasks ask for, not as there are rows, and as many rows come out of them."""
+    rows = [(key, i, AT + timedelta(minutes=i)) for i in range(100) for key in range(8)]
+    df = spark.createDataFrame(rows, "key long, id long, ts timestamp")
+    folder = replay.laid_out(df, "ts", 86_400_000)
+    of = lambda k: replay.replay(spark, folder, df.schema).select("key", F.col("id").alias(f"{k}_id"), F.col("ts").alias(f"{k}_ts"))
+    joined = streams.acknowledged(of("r"), of("s"), salts=2, buckets=2)
+    query = joined.writeStream.format("memory").queryName("few").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("few").count() == 8 * 100 * 100
+    plan = query._jsq.streamingQuery().lastExecution().executedPlan()
+    todo, read = [plan], []
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName().startswith("TransformWithState"):
+            below = node.children().apply(0)
+            while below.nodeName() != "Exchange":
+                below = below.children().apply(0)
+            read.append(below.metrics().apply("shuffleRecordsWritten").value())
+    assert len(read) == 1 and 0 < read[0] <= 240 < 8 * 100 * 3
+
+
+def test_bundles_hold_every_row_once():
+    n = 100_000
+    whole = pa.table({"bucket": [i * 7 % 5 for i in range(n)], "id": [None if i % 11 == 0 else str(i) for i in range(n)]})
+    out = list(streams.bundled(iter([pa.RecordBatch.from_pylist([], schema=whole.schema), *whole.to_batches(max_chunksize=999)]), 128))
+    got = [(b, pa.ipc.open_stream(x).read_all()) for batch in out for b, x in zip(batch["bucket"].to_pylist(), batch["bundle"].to_pylist(), strict=True)]
+    assert max(len(t) for _, t in got) <= 128 and len(got) < n / 100
+    assert Counter((b, i) for b, t in got for i in t["id"].to_pylist()) == Counter(zip(whole["bucket"].to_pylist(), whole["id"].to_pylist(), strict=True))
+    wide = pa.table({"bucket": [1] * 50, "id": ["x" * 5000] * 50})
+    assert max(len(t) for t in (pa.ipc.open_stream(x).read_all() for batch in streams.bundled(iter(wide.to_batches()), 128) for x in batch["bundle"].to_pylist())) == 1
+
+
+def test_order_of_arrival_does_not_depend_on_the_time_zone(spark, tmp_path, rocksdb):
+    """In the hour that comes twice: R at 1:30, its acknowledgement at 1:45, then S at 1:10 by the clock that was put back."""
+    rows = [(kind, key, 1, datetime(2024, 11, 3, hour, minute)) for key in (1, 2) for kind, hour, minute in (("r", 5, 30), ("a", 5, 45), ("s", 6, 10)) if (kind, key) != ("a", 2)]
+    df = spark.createDataFrame(rows, "kind string, key long, id long, ts timestamp_ntz").withColumn("ts", F.col("ts").cast("timestamp"))  # the session is in UTC
+    df.coalesce(1).write.parquet(str(tmp_path / "all"))
+    files = lambda k: spark.readStream.schema(df.schema).parquet(str(tmp_path / "all")).where(f"kind = '{k}'")
+    of = lambda k: files(k).select("key", F.col("id").alias(f"{k}_id"), F.col("ts").alias(f"{k}_ts"))
+    none = F.lit(None).cast("string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = streams.drain(streams.acknowledged(of("r"), of("s"), files("a").select("key", none.alias("side"), none.alias("id"), "ts"), salts=1))
+        assert [tuple(x) for x in got.select("key", F.unix_micros("r_ts"), F.unix_micros("s_ts")).collect()] == [(2, 1730611800000000, 1730614200000000)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_gating_shows_rows_when_they_have_arrived(spark):
     rows = [(1, AT), (2, AT + timedelta(milliseconds=999)), (3, AT + timedelta(seconds=1)), (4, AT + timedelta(seconds=3)), (5, None)]
     df = spark.createDataFrame(rows, "id long, ts timestamp")

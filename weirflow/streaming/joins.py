@@ -8,10 +8,13 @@ state is kept for ever, as within one window; `late` bounds it for windowed join
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,8 +26,10 @@ from weirflow.streaming.replay import laid_out, replay
 SIDES = ("r", "s")
 #: Rows that are stored in state as one entry and read at once, pairs that are given out at once, groups that a key's rows are dealt to, and buckets of these groups.
 SLICE, PAIRS, SALTS, BUCKETS = 1 << 14, 1 << 16, 4, 256
-#: A place after all others.
-NEVER = 1 << 62
+#: Rows and bytes of a bucket that go to its work as one bundle, about, and rows that a task makes bundles of at a time.
+BUNDLE, BUNDLE_BYTES, HELD = 128, 1 << 13, 1 << 16
+#: A place after all others, and the time (in microseconds) of rows without one.
+NEVER, UNTIMED = 1 << 62, -(1 << 62)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -106,10 +111,9 @@ class AcknowledgedHash(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms else 0
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch["kind"] = batch["kind"].map({"r": 0, "s": 1, "a": 2})  # acknowledgements come after what arrives at the same time
+        batch = pa.concat_tables(pa.ipc.open_stream(b).read_all() for some in rows for b in some["bundle"]).to_pandas()
         batch["of"], keys = pd.factorize(batch["key"], use_na_sentinel=False)
-        batch = batch.sort_values(["of", "ts", "kind", "id"], na_position="first", kind="stable", ignore_index=True)
+        batch = batch.iloc[np.lexsort((batch["kind"], batch["ts"], batch["of"]))].reset_index(drop=True)
         batch["born"] = now
         start, stop = (np.searchsorted(batch["of"].to_numpy(), np.arange(len(keys)), at) for at in ("left", "right"))
         acks = batch[batch["kind"] == 2]
@@ -155,13 +159,33 @@ class AcknowledgedHash(StatefulProcessor):
         pass
 
 
+def bundled(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows as bundles of one bucket, each an Arrow stream of `most` rows at most, fewer if rows are large: the stateful operator takes its input to Python row by row, so it is given few."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        held += [] if batch is None else [batch]
+        if not sum(b.num_rows for b in held) or batch is not None and sum(b.num_rows for b in held) < HELD:
+            continue
+        rows = pa.Table.from_batches(held)
+        held = []
+        rows = rows.take(pc.sort_indices(rows["bucket"])).combine_chunks()
+        size = max(1, min(most, BUNDLE_BYTES * len(rows) // rows.nbytes))
+        of, rows = rows["bucket"].to_numpy(), rows.drop_columns(["bucket"])
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        cuts = [(a, min(a + size, end)) for begin, end in zip(first, [*first[1:], len(of)], strict=True) for a in range(begin, end, size)]
+        yield pa.RecordBatch.from_arrays([pa.array(of[[a for a, _ in cuts]]), pa.array([streamed(rows.slice(a, b - a)) for a, b in cuts], pa.binary())], ["bucket", "bundle"])
+
+
 #: What is stored of a row; `born` is the processing time of its arrival.
 KEPT = ["key", "id", "ts", "born"]
 
 
 def packed(rows: pd.DataFrame) -> bytes:
     """Rows as one Arrow stream."""
-    table = pa.Table.from_pandas(rows[KEPT], preserve_index=False)
+    return streamed(pa.Table.from_pandas(rows[KEPT], preserve_index=False))
+
+
+def streamed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
@@ -214,17 +238,20 @@ def acknowledged(r: DataFrame, s: DataFrame, acks: DataFrame | None = None, salt
     count in order of time (null times first; at equal times R, then S, then acknowledgements).
 
     A key's S rows are dealt to `salts` groups; its R rows and acknowledgements are copied to each. Groups are dealt to `buckets`, each the work of one call per micro-batch, which
-    holds the micro-batch's rows of its keys. Without acks and ttl_ms Spark's own join (`symmetric_hash`)
+    holds the micro-batch's rows of its keys; they come in bundles. Times go as microseconds, whatever the session's time zone. Without acks and ttl_ms Spark's own join (`symmetric_hash`)
     gives the same pairs and is faster. Ids go as text. Needs the RocksDB state store (see ROCKSDB)."""
     buckets = max(buckets, salts)
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     one = F.pmod(F.xxhash64("s_id", "s_ts"), F.lit(salts)).cast("int")
-    row = lambda df, kind, salt, side, i, ts: df.select("key", salt.alias("salt"), F.lit(kind).alias("kind"), side.cast("string").alias("side"), F.col(i).cast("string").alias("id"), F.col(ts).alias("ts"))
-    both = row(r, "r", copies, F.lit(None), "r_id", "r_ts").unionByName(row(s, "s", one, F.lit(None), "s_id", "s_ts"))
-    if acks is not None:
-        both = both.unionByName(row(acks, "a", copies, F.col("side"), "id", "ts"))
+    micros = lambda ts: F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(UNTIMED))
+    row = lambda df, kind, salt, side, i, ts: df.select("key", salt.alias("salt"), F.lit(kind).cast("byte").alias("kind"), side.cast("string").alias("side"), F.col(i).cast("string").alias("id"), micros(ts).alias("ts"))
+    both = row(r, 0, copies, F.lit(None), "r_id", "r_ts").unionByName(row(s, 1, one, F.lit(None), "s_id", "s_ts"))
+    if acks is not None:  # they come after what arrives at the same time
+        both = both.unionByName(row(acks, 2, copies, F.col("side"), "id", "ts"))
     mode = "processingTime" if ttl_ms else "none"
     kind = r.schema["key"].dataType.simpleString()
     both = both.where("key IS NOT NULL").withColumn("bucket", F.pmod(F.pmod(F.xxhash64("key"), F.lit(buckets)) + F.col("salt"), F.lit(buckets))).drop("salt")  # a key's groups are in buckets of their own
-    out = both.groupBy("bucket").transformWithStateInPandas(AcknowledgedHash(ttl_ms), f"key {kind}, r_id string, s_id string, r_ts timestamp, s_ts timestamp", "append", mode)
+    bundles = both.mapInArrow(partial(bundled, most=BUNDLE), "bucket long, bundle binary")
+    out = bundles.groupBy("bucket").transformWithStateInPandas(AcknowledgedHash(ttl_ms), f"key {kind}, r_id string, s_id string, r_ts long, s_ts long", "append", mode)
+    out = out.withColumns({t: F.timestamp_micros(F.nullif(F.col(t), F.lit(UNTIMED))) for t in ("r_ts", "s_ts")})
     return out.withColumns({i: F.col(i).cast(df.schema[i].dataType) for i, df in (("r_id", r), ("s_id", s))})
