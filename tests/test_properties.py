@@ -123,3 +123,15 @@ def test_smooth_before_1970_is_its_sql(spark, tmp_path):
     rows = [(i, datetime(1969, 12, 1) + timedelta(minutes=37 * i * (1 + i % 3))) for i in range(60)]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     same(catalog.QUERIES["smooth"](spark, str(tmp_path)), catalog.SQL["smooth"], str(tmp_path))
+
+
+def test_smooth_takes_the_nearest_millisecond_as_its_sql(spark, tmp_path):
+    """Times half a millisecond or less before an hour, on both sides of 1970, are of that hour."""
+    from oracle import same
+
+    from weirflow.plans import catalog
+
+    at = lambda hour, us: datetime(1970, 1, 1) + timedelta(hours=hour, microseconds=us)
+    times = [at(h, us) for h in (-9, -1, 0, 1, 7, 12) for us in (-1001, -1000, -501, -500, -499, -1, 0, 1, 499, 500, 501)] + [None]
+    spark.createDataFrame(list(enumerate(times)), "event_id long, ts timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    same(catalog.QUERIES["smooth"](spark, str(tmp_path)), catalog.SQL["smooth"], str(tmp_path))

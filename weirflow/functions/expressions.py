@@ -26,6 +26,12 @@ def next_power_of_two(x: Column) -> Column:
     return F.when(x <= 1, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(x.cast("double"))))).cast("long")
 
 
+def epoch_ms(ts: Column) -> Column:
+    """The nearest millisecond since the epoch, halves away from zero, as SQL's epoch_ms has it; `unix_millis` takes the one below."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    return F.call_function("div", us + F.when(us < 0, F.lit(-500)).otherwise(F.lit(500)), F.lit(1000))
+
+
 def tumbling(ts: Column, window_ms: int) -> Column:
     """The start of the tumbling window, aligned to the epoch, in milliseconds."""
     ms = F.unix_millis(ts.cast("timestamp"))

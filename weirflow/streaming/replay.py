@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from weirflow.functions.expressions import epoch_ms
 from weirflow.sources.staging import shared_path
 
 #: Below every tick.
@@ -26,7 +27,7 @@ BEFORE = -(1 << 62)
 
 def laid_out(df: DataFrame, ts: str, tick_ms: int) -> str:
     """Writes df by ticks of `tick_ms` since its first time, and returns the folder. Rows without a time are there from the start."""
-    ms = F.unix_millis(F.col(ts).cast("timestamp"))
+    ms = epoch_ms(F.col(ts))
     first = df.agg(F.min(ms).alias("_first"))  # a single row
     tick = F.coalesce(F.floor((ms - F.col("_first")) / tick_ms), F.lit(0))
     timed = df.join(F.broadcast(first), F.lit(True)).withColumn("_tick", tick).drop("_first")
