@@ -190,4 +190,15 @@ def test_rows_of_one_place_come_together(spark):
     assert progressive.disorder_delays(df, "at", "id", [0.0, 0.5, 1.0]) == [0, 240_000, 300_000]
 
 
+@pytest.mark.parametrize("year", [1960, 2024])
+def test_late_rows_are_those_of_the_sql(spark, tmp_path, year):
+    """Microseconds, repeated ids, rows repeated as a whole, and rows that are late by half a millisecond more or less than the watermark allows."""
+    from oracle import same
+
+    rng = random.Random(year)
+    made = [(rng.randrange(400), datetime(year, 1, 1) + timedelta(days=i // 60, microseconds=rng.randrange(10**6)), rng.choice([0.0, rng.random() / 1e4, 30.0])) for i in range(360)]
+    spark.createDataFrame([*made, *made[::3]], "event_id long, ts timestamp_ntz, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    same(catalog.QUERIES["stream_in_time"](spark, str(tmp_path)), catalog.SQL["stream_in_time"], str(tmp_path))
+
+
 AT_ = __import__("datetime").datetime(2024, 1, 1)

@@ -7,14 +7,19 @@ it has left, so a batch that is run again after a failure changes nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil, floor, fma
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from weirflow.functions.expressions import epoch_ms
 from weirflow.sources.staging import shared_path
 from weirflow.streaming.joins import symmetric_hash
 
+#: Microseconds by which times are put off under a watermark.
+LATER = 1 << 58
+
 
 class Progress(StreamingQueryListener):
     """Keeps what each micro-batch of one query reports."""
@@ -159,22 +164,34 @@ def sampled_emissions(pairs: DataFrame, size: int, folder: str, checkpoint: str
 def disorder_delays(df: DataFrame, ts: str, place: str, shares: list[float]) -> list[int]:
     """Milliseconds by which rows come after a later one has come, at most, for these shares of the rows: the delays that a watermark must allow for so many to be in
     time. place: the order of arrival. What came before a row is looked up by ranges of places, so no task has all rows."""
-    from weirflow.operators.order import in_ranges
+    from weirflow.operators.order import in_ranges, running_sum
 
-    ms = F.unix_millis(F.col(ts).cast("timestamp"))
+    ms = epoch_ms(F.col(ts))
     laid = in_ranges(df.where(F.col(ts).isNotNull()).select(ms.alias("ms"), F.col(place).alias("place")), "place")
     tops = laid.groupBy("_b").agg(F.max("ms").alias("top"))
     tops = tops.select("_b", F.max("top").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("top"))  # a row per range
     here = F.max("ms").over(Window.partitionBy("_b").orderBy("place"))  # rows of one place came together, and share a range
     late = laid.withColumn("here", here).join(F.broadcast(tops), "_b").select((F.greatest("here", F.coalesce("top", "here")) - F.col("ms")).alias("late"))
-    counts = late.groupBy("late").agg(F.count("*").alias("n"))
-    found = counts.agg(*(F.percentile(F.col("late"), F.lit(x), F.col("n")).alias(f"d{i}") for i, x in enumerate(shares))).first()
-    return [int(-(-(x or 0) // 1)) for x in found]
+    upto = running_sum(late.groupBy("late").agg(F.count("*").alias("n")), "n", "late", name="before", total="whole")
+    rows = upto.agg(F.max("whole")).first()[0]
+    if not rows:
+        return [0 for _ in shares]
+    places = [x * (rows - 1) for x in shares]
+    ends = sorted({f(p) for p in places for f in (floor, ceil)})
+    at = F.explode(F.filter(F.array(*map(F.lit, ends)), lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("n"))))
+    late_at = {r["place"]: float(r["late"]) for r in upto.select(at.alias("place"), "late").collect()}  # two rows a share
+    between = lambda p: fma(late_at[floor(p)], 1 - (p - floor(p)), late_at[ceil(p)] * (p - floor(p)))  # noqa: E731  rounded as DuckDB's quantile_cont is
+    return [ceil(between(p)) for p in places]
 
 
 def in_time(stream: DataFrame, ts: str, row: str, delay_ms: int, folder: str, checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows that a watermark with that delay lets through, each once by its id `row`, and `batch_rates` of the run, in which `dropped` is the state operator's own count of
-    rows that came too late: all rows = kept + dropped, if ids don't repeat. Rows without a time are left out."""
-    kept = stream.where(F.col(ts).isNotNull()).withWatermark(ts, f"{delay_ms} milliseconds").dropDuplicates([row, ts])
-    reports = run(kept, lambda df, number: df.write.mode("overwrite").parquet(_part(folder, number)), checkpoint)
+    rows that came too late: all rows = kept + dropped, if ids don't repeat. Rows without a time are left out.
+
+    The watermark is the latest time to the nearest millisecond less the delay. Spark takes the millisecond below, so a time of the second half of one counts as the next
+    one, which makes none late that isn't; and as Spark's watermark begins in 1970, all times are put off by thousands of years."""
+    us = F.greatest(F.unix_micros(F.col(ts).cast("timestamp")), epoch_ms(F.col(ts)) * 1000)
+    timed = stream.where(F.col(ts).isNotNull()).withColumn("_at", F.timestamp_micros(us + F.lit(LATER)))
+    kept = timed.withWatermark("_at", f"{delay_ms} milliseconds").dropDuplicates([row, "_at"])
+    reports = run(kept, lambda df, number: df.drop("_at").write.mode("overwrite").parquet(_part(folder, number)), checkpoint)
     return stream.sparkSession.read.schema(stream.schema).parquet(folder), batch_rates(reports, stream.sparkSession)
